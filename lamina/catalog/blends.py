@@ -178,16 +178,12 @@ def _sql_porter_duff() -> str:
 def _porter_duff(spark, sf):
     """All twelve operators at once: one scan, one row per pair and operator."""
     ops = F.array(
-        *[
-            F.struct(
-                F.lit(op).alias("op"),
-                B.porter_duff(op, F.col("src"), F.col("dst"), F.col("alpha")).alias("p"),
-            )
-            for op in B.PORTER_DUFF_MODES
-        ]
+        *[F.struct(F.lit(op).alias("op"), B.coverage(op).alias("cover")) for op in B.PORTER_DUFF_MODES]
     )
+    keys = ["op", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     return (
         pairs(spark, sf)
-        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.inline(ops))
-        .select("op", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.r", "p.g", "p.b", "p.a")
+        .select("*", F.inline(ops))
+        .select(*keys, B.composite(F.col("cover"), F.col("src"), F.col("dst"), F.col("alpha")).alias("p"))
+        .select(*keys, "p.r", "p.g", "p.b", "p.a")
     )

@@ -318,37 +318,41 @@ def blend_any(
     return let(share, shade)
 
 
-# Fraction of source and backdrop kept by each compositing operator, written
-# as (source, backdrop) with "1", "0", "a" = other alpha and "1-a" = its complement.
-_COVERAGE = {
-    "clear": ("0", "0"),
-    "copy": ("1", "0"),
-    "destination": ("0", "1"),
-    "source-over": ("1", "1-a"),
-    "destination-over": ("1-a", "1"),
-    "source-in": ("a", "0"),
-    "destination-in": ("0", "a"),
-    "source-out": ("1-a", "0"),
-    "destination-out": ("0", "1-a"),
-    "source-atop": ("a", "1-a"),
-    "destination-atop": ("1-a", "a"),
-    "xor": ("1-a", "1-a"),
+# Share of source and backdrop kept by each compositing operator, as a constant
+# plus a multiple of the other side's alpha: (source, source slope, backdrop, backdrop slope).
+COVERAGE = {
+    "clear": (0, 0, 0, 0),
+    "copy": (1, 0, 0, 0),
+    "destination": (0, 0, 1, 0),
+    "source-over": (1, 0, 1, -1),
+    "destination-over": (1, -1, 1, 0),
+    "source-in": (0, 1, 0, 0),
+    "destination-in": (0, 0, 0, 1),
+    "source-out": (1, -1, 0, 0),
+    "destination-out": (0, 0, 1, -1),
+    "source-atop": (0, 1, 1, -1),
+    "destination-atop": (1, -1, 0, 1),
+    "xor": (1, -1, 1, -1),
 }
 
 
-def porter_duff(op: str, src: Column, dst: Column, alpha: Column) -> Column:
-    """Compositing operator on unpremultiplied pixels, stored back as bytes."""
+def coverage(op: str) -> Column:
+    """The operator's four coefficients as a struct of doubles."""
+    return F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("s0", "s1", "d0", "d1"), COVERAGE[op])])
+
+
+def composite(cover: Column, src: Column, dst: Column, alpha: Column) -> Column:
+    """Compositing on unpremultiplied pixels with given coefficients, stored back as bytes."""
     sa, da = real(src["a"]) * alpha / 255, real(dst["a"]) / 255
-    pick = {
-        "0": lambda other: F.lit(0.0),
-        "1": lambda other: F.lit(1.0),
-        "a": lambda other: other,
-        "1-a": lambda other: 1 - other,
-    }
-    fs, fd = _COVERAGE[op]
-    ws, wd = sa * pick[fs](da), da * pick[fd](sa)
+    ws, wd = sa * (cover["s0"] + cover["s1"] * da), da * (cover["d0"] + cover["d1"] * sa)
     out = ws + wd
-    channel = lambda n: F.when(
-        out > 0, store((ws * real(src[n]) + wd * real(dst[n])) / out)
-    ).otherwise(num(0))
+
+    def channel(n: str) -> Column:
+        mixed = store((ws * real(src[n]) + wd * real(dst[n])) / out)
+        return F.when(out > 0, mixed).otherwise(num(0))
+
     return _pixel(channel("r"), channel("g"), channel("b"), store(out * 255))
+
+
+def porter_duff(op: str, src: Column, dst: Column, alpha: Column) -> Column:
+    return composite(coverage(op), src, dst, alpha)
