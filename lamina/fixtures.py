@@ -147,12 +147,14 @@ SHALLOW_SQL = (
     LINES_SQL
     + f""", shallow AS (
   SELECT DISTINCT doc_id, ({_FLAG_NO_SQL})::BIGINT AS seq_id, -1::BIGINT AS parent_seq_id, ({_FLAG_NO_SQL})::BIGINT AS ordinal,
-         flag AS name, true AS folder, flag <> 'R' AS visible, 1 AS lvl, 'plain' AS kind, flag AS path, '' AS parent_path FROM lines
+         flag AS name, true AS folder, flag <> 'R' AS visible, 1 AS lvl, 'plain' AS kind, flag AS path,
+         NULL::VARCHAR AS parent_path, flag, NULL::BIGINT AS ln, NULL::BIGINT AS qty, NULL::DOUBLE AS disc FROM lines
   UNION ALL
   SELECT doc_id, ({_FLAG_NO_SQL}) * 10 + ln, {_FLAG_NO_SQL}, ln,
          CASE WHEN flag = 'A' THEN '*' WHEN ln = 7 THEN '!' ELSE '' END || 'l' || ln, false, on_flag, 2,
          CASE WHEN flag = 'A' THEN 'radio' WHEN ln = 7 THEN 'force' ELSE 'plain' END,
-         flag || '/' || CASE WHEN flag = 'A' THEN '*' WHEN ln = 7 THEN '!' ELSE '' END || 'l' || ln, flag FROM lines)"""
+         flag || '/' || CASE WHEN flag = 'A' THEN '*' WHEN ln = 7 THEN '!' ELSE '' END || 'l' || ln, flag,
+         flag, ln, qty, disc FROM lines)"""
 )
 
 
@@ -201,3 +203,43 @@ def shallow_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", flag_no() * 10 + c("ln"), flag_no(), "ln", line_name(), F.lit(False), "on_flag"
     )
     return folders.union(leaves)
+
+
+def shallow_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shallow trees with paths, kinds and flags spelled out, one row per layer."""
+    lines = order_lines(spark, sf_dir)
+    c = F.col
+    folders = lines.select(
+        "doc_id",
+        flag_no().alias("seq_id"),
+        F.lit(-1).cast("bigint").alias("parent_seq_id"),
+        flag_no().alias("ordinal"),
+        c("flag").alias("name"),
+        F.lit(True).alias("folder"),
+        (c("flag") != "R").alias("checked"),
+        F.lit("plain").alias("kind"),
+        c("flag").alias("path"),
+        F.lit(None).cast("string").alias("parent_path"),
+        "flag",
+        F.lit(None).cast("bigint").alias("ln"),
+        F.lit(None).cast("bigint").alias("qty"),
+        F.lit(None).cast("double").alias("disc"),
+    ).distinct()
+    kind = F.when(c("flag") == "A", "radio").when(c("ln") == 7, "force").otherwise("plain")
+    leaves = lines.select(
+        "doc_id",
+        flag_no() * 10 + c("ln"),
+        flag_no(),
+        "ln",
+        line_name(),
+        F.lit(False),
+        "on_flag",
+        kind,
+        F.concat("flag", F.lit("/"), line_name()),
+        "flag",
+        "flag",
+        "ln",
+        "qty",
+        "disc",
+    )
+    return folders.union(leaves)
