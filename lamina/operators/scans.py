@@ -110,3 +110,14 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], out: str, label: s
         .withColumn(out, F.col("__off") + place + 1)
         .drop("__slot", "__part", "__off")
     )
+
+
+def rank_sorted(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], out: str, label: str
+) -> DataFrame:
+    """0-based position in a group for any sort order, from the global numbering."""
+    numbered = number_rows(df, [*keys, *order], "__place", label)
+    first = numbered.groupBy(*keys).agg(F.min("__place").alias("__first"))
+    return numbered.join(first, list(keys)).withColumn(out, F.col("__place") - F.col("__first")).drop(
+        "__place", "__first"
+    )
