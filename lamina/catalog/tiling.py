@@ -61,6 +61,30 @@ def _chop(spark, sf):
     return T.chop(images(spark, sf)).withColumn("px", F.lower(F.hex("px")))
 
 
+def raster_columns():
+    """The same pictures from the supplier columns, one row of bytes each."""
+    band = lambda i: F.floor(i % W / 16) * (C("s_nationkey") % 5) + F.floor(F.floor(i / W) / 16)
+    value = lambda i: ((band(i) % 7 * 36 * 256 + C("s_suppkey") % 3 * 40) * 256 + 10) * 256 + 255
+    text = F.transform(
+        F.sequence(F.lit(0).cast("bigint"), F.lit(W * H - 1).cast("bigint")),
+        lambda i: F.lpad(F.hex(value(i).cast("bigint")), 8, "0"),
+    )
+    side = lambda n, name: F.lit(n).cast("bigint").alias(name)
+    return [
+        C("s_suppkey").alias("image_id"), side(W, "width"), side(H, "height"),
+        F.unhex(F.array_join(text, "")).alias("raster"),
+    ]
+
+
+def rasters(spark, sf):
+    return table(spark, sf, "supplier").select(*raster_columns())
+
+
+@register("chop_rasters", _W + CELLS_SQL + "SELECT image_id, tx, ty, p, hash, px FROM cells")
+def _chop_rasters(spark, sf):
+    return T.chop_rasters(rasters(spark, sf)).withColumn("px", F.lower(F.hex("px")))
+
+
 def _cells(spark, sf):
     return stage(T.chop(images(spark, sf), sizes(spark, sf)), "cells")
 

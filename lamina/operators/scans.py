@@ -70,15 +70,23 @@ def running_sum(
 
 
 def last_before(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, block: int = BLOCK
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    out: str,
+    block: int = BLOCK,
+    inclusive: bool = True,
 ) -> DataFrame:
-    """Last non-null ``value`` at or before each row of its group."""
+    """Last non-null ``value`` at or before each row of its group, or strictly before it."""
     rows = _blocked(df.withColumn("__v", value), order, block)
     latest = F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order)))
     before = _carry(rows, keys, latest).withColumn(
         "__before", F.last("__own", ignorenulls=True).over(_earlier(keys))
     )
-    frame = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    frame = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1
+    )
     joined = rows.withColumn("__local", F.last("__v", ignorenulls=True).over(frame)).join(
         before.drop("__own"), [*keys, _B]
     )

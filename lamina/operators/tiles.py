@@ -69,6 +69,30 @@ def chop(images: DataFrame, sizes: DataFrame | None = None, key: str = "md5") ->
     return out.select(*CELL, place.alias("p"), tile_key(C("px"), key).alias("hash"), "px")
 
 
+def chop_rasters(rasters: DataFrame, key: str = "md5") -> DataFrame:
+    """``chop`` for whole pictures (image_id, width, height, raster): row-local, no shuffle.
+
+    ``raster`` is row-major RGBA bytes; a tile is sixteen slices of it.
+    """
+    cells = rasters.select(
+        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(C("height") / TILE) - 1)).alias("ty")
+    ).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(C("width") / TILE) - 1)).alias("tx"))
+    span = F.least(F.lit(TILE), C("width") - C("tx") * TILE) * 4
+    clear = F.unhex(F.lit(BLANK * TILE))
+
+    def line(dy: int) -> Column:
+        y = C("ty") * TILE + dy
+        start = (y * C("width") + C("tx") * TILE) * 4 + 1
+        piece = F.substring("raster", start.cast("int"), span.cast("int"))
+        return F.when(y < C("height"), F.substring(F.concat(piece, clear), 1, TILE * 4)).otherwise(clear)
+
+    px = F.concat(*[line(dy) for dy in range(TILE)])
+    place = C("ty") * ROW_STRIDE + C("tx")
+    return cells.select("image_id", "tx", "ty", place.alias("p"), px.alias("px")).select(
+        *CELL, "p", tile_key(C("px"), key).alias("hash"), "px"
+    )
+
+
 def tile_dictionary(cells: DataFrame) -> DataFrame:
     """(hash, p, px, uses): distinct tiles with their smallest position.
 
