@@ -87,8 +87,9 @@ def _triple(pixel: Column) -> RGB:
     return pixel["r"], pixel["g"], pixel["b"]
 
 
-def clip_color(r: Column, g: Column, b: Column) -> RGB:
-    """Pull channels back into range around their luminosity, keeping the first maximum."""
+def _clip(color: Column) -> Column:
+    """``clip_color`` on a struct, giving a struct; inputs are bound once."""
+    r, g, b = _triple(color)
     facts = F.struct(
         r.alias("r"), g.alias("g"), b.alias("b"),
         lum(r, g, b).alias("base"), F.least(r, g, b).alias("low"), F.greatest(r, g, b).alias("high"),
@@ -102,26 +103,42 @@ def clip_color(r: Column, g: Column, b: Column) -> RGB:
         capped = real(base) + ((lifted - real(base)) * real(255 - base)) / real(high - base)
         return to_int(F.when(high > 255, capped).otherwise(lifted))
 
-    return _triple(let(facts, lambda v: _rgb(*(fix(v, c) for c in _triple(v)))))
+    return let(facts, lambda v: _rgb(*(fix(v, c) for c in _triple(v))))
 
 
-def set_lum(r: Column, g: Column, b: Column, target: Column) -> RGB:
-    shift = target - lum(r, g, b)
-    return clip_color(r + shift, g + shift, b + shift)
+def _relit(color: Column, target: Column) -> Column:
+    """``set_lum`` on a struct, giving a struct."""
 
+    def shifted(v: Column) -> Column:
+        shift = v["t"] - lum(*_triple(v["c"]))
+        return let(shift, lambda k: _rgb(*(c + k for c in _triple(v["c"]))))
+
+    bound = F.struct(color.alias("c"), target.alias("t"))
+    return let(let(bound, shifted), _clip)
 
-def set_sat(r: Column, g: Column, b: Column, target: Column) -> RGB:
-    low, span = F.least(r, g, b), sat(r, g, b)
 
-    def spread(c: Column) -> Column:
-        return F.when(span == 0, num(0)).otherwise(to_int(real((c - low) * target) / real(span)))
+def _saturated(color: RGB, target: Column) -> Column:
+    """``set_sat`` as a struct with its inputs bound once."""
+    bound = F.struct(F.least(*color).alias("low"), sat(*color).alias("span"), target.alias("t"))
 
-    return spread(r), spread(g), spread(b)
+    def spread(v: Column) -> Column:
+        scaled = [to_int(real((c - v["low"]) * v["t"]) / real(v["span"])) for c in color]
+        return F.when(v["span"] == 0, _rgb(num(0), num(0), num(0))).otherwise(_rgb(*scaled))
 
+    return let(bound, spread)
 
-def _relit(color: RGB, target: Column) -> RGB:
-    """``set_lum`` on a colour that is costly to repeat."""
-    return _triple(let(_rgb(*color), lambda v: _rgb(*set_lum(*_triple(v), target))))
+
+def clip_color(r: Column, g: Column, b: Column) -> RGB:
+    """Pull channels back into range around their luminosity, keeping the first maximum."""
+    return _triple(_clip(_rgb(r, g, b)))
+
+
+def set_lum(r: Column, g: Column, b: Column, target: Column) -> RGB:
+    return _triple(_relit(_rgb(r, g, b), target))
+
+
+def set_sat(r: Column, g: Column, b: Column, target: Column) -> RGB:
+    return _triple(_saturated((r, g, b), target))
 
 
 # -- modes ------------------------------------------------------------------------------------
@@ -212,29 +229,25 @@ _SEPARABLE: dict[str, Callable[[Column, Column], Column]] = {
 }
 
 
-def _pick(cond: Column, s: RGB, d: RGB) -> RGB:
-    return tuple(F.when(cond, a).otherwise(b) for a, b in zip(s, d))
-
-
-_WHOLE: dict[str, Callable[[RGB, RGB], RGB]] = {
-    "darker-color": lambda s, d: _pick(lum(*s) < lum(*d), s, d),
-    "lighter-color": lambda s, d: _pick(lum(*s) > lum(*d), s, d),
-    "hue": lambda s, d: _relit(set_sat(*s, sat(*d)), lum(*d)),
-    "saturation": lambda s, d: _relit(set_sat(*d, sat(*s)), lum(*d)),
-    "color": lambda s, d: set_lum(*s, lum(*d)),
-    "luminosity": lambda s, d: set_lum(*d, lum(*s)),
+_WHOLE: dict[str, Callable[[RGB, RGB], Column]] = {
+    "darker-color": lambda s, d: F.when(lum(*s) < lum(*d), _rgb(*s)).otherwise(_rgb(*d)),
+    "lighter-color": lambda s, d: F.when(lum(*s) > lum(*d), _rgb(*s)).otherwise(_rgb(*d)),
+    "hue": lambda s, d: _relit(_saturated(s, sat(*d)), lum(*d)),
+    "saturation": lambda s, d: _relit(_saturated(d, sat(*s)), lum(*d)),
+    "color": lambda s, d: _relit(_rgb(*s), lum(*d)),
+    "luminosity": lambda s, d: _relit(_rgb(*d), lum(*s)),
 }
 
 
-def mode_color(mode: str, s: RGB, d: RGB) -> RGB:
-    """The blended colour B of one mode, before it is weighted by alpha."""
-    if mode == "source-over":
-        mode = "normal"
-    if mode in _SEPARABLE:
-        return tuple(_SEPARABLE[mode](a, b) for a, b in zip(s, d))
+def _mix_color(mode: str, s: RGB, d: RGB, finish: Callable[[RGB], Column]) -> Column:
+    """``finish`` applied to the blended colour B of one mode, before alpha weighting.
+
+    Whole-colour modes are bound once; per-channel modes stay plain expressions.
+    """
     if mode in _WHOLE:
-        return _WHOLE[mode](s, d)
-    raise ValueError(f"unknown blend mode: {mode}")
+        return let(_WHOLE[mode](s, d), lambda v: finish(_triple(v)))
+    rule = _SEPARABLE["normal" if mode == "source-over" else mode]
+    return finish(tuple(rule(a, b) for a, b in zip(s, d)))
 
 
 def blend_supported(mode: Column) -> Column:
@@ -269,10 +282,7 @@ def blend(mode: str, src: Column, dst: Column, alpha: Column) -> Column:
         ]
         return _pixel(*out, a)
 
-    color = mode_color(mode, s, d)
-    if mode in _WHOLE:
-        return let(_rgb(*color), lambda v: mixed(_triple(v)))
-    return mixed(color)
+    return _mix_color(mode, s, d, mixed)
 
 
 Rule = Callable[[RGB, RGB], RGB]
@@ -308,8 +318,7 @@ def blend_any(
 
         chain = None
         for name in [*rules, *(m for m in modes if m != "normal")]:
-            color = rules[name](s, d) if name in rules else mode_color(name, s, d)
-            body = let(_rgb(*color), lambda v: mixed(_triple(v))) if name in _WHOLE else mixed(color)
+            body = mixed(rules[name](s, d)) if name in rules else _mix_color(name, s, d, mixed)
             chain = F.when(mode == name, body) if chain is None else chain.when(mode == name, body)
         plain = mixed(s)
         shaded = plain if chain is None else chain.otherwise(plain)
