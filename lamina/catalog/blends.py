@@ -20,19 +20,15 @@ def pairs(spark, sf):
     c = F.col
     return table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.struct(
-            (c("l_partkey") % 256).alias("r"),
-            (c("l_suppkey") * 7 % 256).alias("g"),
-            (c("l_quantity").cast("bigint") * 5).alias("b"),
-            F.least(F.lit(255), c("l_linenumber").cast("bigint") * 40).cast("bigint").alias("a"),
-        ).alias("src"),
-        F.struct(
-            (c("l_orderkey") % 256).alias("r"),
-            (F.round(c("l_discount") * 100).cast("bigint") * 25).alias("g"),
-            (F.floor("l_extendedprice").cast("bigint") % 256).alias("b"),
-            F.when(c("l_returnflag") == "A", 255).when(c("l_returnflag") == "N", 128).otherwise(0)
-            .cast("bigint").alias("a"),
-        ).alias("dst"),
+        (c("l_partkey") % 256).alias("sr"),
+        (c("l_suppkey") * 7 % 256).alias("sg"),
+        (c("l_quantity").cast("bigint") * 5).alias("sb"),
+        F.least(F.lit(255), c("l_linenumber").cast("bigint") * 40).cast("bigint").alias("sa"),
+        (c("l_orderkey") % 256).alias("dr"),
+        (F.round(c("l_discount") * 100).cast("bigint") * 25).alias("dg"),
+        (F.floor("l_extendedprice").cast("bigint") % 256).alias("db"),
+        F.when(c("l_returnflag") == "A", 255).when(c("l_returnflag") == "N", 128).otherwise(0)
+        .cast("bigint").alias("da"),
         ((255 - F.round(c("l_tax") * 100).cast("bigint") * 20).cast("double") / 255).alias("alpha"),
     )
 
@@ -140,8 +136,8 @@ def _sql_for(mode: str) -> str:
 
 def _blend_query(mode: str):
     def run(spark, sf):
-        rows = pairs(spark, sf).withColumn("p", B.blend(mode, F.col("src"), F.col("dst"), F.col("alpha")))
-        return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p.r", "p.g", "p.b", "p.a")
+        rows = B.blend_rows(pairs(spark, sf), mode)
+        return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "r", "g", "b", "a")
 
     return run
 
@@ -181,9 +177,10 @@ def _porter_duff(spark, sf):
         *[F.struct(F.lit(op).alias("op"), B.coverage(op).alias("cover")) for op in B.PORTER_DUFF_MODES]
     )
     keys = ["op", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    pixel = lambda side: F.struct(*[F.col(side + n).alias(n) for n in "rgba"])
     return (
         pairs(spark, sf)
         .select("*", F.inline(ops))
-        .select(*keys, B.composite(F.col("cover"), F.col("src"), F.col("dst"), F.col("alpha")).alias("p"))
+        .select(*keys, B.composite(F.col("cover"), pixel("s"), pixel("d"), F.col("alpha")).alias("p"))
         .select(*keys, "p.r", "p.g", "p.b", "p.a")
     )

@@ -8,6 +8,7 @@ from lamina.catalog.registry import register, table
 from lamina.fixtures import LINES_SQL, SHALLOW_SQL, flag_no, line_name, order_lines, shallow_paths
 from lamina.functions.names import format_ts
 from lamina.operators import views as V
+from lamina.session import stage
 from lamina.sources import favorites as FS
 
 C = F.col
@@ -31,7 +32,7 @@ _F = "WITH " + LINES_SQL + ", " + FAV_SQL
 
 
 def fav_nodes(spark, sf):
-    lines = order_lines(spark, sf)
+    lines = stage(order_lines(spark, sf), "lines")
     orders = table(spark, sf, "orders")
     docs = lines.select("doc_id").distinct()
     none = F.lit(None).cast("string")
@@ -53,7 +54,7 @@ def fav_nodes(spark, sf):
         "doc_id", F.concat("flag", F.lit("/"), C("ln").cast("string")), "flag", "ln",
         F.concat(F.lit("l"), C("ln").cast("string")), F.lit("item"), F.when(C("disc") >= 0.02, path).otherwise(C("flag")),
     )
-    return root.union(view).union(flags).union(items)
+    return stage(root.union(view).union(flags).union(items), "favnodes")
 
 
 # the written form, built on its own from the rows
@@ -175,8 +176,6 @@ def _selects(spark, sf):
 
 
 def selects_of(spark, sf):
-    from lamina.session import stage
-
     return stage(_selects(spark, sf), "viewselects")
 
 
@@ -323,8 +322,6 @@ def _active(spark, sf):
   FROM roots GROUP BY doc_id""",
 )
 def _catalog(spark, sf):
-    from lamina.session import stage
-
     walked = stage(V.favorites_walk(fav_nodes(spark, sf)), "walked")
     return V.view_catalog(V.view_roots(walked), V.view_selects(walked))
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.session import stage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,20 +93,17 @@ def deep_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     seq = c("seq_id")
-    return (
-        top.union(middle)
-        .union(leaf)
-        .select(
-            "*",
-            _dressed(seq, c("raw_name")).alias("name"),
-            (255 - seq % 128).cast("int").alias("opacity"),
-            (seq % 97).cast("int").alias("x"),
-            (seq % 89).cast("int").alias("y"),
-            (1 + seq % 31).cast("int").alias("width"),
-            (1 + seq % 17).cast("int").alias("height"),
-        )
-        .drop("raw_name")
+    rows = top.union(middle).union(leaf).select(
+        "*",
+        _dressed(seq, c("raw_name")).alias("name"),
+        (255 - seq % 128).cast("int").alias("opacity"),
+        (seq % 97).cast("int").alias("x"),
+        (seq % 89).cast("int").alias("y"),
+        (1 + seq % 31).cast("int").alias("width"),
+        (1 + seq % 17).cast("int").alias("height"),
     )
+    # operators read their layer table several times; as in production it is a Parquet table
+    return stage(rows.drop("raw_name"), "deep")
 
 
 # Sibling index, internal name and full path for the deep tree; every level is one join.
@@ -202,7 +201,7 @@ def shallow_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaves = lines.select(
         "doc_id", flag_no() * 10 + c("ln"), flag_no(), "ln", line_name(), F.lit(False), "on_flag"
     )
-    return folders.union(leaves)
+    return stage(folders.union(leaves), "shallow")
 
 
 def shallow_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,4 +241,4 @@ def shallow_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
         "qty",
         "disc",
     )
-    return folders.union(leaves)
+    return stage(folders.union(leaves), "shallow")
