@@ -8,6 +8,7 @@ from lamina.catalog.blends import SQL_SEPARABLE, sql_store
 from lamina.catalog.registry import register, table
 from lamina.functions import blending as B
 from lamina.operators import groups, pixels as P
+from lamina.session import stage
 
 C = F.col
 
@@ -94,7 +95,7 @@ _CLIP = ", bases AS (SELECT doc_id, x, y, min(z) AS z0 FROM stack GROUP BY ALL),
 
 
 def _base_and_upper(spark, sf):
-    rows = stack(spark, sf)
+    rows = stage(stack(spark, sf), "stack")
     lowest = rows.groupBy("doc_id", "x", "y").agg(F.min("z").alias("z0"))
     tagged = rows.join(lowest, ["doc_id", "x", "y"]).withColumn("group_id", F.lit(0))
     return tagged.filter("z = z0").drop("z0"), tagged.filter("z > z0").drop("z0")
@@ -124,7 +125,7 @@ def _clip_separately(spark, sf):
 
 def _masked_layers(spark, sf):
     """Layers are line numbers; odd ones have a mask that covers discounted spots."""
-    rows = stack(spark, sf).withColumn("seq_id", C("ln"))
+    rows = stage(stack(spark, sf), "stack").withColumn("seq_id", C("ln"))
     px = rows.groupBy("doc_id", "seq_id", "x", "y").agg(*[F.max(n).alias(n) for n in P.CHANNELS])
     masks = rows.filter("opacity < 200 and ln % 2 = 1").groupBy("doc_id", "seq_id", "x", "y").agg(F.max("opacity").alias("m"))
     layers = px.select("doc_id", "seq_id").distinct().withColumn(
@@ -254,7 +255,7 @@ def _channels(spark, sf):
 
 def grouped_document(spark, sf):
     """A layer tree over the stack: folders by return flag, layers by line number."""
-    rows = stack(spark, sf).withColumn(
+    rows = stage(stack(spark, sf), "stack").withColumn(
         "folder_seq", F.when(C("flag") == "A", 1).when(C("flag") == "N", 2).otherwise(3).cast("bigint")
     ).withColumn("seq_id", C("folder_seq") * 10 + C("ln"))
     px = rows.groupBy("doc_id", "seq_id", "x", "y").agg(*[F.max(n).alias(n) for n in P.CHANNELS])
@@ -276,7 +277,7 @@ def grouped_document(spark, sf):
     masks = rows.filter("flag = 'N'").groupBy("doc_id", C("folder_seq").alias("seq_id"), "x", "y").agg(F.max("opacity").alias("m")).union(
         rows.filter("ln = 6").groupBy("doc_id", "seq_id", "x", "y").agg(F.min("opacity").alias("m"))
     )
-    return leaves.unionByName(folders), px, masks
+    return stage(leaves.unionByName(folders), "layers"), stage(px, "pixels"), stage(masks, "masks")
 
 
 @register("compose_groups")

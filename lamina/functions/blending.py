@@ -384,9 +384,11 @@ def _staged_lum(df: DataFrame, prefix: str, target: Column) -> DataFrame:
     facts = {"__base": lum(*x), "__low": F.least(*x), "__high": F.greatest(*x)}
     df = df.withColumns({k: real(v) for k, v in facts.items()} | {"__x" + n: real(c) for n, c in zip("rgb", x)})
     base, low, high = F.col("__base"), F.col("__low"), F.col("__high")
-    lift = lambda c: F.when(low < 0, base + (c - base) * base / (base - low)).otherwise(c)
+    df = df.withColumns({"__drop": base - low, "__rise": high - base, "__room": 255 - base})
+    drop, rise, room = F.col("__drop"), F.col("__rise"), F.col("__room")
+    lift = lambda c: F.when(low < 0, base + (c - base) * base / drop).otherwise(c)
     df = df.withColumns({"__y" + n: lift(c) for n, c in zip("rgb", x)})
-    cap = lambda c: base + (c - base) * (255 - base) / (high - base)
+    cap = lambda c: base + (c - base) * room / rise
     return df.withColumns(
         {"__b" + n: to_int(F.when(high > 255, cap(c)).otherwise(c)) for n, c in zip("rgb", _named("__y"))}
     )
@@ -397,9 +399,10 @@ def _staged_color(df: DataFrame, mode: str) -> DataFrame:
     s, d = _named("s"), _named("d")
     if mode in ("hue", "saturation"):
         color, other = (s, d) if mode == "hue" else (d, s)
-        df = df.withColumns({"__min": F.least(*color), "__span": sat(*color), "__to": sat(*other)})
+        facts = {"__min": F.least(*color), "__span": sat(*color), "__to": sat(*other)}
+        df = df.withColumns({k: real(v) for k, v in facts.items()})
         low, span, to = F.col("__min"), F.col("__span"), F.col("__to")
-        spread = lambda c: F.when(span == 0, num(0)).otherwise(to_int(real((c - low) * to) / real(span)))
+        spread = lambda c: F.when(span == 0, num(0)).otherwise(to_int((real(c) - low) * to / span))
         df = df.withColumns({"__z" + n: spread(c) for n, c in zip("rgb", color)})
         return _staged_lum(df, "__z", lum(*d))
     if mode in ("color", "luminosity"):

@@ -178,10 +178,12 @@ def clip_group(base: DataFrame, clipped: DataFrame, modes: Sequence[str] = ALL_M
     return _clip_fold(base, clipped.withColumn("alpha", C("opacity").cast("double") / 255), keys, modes)
 
 
-def _clip_fold(base: DataFrame, ops: DataFrame, keys: list[str], modes: Sequence[str]) -> DataFrame:
+def _clip_fold(
+    base: DataFrame, ops: DataFrame, keys: list[str], modes: Sequence[str], bound: int | None = None
+) -> DataFrame:
     solid = base.select(*keys, "r", "g", "b", F.lit(255).cast("bigint").alias("a"))
     inside = ops.join(base.select(*keys), keys, "left_semi")
-    painted = fold_pixels(inside, keys, modes, base=solid).drop("a")
+    painted = fold_pixels(inside, keys, modes, base=solid, bound=bound).drop("a")
     return painted.join(base.select(*keys, "a"), keys)
 
 
