@@ -455,3 +455,45 @@ def _unique(spark, sf):
         F.when((C("c_mktsegment") == "BUILDING") & (C("c_acctbal") < 0), "BUILDING 3").otherwise(C("c_mktsegment")).alias("text"),
     )
     return V.unique_names(nodes)
+
+
+@register(
+    "name_views",
+    _SQL_VIEWS
+    + """SELECT v.doc_id, v.root_id, v.view_index, substr(any_value(t.text), 2) || '_' || string_agg(s.caption || '-' || s.item_name, '_' ORDER BY v.select_ord) AS name
+      FROM views v JOIN selects s USING (doc_id, root_id, select_id, item_ord) JOIN fav t ON t.doc_id = v.doc_id AND t.node_id = 'v'
+      GROUP BY v.doc_id, v.root_id, v.view_index""",
+)
+def _name_views(spark, sf):
+    walked = stage(V.favorites_walk(fav_nodes(spark, sf)), "walked")
+    selects = stage(V.view_selects(walked), "viewselects")
+    roots = V.view_roots(walked).withColumn("root_ord", F.lit(0))
+    return V.name_views(roots, selects, V.enumerate_views(selects))
+
+
+@register("export_views")
+def _export_views(spark, sf):
+    """All views of all orders, drawn once per distinct picture, as numbered tile maps."""
+    from lamina.plans.export import export_views
+
+    lines = stage(order_lines(spark, sf), "lines")
+    rows = shallow_paths(spark, sf)
+    layers = rows.select(
+        "doc_id", "seq_id", "parent_seq_id", "ordinal", "folder", "checked", "kind", "path", "parent_path",
+        F.when(C("parent_seq_id") == -1, F.array().cast("array<bigint>")).otherwise(F.array("parent_seq_id")).alias("ancestors"),
+        F.lit(False).alias("has_mask"),
+        F.when(C("folder"), "pass-through").when(C("qty") > 25, "multiply").otherwise("normal").alias("blend_mode"),
+        F.lit(255).alias("opacity"), F.lit(False).alias("clipping"), F.lit(True).alias("blend_clipped"),
+        F.lit(None).cast("int").alias("mask_default"),
+    )
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("x")
+    pixels = lines.select("doc_id", (flag_no() * 10 + C("ln")).alias("seq_id"), "ln", "qty", at).select(
+        "doc_id", "seq_id", (C("x") + C("ln") * 2).alias("x"), (C("ln") % 3).alias("y"),
+        (C("qty") * 5).alias("r"), (C("ln") * 30).alias("g"), F.lit(60).cast("bigint").alias("b"), F.lit(255).cast("bigint").alias("a"),
+    )
+    masks = pixels.filter("false").select("doc_id", "seq_id", "x", "y", F.lit(0).cast("bigint").alias("m"))
+    sizes = lines.select("doc_id").distinct().select(
+        "doc_id", F.lit(18).cast("bigint").alias("width"), F.lit(10).cast("bigint").alias("height")
+    )
+    out = export_views(fav_nodes(spark, sf), layers, stage(pixels, "pixels"), masks, sizes, ("normal", "multiply"))
+    return out.mapped

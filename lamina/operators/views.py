@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.hashing import set_digest
-from lamina.functions.names import display_caption, format_ts, safe_filename
+from lamina.functions.names import display_caption, format_ts, safe_filename, view_name
 from lamina.operators.scans import rank_in_group, rank_sorted
 from lamina.operators.states import state_delta
 from lamina.operators.tree import NODE, tree_walk
@@ -199,6 +199,35 @@ def enumerate_views(selects: DataFrame) -> DataFrame:
     )
 
 
+def name_views(
+    roots: DataFrame, selects: DataFrame, views: DataFrame, style: str = "standard", flat: bool = True
+) -> DataFrame:
+    """(doc_id, root_id, view_index, name): exported name of each view.
+
+    ``roots``: doc_id, node_id, text and ``root_ord`` for the index style. A view has one part
+    per select.
+    """
+    items = selects.select("doc_id", "root_id", "select_ord", "item_ord", "caption", "item_name")
+    part = F.struct(
+        "select_ord", F.struct(C("caption"), C("item_name").alias("name"), C("item_ord").alias("index")).alias("p")
+    )
+    parts = (
+        views.join(items, ["doc_id", "root_id", "select_ord", "item_ord"])
+        .groupBy("doc_id", "root_id", "view_index")
+        .agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    )
+    heads = roots.select(
+        "doc_id",
+        C("node_id").alias("root_id"),
+        F.struct(
+            F.lit("root").alias("caption"), F.substring("text", 2, 1 << 30).alias("name"), C("root_ord").cast("bigint").alias("index")
+        ).alias("head"),
+    )
+    rows = parts.join(heads, ["doc_id", "root_id"])
+    whole = F.concat(F.array("head"), F.transform("parts", lambda v: v["p"]))
+    return rows.select("doc_id", "root_id", "view_index", view_name(whole, style, flat).alias("name"))
+
+
 def _lines(rows: DataFrame, column: str) -> DataFrame:
     """(doc_id, item_id, path) closed under prefixes."""
     line = F.explode(F.split(F.replace(column, F.lit("\r"), F.lit("")), "\n"))
