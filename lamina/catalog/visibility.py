@@ -283,7 +283,7 @@ _SQL_TARGETS = """, kinded AS (SELECT *, name LIKE '*%' AS radio,
   variants AS (SELECT v.doc_id, v.seq_id FROM deep v WHERE name LIKE '%:flipx' AND EXISTS (SELECT 1 FROM deep o
     WHERE o.doc_id = v.doc_id AND o.parent_seq_id = v.parent_seq_id AND o.name || ':flipx' = v.name)),
   targets AS (SELECT doc_id, max(seq_id) AS target, parent_seq_id FROM deep WHERE lvl = 2 GROUP BY doc_id, parent_seq_id),
-  peers AS (SELECT t.doc_id, t.target, p.seq_id, p.display, p.ordinal FROM targets t
+  peers AS (SELECT t.doc_id, t.target, t.parent_seq_id, p.radio, p.seq_id, p.display, p.ordinal FROM targets t
     JOIN kinded me ON me.doc_id = t.doc_id AND me.seq_id = t.target
     JOIN kinded p ON p.doc_id = t.doc_id AND p.parent_seq_id = t.parent_seq_id AND p.radio = me.radio)"""
 
@@ -293,7 +293,7 @@ _SQL_TARGETS = """, kinded AS (SELECT *, name LIKE '*%' AS radio,
     "WITH "
     + DEEP_SQL
     + _SQL_TARGETS
-    + """SELECT doc_id, target, seq_id AS chosen, display AS "view" FROM peers
+    + """SELECT doc_id, parent_seq_id, radio, seq_id AS chosen, display AS "view" FROM peers
       WHERE (doc_id, seq_id) NOT IN (SELECT (doc_id, seq_id) FROM variants)""",
 )
 def _expand(spark, sf):
@@ -304,9 +304,9 @@ def _expand(spark, sf):
     "siblings_filter",
     DEEP_PATHS_SQL
     + _SQL_TARGETS
-    + """SELECT t.doc_id, t.target, c.ancestor_seq_id AS seq_id FROM targets t JOIN closure c
-        ON c.doc_id = t.doc_id AND c.seq_id = t.target
-      UNION SELECT p.doc_id, p.target, c.seq_id FROM peers p JOIN closure c
+    + """SELECT t.doc_id, t.parent_seq_id, k.radio, c.ancestor_seq_id AS seq_id FROM targets t
+        JOIN kinded k ON k.doc_id = t.doc_id AND k.seq_id = t.target JOIN closure c ON c.doc_id = t.doc_id AND c.seq_id = t.target
+      UNION SELECT p.doc_id, p.parent_seq_id, p.radio, c.seq_id FROM peers p JOIN closure c
         ON c.doc_id = p.doc_id AND c.ancestor_seq_id = p.seq_id""",
 )
 def _siblings_filter(spark, sf):

@@ -8,7 +8,7 @@ partitioning instead and needs one summary row per partition.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,21 +52,27 @@ def rank_in_group(
     )
 
 
+def running_sums(
+    df: DataFrame, keys: Sequence[str], order: str, values: Mapping[str, Column], block: int = BLOCK
+) -> DataFrame:
+    """Inclusive running sums in each group, all in one scan; ``values`` maps names to addends."""
+    own = [f"__v{i}" for i in range(len(values))]
+    rows = _blocked(df.withColumns(dict(zip(own, values.values()))), order, block)
+    before = rows.groupBy(*keys, _B).agg(*[F.sum(v).alias(v) for v in own]).select(
+        *keys, _B, *[F.coalesce(F.sum(v).over(_earlier(keys)), F.lit(0)).alias("__before" + v) for v in own]
+    )
+    frame = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = rows.withColumns({"__local" + v: F.sum(v).over(frame) for v in own}).join(before, [*keys, _B])
+    return joined.withColumns(
+        {name: F.col("__before" + v) + F.col("__local" + v) for name, v in zip(values, own)}
+    ).drop(_B, *own, *["__local" + v for v in own], *["__before" + v for v in own])
+
+
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, block: int = BLOCK
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in each group."""
-    rows = _blocked(df.withColumn("__v", value), order, block)
-    before = _carry(rows, keys, F.sum("__v")).withColumn(
-        "__before", F.coalesce(F.sum("__own").over(_earlier(keys)), F.lit(0))
-    )
-    frame = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.withColumn("__local", F.sum("__v").over(frame)).join(
-        before.drop("__own"), [*keys, _B]
-    )
-    return joined.withColumn(out, F.col("__before") + F.col("__local")).drop(
-        _B, "__v", "__local", "__before"
-    )
+    return running_sums(df, keys, order, {out: value}, block)
 
 
 def last_before(

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.tree import NODE, SIBLINGS, clip_base, tree_closure, tree_walk
+from lamina.operators.tree import NODE, SIBLINGS, ancestor_lists, clip_base, tree_closure, tree_walk
 from lamina.session import stage
 
 C = F.col
@@ -238,27 +238,50 @@ def filter_lines(effective: DataFrame) -> DataFrame:
     return compact_state(kept.select(*NODE, "parent_seq_id", "folder", "path", "selected"), "selected").select(*NODE, "path")
 
 
-def _last_click(clicks: DataFrame) -> DataFrame:
-    return clicks.groupBy(*NODE).agg(F.max_by("on", "click_seq").alias("__on"))
+def _clicked(clicks: DataFrame) -> DataFrame:
+    """One row per clicked node: its last click, last switch-on and last solo click.
+
+    Earlier clicks of the same node reach the same rows and lose, so they need not travel.
+    """
+    solo = F.coalesce(C("solo"), F.lit(False)) if "solo" in clicks.columns else F.lit(False)
+    return clicks.groupBy(*NODE).agg(
+        F.max("click_seq").alias("last_at"),
+        F.max_by("on", "click_seq").alias("last_on"),
+        F.max(F.when(C("on"), C("click_seq"))).alias("on_at"),
+        F.max(F.when(solo, C("click_seq"))).alias("solo_at"),
+    )
 
 
 def apply_filter_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
     """Filter boxes after (doc_id, seq_id, click_seq, on) clicks.
 
     A click sets the node and all descendants, and a tick all ancestors too; later clicks win.
+    The latest click above a node is handed down the tree; only ticked nodes look upward.
     """
-    closure = stage(tree_closure(layers), "closure")
-    hit = clicks.select(*NODE, "click_seq", "on")
-    down = hit.withColumnRenamed("seq_id", "ancestor_seq_id").join(closure, ["doc_id", "ancestor_seq_id"]).select(
-        *NODE, "click_seq", "on"
+    marked = stage(layers.join(_clicked(clicks), NODE, "left"), "clicked")
+    own = F.when(C("last_at").isNotNull(), F.struct(C("last_at").alias("at"), C("last_on").alias("on")))
+    walked = stage(
+        tree_walk(
+            marked,
+            {
+                "down": (own, lambda up: F.greatest(own, up("down"))),
+                "chain": (
+                    F.array().cast("array<bigint>"),
+                    lambda up: F.concat(F.array(C("parent_seq_id")), up("chain")),
+                ),
+            },
+            inner=C("folder"),
+            label="toggles",
+        ),
+        "toggled",
     )
-    up = (
-        hit.filter("on")
-        .join(closure.filter("distance > 0"), NODE)
-        .select("doc_id", C("ancestor_seq_id").alias("seq_id"), "click_seq", "on")
+    ticks = walked.filter("on_at is not null").select("doc_id", "on_at", F.explode("chain").alias("seq_id"))
+    above = ticks.groupBy(*NODE).agg(F.struct(F.max("on_at").alias("at"), F.lit(True).alias("on")).alias("__up"))
+    rows = walked.join(above, NODE, "left")
+    return rows.select(
+        *[c for c in layers.columns if c != "checked"],
+        F.coalesce(F.greatest("down", "__up")["on"], C("checked")).alias("checked"),
     )
-    last = _last_click(down.union(up))
-    return layers.join(last, NODE, "left").withColumn("checked", F.coalesce("__on", "checked")).drop("__on")
 
 
 def apply_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
@@ -268,29 +291,27 @@ def apply_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
     is not a radio turns off its plain siblings. Radios stay exclusive. Later clicks win.
     """
     based = stage(clip_base(layers.withColumn("visible", C("checked"))), "clipbase")
-    closure = tree_closure(based)
-    facts = based.select(*NODE, "parent_seq_id", "ordinal", "kind", "base_seq_id")
-    hit = clicks.join(facts, NODE)
-    own = hit.select(*NODE, C("click_seq"), F.lit(1).alias("step"), "on")
-    up = hit.join(closure.filter("distance > 0"), NODE).select(
-        "doc_id", C("ancestor_seq_id").alias("seq_id"), "click_seq", F.lit(2).alias("step"), F.lit(True).alias("on")
-    )
-    base = hit.filter(C("base_seq_id").isNotNull()).select(
-        "doc_id", C("base_seq_id").alias("seq_id"), "click_seq", F.lit(2).alias("step"), F.lit(True).alias("on")
+    facts = ancestor_lists(based).select(*NODE, "parent_seq_id", "kind", "base_seq_id", "ancestors")
+    hit = stage(_clicked(clicks).join(facts, NODE), "clicked")
+
+    def event(rows: DataFrame, seq, at: str, step: int, on) -> DataFrame:
+        return rows.select("doc_id", seq.alias("seq_id"), C(at).alias("at"), F.lit(step).alias("step"), on.alias("on"))
+
+    yes, no = F.lit(True), F.lit(False)
+    own = event(hit, C("seq_id"), "last_at", 1, C("last_on"))
+    own_on = event(hit.filter("on_at is not null"), C("seq_id"), "on_at", 1, yes)
+    up = event(hit.select("doc_id", "last_at", F.explode("ancestors").alias("anc")), C("anc"), "last_at", 2, yes)
+    base = event(hit.filter("base_seq_id is not null"), C("base_seq_id"), "last_at", 2, yes)
+    # only the latest solo click of a sibling group can matter: each sibling meets one row
+    solo = hit.filter((C("kind") != "radio") & C("solo_at").isNotNull()).groupBy(*SIBLINGS).agg(
+        F.max(F.struct("solo_at", "seq_id")).alias("by")
     )
-    # A solo click, or a radio switched on, reaches all siblings of a kind. Only the latest such
-    # click of a sibling group can matter, so each sibling meets one row, not one per click.
-    solo = hit.filter(C("solo") & (C("kind") != "radio")).groupBy(*SIBLINGS).agg(
-        F.max_by(F.struct("seq_id", "click_seq"), "click_seq").alias("by")
-    )
-    swept = based.filter(C("kind") == "plain").select(*NODE, "parent_seq_id").join(solo, SIBLINGS).filter(
-        C("seq_id") != C("by.seq_id")
-    ).select(*NODE, C("by.click_seq").alias("click_seq"), F.lit(0).alias("step"), F.lit(False).alias("on"))
-    sets = own.union(up).union(base)
-    events = reduce(DataFrame.union, [sets, swept])
+    plain = based.filter(C("kind") == "plain").select(*NODE, "parent_seq_id").join(solo, SIBLINGS)
+    swept = plain.filter(C("seq_id") != C("by.seq_id")).withColumn("at", C("by.solo_at"))
+    events = reduce(DataFrame.union, [own, own_on, up, base, event(swept, C("seq_id"), "at", 0, no)])
     last = events.groupBy(*NODE).agg(
-        F.max_by("on", F.struct("click_seq", "step")).alias("__on"),
-        F.max(F.when(C("on"), F.struct("click_seq", "step"))).alias("__when"),
+        F.max_by("on", F.struct("at", "step")).alias("__on"),
+        F.max(F.when(C("on"), F.struct("at", "step"))).alias("__when"),
     )
     rows = layers.join(last, NODE, "left").withColumn("checked", F.coalesce("__on", "checked"))
     lit = rows.filter((C("kind") == "radio") & C("__when").isNotNull())
@@ -360,44 +381,47 @@ def apply_flip(layers: DataFrame, pairs: DataFrame, axis: str | None) -> DataFra
     return rows
 
 
+def _sibling_groups(layers: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, parent_seq_id, radio) of the targets; targets of one group share all results."""
+    return (
+        layers.join(targets.select(*NODE), NODE, "left_semi")
+        .select(*SIBLINGS, (C("kind") == "radio").alias("radio"))
+        .distinct()
+    )
+
+
+def _peers(layers: DataFrame, targets: DataFrame) -> DataFrame:
+    rows = layers.withColumn("radio", C("kind") == "radio")
+    return rows.join(_sibling_groups(layers, targets), [*SIBLINGS, "radio"], "left_semi")
+
+
 def expand_siblings(layers: DataFrame, targets: DataFrame) -> DataFrame:
-    """One view per sibling of the target's kind: (doc_id, target, view, seq_id, checked).
+    """(doc_id, parent_seq_id, radio, chosen, view): one view per sibling of the targets' kind.
 
-    Siblings of the same kind, radio or not, are off except the view's own; mirror variants
-    get no view. The output lists the chosen layer and, as one row per view, nothing else:
-    the base flags of the kind are off by definition, see ``siblings_base``.
+    In each view the group's other members are off, see ``siblings_base``; mirror variants get
+    no view. Targets of the same group give the same views, which are listed once.
     """
-    t = targets.select("doc_id", C("seq_id").alias("target")).join(
-        layers.select("doc_id", C("seq_id").alias("target"), "parent_seq_id", (C("kind") == "radio").alias("radio")),
-        ["doc_id", "target"],
-    )
-    peers = layers.withColumn("radio", C("kind") == "radio").filter(~C("is_flip_variant"))
-    return t.join(peers.select(*SIBLINGS, "radio", "seq_id", "display", "ordinal"), [*SIBLINGS, "radio"]).select(
-        "doc_id", "target", C("seq_id").alias("chosen"), C("display").alias("view"), "ordinal"
+    return _peers(layers, targets).filter(~C("is_flip_variant")).select(
+        *SIBLINGS, "radio", C("seq_id").alias("chosen"), C("display").alias("view"), "ordinal"
     )
 
 
 def siblings_base(layers: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, target, seq_id): siblings of the target's kind, which every view starts without."""
-    t = targets.select("doc_id", C("seq_id").alias("target")).join(
-        layers.select("doc_id", C("seq_id").alias("target"), "parent_seq_id", (C("kind") == "radio").alias("radio")),
-        ["doc_id", "target"],
-    )
-    return t.join(layers.withColumn("radio", C("kind") == "radio"), [*SIBLINGS, "radio"]).select(
-        "doc_id", "target", "seq_id"
-    )
+    """(doc_id, parent_seq_id, radio, seq_id): siblings that every view of the group starts without."""
+    return _peers(layers, targets).select(*SIBLINGS, "radio", "seq_id")
 
 
 def siblings_filter(layers: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, target, seq_id): the matching filter, ancestors plus the sibling subtrees."""
+    """(doc_id, parent_seq_id, radio, seq_id): the matching filter, ancestors plus sibling subtrees."""
+    groups = _sibling_groups(layers, targets)
     closure = stage(tree_closure(layers), "closure")
-    above = targets.select(*NODE).join(closure, NODE).select(
-        "doc_id", C("seq_id").alias("target"), C("ancestor_seq_id").alias("seq_id")
-    )
+    above = groups.withColumn("node", C("parent_seq_id")).join(
+        closure.select("doc_id", C("seq_id").alias("node"), C("ancestor_seq_id").alias("anc")), ["doc_id", "node"]
+    ).select(*SIBLINGS, "radio", C("anc").alias("seq_id"))
     below = (
         siblings_base(layers, targets)
         .withColumnRenamed("seq_id", "ancestor_seq_id")
         .join(closure, ["doc_id", "ancestor_seq_id"])
-        .select("doc_id", "target", "seq_id")
+        .select(*SIBLINGS, "radio", "seq_id")
     )
     return above.union(below).distinct()

@@ -99,19 +99,21 @@ def tile_dictionary(cells: DataFrame) -> DataFrame:
     Grouping by key and bytes keeps the buffer to two numbers, so map-side hash aggregation
     absorbs a tile that fills a third of all cells. Tiles that share a crc32 key merge after it.
     """
-    exact = cells.groupBy("hash", "px").agg(F.min("p").alias("p"), F.count("*").alias("uses"))
-    if dict(cells.dtypes)["hash"] == "string":
-        return exact.select("hash", "p", "px", "uses")
-    return exact.groupBy("hash").agg(
-        F.min("p").alias("p"), F.min_by("px", F.struct("p", "px")).alias("px"), F.sum("uses").alias("uses")
-    )
+    return _one_per_key(cells.groupBy("hash", "px").agg(F.min("p").alias("p"), F.count("*").alias("uses")))
+
+
+def _one_per_key(exact: DataFrame) -> DataFrame:
+    if dict(exact.dtypes)["hash"] != "string":
+        exact = exact.groupBy("hash").agg(
+            F.min_by("px", F.struct("p", "px")).alias("px"), F.min("p").alias("p"), F.sum("uses").alias("uses")
+        )
+    return exact.select("hash", "p", "px", "uses")
 
 
 def merge_dictionaries(a: DataFrame, b: DataFrame) -> DataFrame:
     """Union of two dictionaries, smallest position and total uses per tile."""
-    return a.unionByName(b).groupBy("hash", "px").agg(F.min("p").alias("p"), F.sum("uses").alias("uses")).select(
-        "hash", "p", "px", "uses"
-    )
+    both = a.unionByName(b).groupBy("hash", "px").agg(F.min("p").alias("p"), F.sum("uses").alias("uses"))
+    return _one_per_key(both)
 
 
 def assign_gids(dictionary: DataFrame) -> DataFrame:

@@ -39,6 +39,7 @@ def tree_walk(
     have children, so the last level costs no join. Orphans and cycles are never reached.
     Each level is staged, so its lineage is one join.
     """
+    nodes = nodes.drop("depth", *carry)
     is_top = F.col(parent_id) == F.lit(top)
     kids = nodes.filter(~is_top)
     level = stage(

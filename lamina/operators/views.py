@@ -166,8 +166,9 @@ def enumerate_views(selects: DataFrame) -> DataFrame:
     """(doc_id, root_id, view_index, select_ord, item_ord) of every combination, last select fastest.
 
     The combinations are index numbers, decoded per select with a stride; no cross join. A
-    root is first cut into index blocks that are spread over tasks. Selects of one item take
-    no part in the strides, and at most 63 larger ones fit a 64-bit index, which bounds the
+    root is cut into index blocks, blocks meet the selects, and only then are they spread over
+    tasks and unrolled in place, so no unrolled row is shuffled. Selects of one item take no
+    part in the strides, and at most 63 larger ones fit a 64-bit index, which bounds the
     stride window.
     """
     sizes = stage(select_sizes(selects), "sizes")
@@ -176,26 +177,27 @@ def enumerate_views(selects: DataFrame) -> DataFrame:
         Window.unboundedPreceding, -1
     )
     strides = many.withColumn("stride", F.coalesce(F.product("size").over(later), F.lit(1.0)).cast("bigint"))
+    coded = strides.select("doc_id", "root_id", "select_ord", "size", "stride").unionByName(
+        sizes.filter("size = 1").withColumn("stride", F.lit(1).cast("bigint"))
+    )
     counts = sizes.groupBy("doc_id", "root_id").agg(F.product("size").cast("bigint").alias("views"))
-    blocks = counts.select(
+    blocks = counts.join(coded, ["doc_id", "root_id"]).select(
         "doc_id",
         "root_id",
+        "select_ord",
+        "size",
+        "stride",
         "views",
         F.explode(F.sequence(F.lit(0), F.expr(f"(views - 1) div {VIEW_BLOCK}"))).alias("block"),
     )
-    spread = blocks.repartition("doc_id", "root_id", "block")
     start = C("block") * VIEW_BLOCK
     stop = F.least(start + VIEW_BLOCK, C("views")) - 1
-    views = spread.select("doc_id", "root_id", F.explode(F.sequence(start, stop)).alias("view_index"))
-    coded = strides.select("doc_id", "root_id", "select_ord", "size", "stride").unionByName(
-        sizes.filter("size = 1").withColumn("stride", F.lit(1).cast("bigint"))
-    )
-    return views.join(coded, ["doc_id", "root_id"]).select(
-        "doc_id",
-        "root_id",
-        "view_index",
-        "select_ord",
-        F.expr("(view_index div stride) % size").alias("item_ord"),
+    return (
+        blocks.repartition("doc_id", "root_id", "block", "select_ord")
+        .select("*", F.explode(F.sequence(start, stop)).alias("view_index"))
+        .select(
+            "doc_id", "root_id", "view_index", "select_ord", F.expr("(view_index div stride) % size").alias("item_ord")
+        )
     )
 
 

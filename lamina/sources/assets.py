@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.operators.scans import running_sum
+from lamina.operators.scans import running_sums
 
 C = F.col
 
@@ -109,8 +109,9 @@ def plan_bundles(entries: DataFrame) -> DataFrame:
         C("directory_offset") + C("directory_size") + F.when(C("wide"), WIDE_TRAILER).otherwise(TRAILER),
     )
     sized = rows.join(plan, "bundle_id").withColumns({"local": C("local") + extra, "record": C("record") + extra})
-    packed = running_sum(sized, ["bundle_id"], "idx", C("local") + C("csize"), "__end")
-    listed = running_sum(packed, ["bundle_id"], "idx", C("record"), "__listed")
+    listed = running_sums(
+        sized, ["bundle_id"], "idx", {"__end": C("local") + C("csize"), "__listed": C("record")}
+    )
     return listed.select(
         "bundle_id",
         "idx",
