@@ -50,11 +50,6 @@ def state_text(lines: DataFrame, newest_first: bool, keys: tuple[str, ...] = ("d
 # -- reading ----------------------------------------------------------------------------------
 
 
-def state_lines(states: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, line) of a wire text; carriage returns are dropped."""
-    return states.select(*keys, F.explode(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n")).alias("line"))
-
-
 def _prefixes(path: Column) -> Column:
     parts = F.split(path, "/")
     return F.transform(
@@ -153,22 +148,40 @@ def apply_state(layers: DataFrame, state: DataFrame) -> DataFrame:
     return settle_radios(out).select(*layers.columns)
 
 
-def state_delta(layers: DataFrame, overlay: DataFrame, filters: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def state_delta(
+    layers: DataFrame,
+    overlay: DataFrame,
+    filters: DataFrame,
+    keys: tuple[str, ...] = (),
+    filter_keys: tuple[str, ...] | None = None,
+    owners: DataFrame | None = None,
+) -> DataFrame:
     """(keys, doc_id, seq_id, checked) for the layers an overlay touches, radios settled.
 
-    ``overlay`` and ``filters`` are path sets closed under prefixes, per ``keys``. Only layers
-    in the filter change; one is off unless listed; nothing below an unlisted one changes.
+    ``overlay`` (per ``keys``) and ``filters`` (per ``filter_keys``) are path sets closed under
+    prefixes; ``owners`` says which filter an overlay uses when the two are keyed differently.
+    Only layers in the filter change; one is off unless listed; nothing below an unlisted one
+    changes. Overlays meet the filter through the parents they list, so only touched layers
+    are ever paired with them.
     """
-    on = [*keys, "doc_id", "path"]
-    slim = layers.select(*NODE, "parent_seq_id", "ordinal", "kind", "path", "parent_path")
-    inside = filters.select(*on).join(slim, ["doc_id", "path"])
-    listed = overlay.select(*on).withColumn("__listed", F.lit(True))
-    parents = overlay.select(*keys, "doc_id", C("path").alias("parent_path")).withColumn("__held", F.lit(True))
-    rows = (
-        inside.join(listed, on, "left")
-        .join(parents, [*keys, "doc_id", "parent_path"], "left")
-        .filter((C("parent_seq_id") == -1) | C("__held"))
-        .withColumn("checked", C("__listed").isNotNull())
+    filter_keys = keys if filter_keys is None else filter_keys
+    if owners is None:
+        owners = filters.select(*keys, "doc_id").distinct()
+    slim = layers.select(
+        *NODE, "parent_seq_id", "ordinal", "kind", "path",
+        F.when(C("parent_seq_id") == -1, "").otherwise(F.concat(F.lit("/"), "parent_path")).alias("__at"),
+    )
+    inside = filters.select(*filter_keys, "doc_id", "path").join(slim, ["doc_id", "path"])
+    listed = overlay.select(*keys, "doc_id", "path").withColumn("__listed", F.lit(True))
+    below = overlay.select(*keys, "doc_id", F.concat(F.lit("/"), "path").alias("__at")).join(owners, [*keys, "doc_id"])
+    extra = [k for k in filter_keys if k not in keys]
+    columns = [*keys, "doc_id", *extra, "__at"]
+    held = below.select(*columns).union(owners.withColumn("__at", F.lit("")).select(*columns))
+    rows = stage(
+        held.join(inside, [*filter_keys, "doc_id", "__at"])
+        .join(listed, [*keys, "doc_id", "path"], "left")
+        .select(*keys, *NODE, "parent_seq_id", "ordinal", "kind", C("__listed").isNotNull().alias("checked")),
+        "touched",
     )
     group = [*keys, *SIBLINGS]
     won = rows.filter((C("kind") == "radio") & C("checked")).groupBy(*group).agg(F.min("ordinal").alias("__won"))

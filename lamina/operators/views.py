@@ -230,24 +230,39 @@ def name_views(
     return rows.select("doc_id", "root_id", "view_index", view_name(whole, style, flat).alias("name"))
 
 
-def _lines(rows: DataFrame, column: str) -> DataFrame:
-    """(doc_id, item_id, path) closed under prefixes."""
+def _lines(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """(doc_id, key, path) closed under prefixes."""
     line = F.explode(F.split(F.replace(column, F.lit("\r"), F.lit("")), "\n"))
     parts = F.split("line", "/")
     prefix = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
     )
     return (
-        rows.select("doc_id", "item_id", line.alias("line"))
-        .select("doc_id", "item_id", F.explode(prefix).alias("path"))
+        rows.select("doc_id", key, line.alias("line"))
+        .select("doc_id", key, F.explode(prefix).alias("path"))
         .distinct()
     )
 
 
 def item_deltas(layers: DataFrame, selects: DataFrame) -> DataFrame:
-    """(item_id, doc_id, seq_id, checked): what choosing an item does, independent of the view."""
-    items = selects.select("doc_id", "item_id", F.coalesce("item_value", F.lit("")).alias("state"), "filter").distinct()
-    return state_delta(layers, _lines(items, "state"), _lines(items, "filter"), keys=("item_id",))
+    """(item_id, doc_id, seq_id, checked): what choosing an item does, independent of the view.
+
+    Items of a select share its filter, which is read once per distinct text.
+    """
+    # an item under nested view roots is listed once per root, with the same content
+    chosen = selects.groupBy("doc_id", "item_id").agg(
+        F.any_value("filter").alias("filter"), F.any_value(F.coalesce("item_value", F.lit(""))).alias("state")
+    )
+    items = stage(chosen.withColumn("filter_id", F.md5("filter")), "items")
+    filters = items.select("doc_id", "filter_id", "filter").distinct()
+    return state_delta(
+        layers,
+        _lines(items, "item_id", "state"),
+        _lines(filters, "filter_id", "filter"),
+        keys=("item_id",),
+        filter_keys=("filter_id",),
+        owners=items.select("item_id", "doc_id", "filter_id"),
+    )
 
 
 def resolve_views(layers: DataFrame, selects: DataFrame, views: DataFrame) -> DataFrame:

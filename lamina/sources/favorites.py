@@ -176,10 +176,20 @@ def favorites_text(chunks: DataFrame) -> DataFrame:
 
 def write_favorites(chunks: DataFrame, path: str) -> None:
     """Write each document as text under ``doc_id=``; file order is line order."""
+    write_ordered(chunks, "chunk", path)
+
+
+def write_outline(lines: DataFrame, path: str) -> None:
+    """Write layer outlines (doc_id, sort_path, line) the same way."""
+    write_ordered(lines, "line", path)
+
+
+def write_ordered(rows: DataFrame, column: str, path: str) -> None:
+    """Text per document in ``sort_path`` order; a large document spans several ordered files."""
     (
-        chunks.repartitionByRange("doc_id", "sort_path")
+        rows.repartitionByRange("doc_id", "sort_path")
         .sortWithinPartitions("doc_id", "sort_path")
-        .select("doc_id", C("chunk").alias("value"))
+        .select("doc_id", C(column).alias("value"))
         .write.partitionBy("doc_id")
         .text(path)
     )
