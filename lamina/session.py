@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 STAGING_CONF = "spark.checkpoint.dir"
 
+#: Folders made for local sessions that name none, by application.
+_own: dict[str, str] = {}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
@@ -26,14 +29,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only for local masters."""
-    configured = spark.conf.get(STAGING_CONF, None)
+    """Shared folder named by the cluster; a temporary one only for local masters without the setting."""
+    configured = spark.conf.get(STAGING_CONF, None) or _own.get(spark.sparkContext.applicationId)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError(f"set {STAGING_CONF} to a shared folder before staging on a cluster")
-    made = tempfile.mkdtemp(prefix="lamina-stage-")
-    spark.conf.set(STAGING_CONF, made)
+    made = _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lamina-stage-")
     return made
 
 
