@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lamina.llm import quality_rules, token_counts
+from lamina.llm import language_id, quality_classifier, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -88,3 +89,28 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TOKEN_LIMIT)
+
+
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; a null id counts as 0 of nothing."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@register("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of the ids is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(_remainder(3) != 1))
+    found = language_id.predict(docs, net)
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; a fifth of the ids is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(_remainder(5) != 0)
+    found = quality_classifier.score(docs, quality_classifier.fit(docs, labels))
+    return found.select(
+        "doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
