@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import language_id, quality_classifier, quality_rules, token_counts
+from lamina.llm import language_id, mixing, quality_classifier, quality_rules, secret_scan, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,3 +114,15 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"
     )
+
+
+@register("op5_secret_scan")
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op10_mixing")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    return mixing.taken(table(spark, sf_dir, "documents"))
