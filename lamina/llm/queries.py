@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import language_id, mixing, quality_classifier, quality_rules, secret_scan, token_counts
+from lamina.llm import (
+    decontaminate,
+    language_id,
+    mixing,
+    order_minhash,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    token_counts,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -126,3 +135,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@register("op4_order_minhash")
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document."""
+    return order_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+@register("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, one row per pair."""
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
