@@ -148,9 +148,10 @@ def offsets(sizes: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
         .select("_src", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
     inside = Window.partitionBy("_src", "_bucket").orderBy("_id", "_size", "_tie")
-    return rows.join(starts, ["_src", "_bucket"]).withColumn(
+    placed = rows.join(starts, ["_src", "_bucket"]).withColumn(
         "_first", F.col("_start") + F.sum("_size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")
     )
+    return stage(placed.select("_src", "_id", "_size", "_total", "_target", "_first"), "mix-places")
 
 
 def mix(
@@ -172,7 +173,7 @@ def mix(
     end = F.least(F.col("_first") + F.col("_size"), F.col("_block") * BLOCK + F.col("_words"))
     pieces = (
         spread.select("_src", "_block", "_id", "_size", "_first")
-        .join(slots(plan, seed), ["_src", "_block"])
+        .join(slots(plan, seed).hint("merge"), ["_src", "_block"])  # its size can't be told from the sources'
         .where(end > begin)
         .select(
             "shard", "position", "_src", "_id", "_size", "_first",
