@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lamina.llm import (
     decontaminate,
     language_id,
+    lpf_dedup,
     mixing,
     order_minhash,
     quality_classifier,
@@ -147,3 +148,9 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, one row per pair."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document less those of strings that start earlier."""
+    return lpf_dedup.remove(table(spark, sf_dir, "documents"))
