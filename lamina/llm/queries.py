@@ -17,6 +17,7 @@ from lamina.llm import (
     quality_rules,
     secret_scan,
     token_counts,
+    url_filter,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,3 +155,52 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document less those of strings that start earlier."""
     return lpf_dedup.remove(table(spark, sf_dir, "documents"))
+
+
+def _urls_sql() -> str:
+    u = url_filter
+    fits = lambda of, begin: f"(host = '{of}' OR ends_with(host, '.{of}')) AND starts_with(path, '{begin}')"
+    longest = sorted(u.RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN {fits(o, b)} THEN '{o}{b}'" for _, o, b in longest) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(o, b)} THEN '{v}'" for v, o, b in longest) + " END"
+    counts = "count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS blocked"
+    steps = ["""
+    r0 AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts, '' AS template FROM labels_)"""]
+    for k in range(u.DEPTH):
+        steps.append(f"""
+    s{k} AS (SELECT host, template, parts[{k + 1}] AS segment, {counts} FROM r{k} WHERE len(parts) > {k} GROUP BY ALL),
+    n{k} AS (SELECT host, template, sum(n) AS n_, sum(labelled) AS labelled_, sum(blocked) AS blocked_
+             FROM s{k} GROUP BY ALL),
+    k{k} AS (
+      SELECT host, template, segment FROM (
+        SELECT *, (blocked_ + 0.5::DOUBLE) / (labelled_ + 1.0::DOUBLE) AS pooled FROM s{k} JOIN n{k} USING (host, template))
+      WHERE n >= {u.LEAST} AND n >= {u.SHARE}::DOUBLE * n_ AND NOT (labelled >= {u.LABELLED}
+        AND abs(blocked / greatest(labelled, 1)::DOUBLE - pooled)
+            <= {u.ALIKE}::DOUBLE * sqrt(pooled * (1.0::DOUBLE - pooled) / greatest(labelled, 1)))),
+    r{k + 1} AS (
+      SELECT r.* REPLACE (r.template || CASE WHEN len(parts) <= {k} THEN '' WHEN k.segment IS NULL THEN '/{u.WILD}'
+                          ELSE '/' || k.segment END AS template)
+      FROM r{k} r LEFT JOIN k{k} k ON k.host = r.host AND k.template = r.template AND k.segment = r.parts[{k + 1}])""")
+    return f"""
+    WITH parsed_ AS (
+      SELECT page_id,
+             translate(regexp_extract(coalesce(url, ''), '{u.URL}', 1), '{u.UPPER}', '{u.LOWER}') AS host,
+             regexp_extract(coalesce(url, ''), '{u.URL}', 2) AS path FROM pages),
+    ruled_ AS (SELECT *, {rule} AS rule, {verdict} AS said FROM parsed_),
+    labels_ AS (SELECT *, CASE WHEN said IS NOT NULL THEN CAST(said = 'block' AS BIGINT) END AS label FROM ruled_),
+    {",".join(steps)},
+    placed AS (SELECT * REPLACE (template || CASE WHEN len(parts) > {u.DEPTH} THEN '/**' ELSE '' END AS template)
+               FROM r{u.DEPTH}),
+    pure AS (SELECT host, template,
+                    (coalesce(sum(label), 0) + {u.SMOOTH}::DOUBLE) / (count(label) + {2 * u.SMOOTH}::DOUBLE) AS purity
+             FROM placed GROUP BY ALL)
+    SELECT page_id, host, path, rule, template, purity,
+           coalesce(said, CASE WHEN purity >= {u.PURE} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM placed JOIN pure USING (host, template)
+    """
+
+
+@register("op2_url_filter", _urls_sql())
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return url_filter.judge(table(spark, sf_dir, "pages"))
