@@ -11,11 +11,16 @@ k-mers are distinct, the chain is a longest increasing run of positions.
 
 1. Equal word sequences are collapsed to their least id.
 2. In every bucket all members are compared with the least one; links give components.
-3. In buckets with several components, members of different components are compared. Buckets of over
-   BUCKET members are first split by pairs of sketches. Links of both rounds give the classes.
-So a group of thousands costs a few comparisons for each member. Pairs are first held against their
-sketches (two equal ones at least), and their sizes; texts of candidates are read once. No bucket, chain
-or group is cut off. At similarity 0.8 a pair misses the buckets with probability 1e-5.
+3. Buckets that hold several components are looked at again. Where at most BUCKET texts share a bucket,
+   members of different components are compared. Fuller buckets are first split by a second sketch,
+   which parts texts that share a passage. Parts still full are families of copies: their members are
+   compared by what sets them apart from the least member. Two of them can only be linked if these
+   differences overlap, so minima over the differences are their buckets.
+4. Links of all rounds give the classes.
+So a passage in a third of all texts, or thousands of copies that differ pairwise, cost a few rows for
+each member. Pairs are first held against their sketches (two equal ones at least) and their sizes;
+texts of candidates are read once. No bucket, chain or group is cut off. At similarity 0.8 a pair
+misses all buckets, or agrees on a single sketch, with probability 1e-5.
 
 Defined cases: a text without words is alone in its class; a null id has a null class; a repeated id or
 row gives a row each time; texts under SHINGLE words are one k-mer; other columns are ignored.
@@ -39,8 +44,9 @@ SHINGLE = 5
 SAMPLE = 3
 SKETCHES = 20
 THRESHOLD = 0.8
-BUCKET = 50
-NEXT = 6
+BUCKET = 8
+NEXT = 4
+APART = 5
 PIECE_BYTES = 1 << 20
 _ODD = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 _TOP = U64(2**64 - 1)
@@ -157,38 +163,85 @@ def sketched(docs: DataFrame, text: str, id_col: str) -> DataFrame:
     return stage(map_batches(rows, run, f"_id {kind}, _k1 long, _k2 long, _n long, _s array<long>"), "sketches")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that are linked."""
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sizes allow a link and that agree on two sketches."""
     side = lambda x: nodes.select(F.col("_id").alias(x), F.col("_s").alias(f"_s{x}"), F.col("_n").alias(f"_n{x}"))
     equal = F.size(F.filter(F.zip_with("_sa", "_sb", lambda x, y: x == y), lambda same: same))
-    likely = (
+    return (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .where(F.least("_na", "_nb") >= threshold * F.greatest("_na", "_nb"))
         .where(equal >= 2)
         .select("a", "b")
     )
-    told = (
-        likely.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a")
+
+
+def _told(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, _ta, _tb) of pairs (a, b)."""
+    return (
+        pairs.join(texts.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a")
         .join(texts.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
         .select("a", "b", "_ta", "_tb")
     )
+
+
+def _kmer_pairs(piece: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    left, n_left, _ = labelled_kmers(*flat(piece.column(2)))
+    right, n_right, _ = labelled_kmers(*flat(piece.column(3)))
+    for x, n, y, m in zip(np.cumsum(n_left), n_left, np.cumsum(n_right), n_right, strict=True):
+        yield left[x - n : x], right[y - m : y]
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that are linked."""
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches, "_ta", PIECE_BYTES):
-            left, n_left, _ = labelled_kmers(*flat(piece.column(2)))
-            right, n_right, _ = labelled_kmers(*flat(piece.column(3)))
-            at, bt = np.cumsum(n_left), np.cumsum(n_right)
-            linked = [
-                chain(left[x - n : x], right[y - m : y], threshold)
-                for x, n, y, m in zip(at, n_left, bt, n_right, strict=True)
-            ]
+            linked = [chain(x, y, threshold) for x, y in _kmer_pairs(piece)]
             yield piece.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
+    told = _told(_likely(pairs, nodes, threshold), texts)
     return stage(map_batches(told, run, f"a {kind}, b {kind}"), "verified")
 
 
+def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_key, _id): APART buckets for each b of pairs (a, b), by minima over the k-mers that only one of the two has."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "_ta", PIECE_BYTES):
+            least = np.zeros((piece.num_rows, APART), U64)
+            for i, (x, y) in enumerate(_kmer_pairs(piece)):
+                apart = np.setxor1d(x, y, assume_unique=True)
+                if len(apart):
+                    least[i] = [mix(apart ^ _ODD[40 + j]).min() for j in range(APART)]
+            at = np.repeat(np.arange(piece.num_rows), APART)
+            part = piece.select(["a", "b"]).take(pa.array(at))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.ravel().view(np.int64))], ["a", "b", "v"])
+
+    made = map_batches(_told(pairs, texts), run, f"a {kind}, b {kind}, v long")
+    return made.select(F.xxhash64("a", "v").alias("_key"), F.col("b").alias("_id"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Rows (_key, _id, component, ...) of buckets with several components, and the members and least id of each."""
+    held = members.groupBy("_key").agg(
+        F.count("*").alias("_many"),
+        F.min("_id").alias("_least"),
+        F.min("component").alias("_c1"),
+        F.max("component").alias("_c2"),
+    )
+    return members.join(held.where("_c1 <> _c2").drop("_c1", "_c2"), "_key")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of rows that share _key and differ in component."""
+    left = members.select("_key", F.col("_id").alias("a"), F.col("component").alias("_ca"))
+    right = members.select("_key", F.col("_id").alias("b"), F.col("component").alias("_cb"))
+    return left.join(right, "_key").where("_ca < _cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def classes(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -219,26 +272,25 @@ def classes(
     links = _verified(stars, small, texts, threshold)
     named = components(links, "a", "b")
 
-    known = members.join(named.withColumnRenamed("node", "_id"), "_id", "left").withColumn(
-        "component", F.coalesce("component", "_id")
-    )
-    mixed = known.groupBy("_key").agg(F.min("component").alias("_c1"), F.max("component").alias("_c2")).where("_c1 <> _c2")
-    open_ = stage(known.join(mixed.select("_key"), "_key"), "open")
-    few = open_.where(F.col("_many") <= BUCKET).select("_key", "_id", "component")
+    named = named.withColumnRenamed("node", "_id")
+    in_part = lambda df: df.join(named, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
+    open_ = stage(_mixed(in_part(members.select("_key", "_id", "_j"))), "open")
+    few = open_.where(F.col("_many") <= BUCKET)
     ahead = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.pmod(F.col("_j") + d, F.lit(SKETCHES)))
     split = (
         open_.where(F.col("_many") > BUCKET)
-        .join(small.select("_id", "_s", "_n"), "_id")
+        .join(small.select("_id", "_s"), "_id")
         .select("_id", "component", "_key", "_s", F.explode(ahead).alias("_j2"))
-        .select(
-            F.xxhash64("_key", "_j2", F.get("_s", F.col("_j2"))).alias("_key"), "_id", "component"
-        )
+        .select(F.xxhash64("_key", "_j2", F.get("_s", F.col("_j2"))).alias("_key"), "_id", "component")
     )
-    parts = few.unionAll(split)
-    left = parts.select("_key", F.col("_id").alias("a"), F.col("component").alias("_ca"))
-    right = parts.select("_key", F.col("_id").alias("b"), F.col("component").alias("_cb"))
-    across = left.join(right, "_key").where("_ca < _cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = across.distinct().join(stars, ["a", "b"], "left_anti")
+    parts = stage(_mixed(split), "parts")
+    family = parts.where(F.col("_many") > BUCKET).select(F.col("_least").alias("a"), F.col("_id").alias("b")).distinct()
+    apart = _mixed(in_part(_differences(family, texts).distinct()))
+    again = [few, parts.where(F.col("_many") <= BUCKET), apart]
+    across = again[0].select("_key", "_id", "component")
+    for more in again[1:]:
+        across = across.unionAll(more.select("_key", "_id", "component"))
+    across = _across(across).unionAll(family.where("a <> b")).distinct().join(stars, ["a", "b"], "left_anti")
     every = links.unionAll(_verified(across, small, texts, threshold))
     named = components(every, "a", "b")
 
