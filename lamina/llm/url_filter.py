@@ -8,7 +8,8 @@ beyond DEPTH segments as ``**``. Its purity is the smoothed share of blocked url
 ones, and urls that no rule decides are blocked when their template is at least PURE.
 
 Levels are aggregates and joins by (host, template so far, segment), so a host with a third of all urls
-is aggregated before it is shuffled, and its joins are against tables of frequent segments only.
+is aggregated before it is shuffled, and its joins are against tables of frequent segments only. Each
+level is written to the staging folder, which keeps the plan as short at every depth.
 
 Defined cases: a null url or one without ``://`` has empty host and path; ids may be null or repeated
 (one row out per row in); an empty table has no templates; other columns are ignored.
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.session import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed values: (verdict, host, path) of the rules.
@@ -94,6 +97,7 @@ def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
             F.concat(F.lit("/"), F.when(F.col("_known"), F.col("_segment")).otherwise(F.lit(WILD)))
         )
         rows = joined.withColumn("_template", F.concat("_template", step)).drop("_segment", "_known")
+        rows = stage(rows, "url-level")  # read twice by the next level
     return rows.withColumn(
         "_template", F.concat("_template", F.when(F.size("_parts") > depth, F.lit("/**")).otherwise(F.lit("")))
     )
