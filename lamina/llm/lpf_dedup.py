@@ -43,7 +43,7 @@ GRAM = 24
 SPAN = LEAST - GRAM + 1
 PIECE_BYTES = 2 << 20
 SEGMENT = 1 << 22
-GROUP = 20000
+GROUP = 40000  # about 0.3 GB of suffix keys in a task
 CHUNK = 4096
 NO_ID = 2**63 - 1
 _PLACE = U64((1 << 24) - 1)
