@@ -13,9 +13,11 @@ k-mers are distinct, the chain is a longest increasing run of positions.
 2. In every bucket all members are compared with the least one; links give components.
 3. Buckets that hold several components are looked at again. Where at most BUCKET texts share a bucket,
    members of different components are compared. Fuller buckets are first split by a second sketch,
-   which parts texts that share a passage. Parts still full are families of copies: their members are
-   compared by what sets them apart from the least member. Two of them can only be linked if these
-   differences overlap, so minima over the differences are their buckets.
+   which parts texts that share a passage. Parts still full are families of copies that differ
+   pairwise. Their k-mers are counted over the families, and each text is also listed under its rarest
+   ones: as many as leave too few others for a link, so linked texts meet there. In every part and under every
+   k-mer, members are compared with the most central one; where RARE members or fewer share a k-mer,
+   with one another.
 4. Links of all rounds give the classes.
 So a passage in a third of all texts, or thousands of copies that differ pairwise, cost a few rows for
 each member. Pairs are first held against their sketches (two equal ones at least) and their sizes;
@@ -46,7 +48,7 @@ SKETCHES = 20
 THRESHOLD = 0.8
 BUCKET = 8
 NEXT = 4
-APART = 5
+RARE = 8
 PIECE_BYTES = 1 << 20
 _ODD = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 _TOP = U64(2**64 - 1)
@@ -205,23 +207,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: f
     return stage(map_batches(told, run, f"a {kind}, b {kind}"), "verified")
 
 
-def _differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(_key, _id): APART buckets for each b of pairs (a, b), by minima over the k-mers that only one of the two has."""
-    kind = pairs.schema["a"].dataType.simpleString()
+def _families(parts: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """For parts (_key, _id): pairs (a, b) with central members, and buckets (_key, _id) of rare k-mers.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, "_ta", PIECE_BYTES):
-            least = np.zeros((piece.num_rows, APART), U64)
-            for i, (x, y) in enumerate(_kmer_pairs(piece)):
-                apart = np.setxor1d(x, y, assume_unique=True)
-                if len(apart):
-                    least[i] = [mix(apart ^ _ODD[40 + j]).min() for j in range(APART)]
-            at = np.repeat(np.arange(piece.num_rows), APART)
-            part = piece.select(["a", "b"]).take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.ravel().view(np.int64))], ["a", "b", "v"])
+    A k-mer's count is the number of family members that have it; the most central member of a group
+    is the one whose k-mers have the highest mean count. Linked texts share at least threshold of
+    the k-mers of each, so with all k-mers ordered by count they share one of the first
+    n - ceil(threshold * n) + 1 of each; those that no other member has are left out after counting.
+    """
+    ids = parts.select("_id").distinct()
+    rows = texts.join(ids, "_id", "left_semi").repartition("_id").select("_id", "_text")
+    kind = rows.schema["_id"].dataType.simpleString()
 
-    made = map_batches(_told(pairs, texts), run, f"a {kind}, b {kind}, v long")
-    return made.select(F.xxhash64("a", "v").alias("_key"), F.col("b").alias("_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "_text", PIECE_BYTES):
+            kmers, many, _ = labelled_kmers(*flat(piece.column(1)))
+            at = pa.array(np.repeat(np.arange(piece.num_rows), many))
+            size = pa.array(np.repeat(many, many))
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0).take(at), pa.array(kmers.view(np.int64)), size], ["_id", "_kmer", "_n"]
+            )
+
+    listed = stage(map_batches(rows, run, f"_id {kind}, _kmer long, _n long"), "kmers")
+    shared = listed.groupBy("_kmer").agg(F.count("*").alias("_df")).where("_df > 1")
+    counted = stage(listed.join(shared, "_kmer"), "counted")
+    held = counted.groupBy("_id").agg(
+        F.first("_n").alias("_n"),
+        (F.sum("_df") / F.first("_n")).alias("_score"),
+        F.sort_array(F.collect_list(F.struct("_df", "_kmer"))).alias("_k"),  # bounded by the text
+    )
+    held = stage(held, "family")
+    first = F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1
+    rarest = F.slice("_k", F.lit(1), F.greatest(first - (F.col("_n") - F.size("_k")), F.lit(0)).cast("int"))
+    own = held.select("_id", "_score", F.explode(rarest).alias("_x")).select(F.col("_x._kmer").alias("_key"), "_id", "_score")
+    groups = parts.join(held.select("_id", "_score"), "_id").select("_key", "_id", "_score").unionAll(own)
+    centre = groups.groupBy("_key").agg(F.max(F.struct("_score", "_id"))["_id"].alias("c"))
+    stars = groups.join(centre, "_key").where("_id <> c").select(F.least("c", "_id").alias("a"), F.greatest("c", "_id").alias("b"))
+    return stars.distinct(), counted.where(F.col("_df") <= RARE).select(F.col("_kmer").alias("_key"), "_id")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -284,13 +306,12 @@ def classes(
         .select(F.xxhash64("_key", "_j2", F.get("_s", F.col("_j2"))).alias("_key"), "_id", "component")
     )
     parts = stage(_mixed(split), "parts")
-    family = parts.where(F.col("_many") > BUCKET).select(F.col("_least").alias("a"), F.col("_id").alias("b")).distinct()
-    apart = _mixed(in_part(_differences(family, texts).distinct()))
-    again = [few, parts.where(F.col("_many") <= BUCKET), apart]
-    across = again[0].select("_key", "_id", "component")
-    for more in again[1:]:
-        across = across.unionAll(more.select("_key", "_id", "component"))
-    across = _across(across).unionAll(family.where("a <> b")).distinct().join(stars, ["a", "b"], "left_anti")
+    central, rare = _families(parts.where(F.col("_many") > BUCKET).select("_key", "_id"), texts, threshold)
+    across = few.select("_key", "_id", "component").unionAll(
+        parts.where(F.col("_many") <= BUCKET).select("_key", "_id", "component")
+    )
+    pairs = _across(across).unionAll(_across(in_part(rare).select("_key", "_id", "component"))).unionAll(central)
+    across = pairs.distinct().join(stars, ["a", "b"], "left_anti")
     every = links.unionAll(_verified(across, small, texts, threshold))
     named = components(every, "a", "b")
 
