@@ -43,7 +43,8 @@ GRAM = 24
 SPAN = LEAST - GRAM + 1
 PIECE_BYTES = 2 << 20
 SEGMENT = 1 << 22
-GROUP = 40000  # about 0.3 GB of suffix keys in a task
+GROUP = 40000
+SUFFIXES = 200000
 CHUNK = 4096
 NO_ID = 2**63 - 1
 _PLACE = U64((1 << 24) - 1)
@@ -354,13 +355,19 @@ def _compared(found: DataFrame, rows: DataFrame) -> DataFrame:
         held = held.chunk(0) if isinstance(held, pa.ChunkedArray) else held
         ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
         buf = np.frombuffer(held.buffers()[2], np.uint8)
-        tie, start, _, n = _unplace(place)
+        tie, start, away, n = _unplace(place)
         window = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
         at, where = ends[window] + nth, start[window] + nth
         order = np.empty(len(at), np.int64)
         order[np.lexsort((where, tie[window], doc[window]))] = np.arange(len(at))
-        covered = _covered_strings(buf, at, group[window], order)
+        # Equal strings lie equally far from their anchor, so distances are sorted apart, some at a time.
+        covered = np.zeros(len(at), bool)
+        distance = away[window] - nth
+        slices = -(-len(at) // SUFFIXES)
+        for k in range(slices):
+            own = np.flatnonzero(distance % slices == k)
+            covered[own] = _covered_strings(buf, at[own], group[window[own]], order[own])
         hit = np.flatnonzero(covered)
         if len(hit):
             a, b, own = _joined(where[hit], where[hit] + LEAST, window[hit])

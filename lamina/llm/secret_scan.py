@@ -223,10 +223,10 @@ def cuts(spans: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, float]
     return out
 
 
-def _with_spans(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with base spans ``_b`` and tested tokens ``_t``."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumn("_b", base_spans(whole)).withColumn("_t", tested_spans(whole, F.col("_b")))
+def _with_spans(rows: DataFrame) -> DataFrame:
+    """``rows`` with base spans ``_b`` and tested tokens ``_t`` of ``_text``."""
+    whole = F.coalesce(F.col("_text"), F.lit(""))
+    return rows.withColumn("_b", base_spans(whole)).withColumn("_t", tested_spans(whole, F.col("_b")))
 
 
 def _accepted(found: DataFrame, limits: dict[int, float]) -> DataFrame:
@@ -253,7 +253,7 @@ def _written(spans: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", false_share: float = FALSE_SHARE) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every row."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    found = _with_spans(rows, "_text")
+    found = _with_spans(rows)
     found = _accepted(found, cuts(found, false_share))
     many = lambda column, k: F.size(F.filter(column, lambda s: s["rank"] == k)).cast("long")
     return found.select(
@@ -269,9 +269,9 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", false_shar
 
 def redact(docs: DataFrame, text: str = "text", mark: str = REDACTED, false_share: float = FALSE_SHARE) -> DataFrame:
     """``docs`` with every span, overlapping ones joined, replaced by ``mark``; other columns as they are."""
-    found = _with_spans(docs, text)
+    found = _with_spans(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")))
     limits = cuts(found.select("_t"), false_share)
-    whole = F.col(text)
+    whole = F.col("_text")
 
     def step(state: Column, s: Column) -> Column:
         begins = s["start"] >= state["at"]
@@ -285,5 +285,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = REDACTED, false_shar
     clean = F.aggregate(
         "_s", start, step, lambda x: F.concat(x["out"], F.substring(whole, x["at"] + 1, F.length(whole)))
     )
-    kept = _accepted(found, limits)
-    return kept.withColumn(text, F.when(F.size("_s") > 0, clean).otherwise(whole)).select(docs.columns)
+    changed = F.when(F.size("_s") > 0, clean).otherwise(whole)
+    return _accepted(found, limits).select(
+        *[changed.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns]
+    )
