@@ -7,8 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
-from samples import SCHEMA, WORDS, awkward, frame, prose
+from samples import awkward, frame, prose
 
 from lamina.llm import language_id, quality_classifier, quality_rules, secret_scan, token_counts, url_filter
 
@@ -188,8 +187,6 @@ def test_language_is_learned_from_text_alone(spark):
 def test_gradients_match_differences():
     rng = np.random.default_rng(1)
     net = language_id.Network.fresh(["a", "b", "c"], rng)
-    for k, w in enumerate(net.weights()):
-        w += rng.normal(0, 0.01, w.shape).astype(w.dtype) * (k > 0)
     windows = rng.integers(1, 255, (6, 40)).astype(np.uint8)
     wanted = np.array([0, 1, 2, 0, 1, 2])
 
@@ -199,8 +196,7 @@ def test_gradients_match_differences():
     grads = net.gradients(windows, wanted)
     for weight, grad in zip(net.weights(), grads, strict=True):
         at = np.unravel_index(np.abs(grad).argmax(), grad.shape)
-        print(weight.shape, at)
-        held, step = weight[at], 2e-4
+        held, step = weight[at], 1e-3
         weight[at] = held + step
         up = loss()
         weight[at] = held - step
@@ -235,4 +231,3 @@ def test_quality_without_two_labels(spark, rows):
     model = quality_classifier.fit(frame(spark), marked)
     scores = {round(r.score, 6) for r in quality_classifier.score(frame(spark), model).collect()}
     assert len(scores) == 1 and (not rows or rows[0][0] is None) == (scores == {0.5})
-    assert SCHEMA and WORDS and F
