@@ -31,14 +31,13 @@ def _files(spark, sf):
         .when(C("lang") == "de", F.unhex(F.lit("377ABCAF")))
         .otherwise(F.unhex(F.lit("0001")))
     )
-    body = F.when(C("lang").isin("en", "fr", "de"), C("text")).otherwise("")
-    return table(spark, sf, "documents").select("doc_id", F.concat(head, body.cast("binary")).alias("content"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(head, C("text").cast("binary")).alias("content"))
 
 
 @register(
     "classify_assets",
     """SELECT doc_id, CASE lang WHEN 'en' THEN 'image' WHEN 'fr' THEN 'archive' WHEN 'de' THEN 'rejected' ELSE 'unsupported' END AS kind,
-      CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN NULL WHEN 'de' THEN '7z archive is not supported' ELSE 'unsupported file type' END AS reason
+      CASE lang WHEN 'en' THEN NULL WHEN 'fr' THEN NULL WHEN 'de' THEN 'archive format without a reader' ELSE 'unknown first bytes' END AS reason
       FROM documents""",
 )
 def _classify(spark, sf):
@@ -140,7 +139,7 @@ def _coded(spark, sf):
     content = (
         F.when(C("lang") == "en", F.encode(text, "UTF-16"))
         .when(C("lang") == "fr", F.concat(F.unhex(F.lit("EFBBBF")), text.cast("binary")))
-        .when(C("lang") == "de", F.concat(F.unhex(F.lit("93FA967B8CEA")), F.encode(F.substring("lang", 1, 2), "US-ASCII")))
+        .when(C("lang") == "de", F.concat(F.unhex(F.lit("93FA967B8CEA")), F.encode(F.regexp_replace(text, r"[^\x00-\x7F]", ""), "US-ASCII")))
         .otherwise(text.cast("binary"))
     )
     return table(spark, sf, "documents").select("doc_id", content.alias("content"))
@@ -232,8 +231,8 @@ def _stream_tiles(spark, sf):
 @register("stream_recent_versions")
 def _stream_ring(spark, sf):
     events = _file_stream(spark, sf, "events").select(
-        (C("user_id") % 4).alias("user"),
-        C("user_id").alias("session"),
+        C("user_id").alias("user"),
+        (C("event_id") % 3).alias("session"),
         F.unix_micros(C("ts").cast("timestamp")).alias("ts_us"),
         F.md5("event_type").alias("doc_hash"),
         F.md5("props").alias("id"),

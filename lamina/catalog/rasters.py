@@ -151,9 +151,12 @@ def _mask(spark, sf):
 
 
 def _two(spark, sf):
+    """Every layer with the next one of its document: all layers but the last, all but the first, masks of the former."""
     px, masks, _ = _masked_layers(spark, sf)
-    pick = lambda n: px.filter(C("seq_id") == n).drop("seq_id")
-    return pick(1), pick(2), masks.filter("seq_id = 1").drop("seq_id")
+    pair = F.concat_ws("/", "doc_id", C("seq_id").cast("string")).alias("doc_id")
+    before = F.concat_ws("/", "doc_id", (C("seq_id") - 1).cast("string")).alias("doc_id")
+    held = lambda df, key: df.select(key, *[c for c in df.columns if c not in ("doc_id", "seq_id")])
+    return held(px, pair), held(px.filter("seq_id > 1"), before), held(masks, pair)
 
 
 @register(
@@ -161,7 +164,7 @@ def _two(spark, sf):
     "WITH "
     + STACK_SQL
     + _SQL_MASKED
-    + ", g AS (SELECT * FROM px WHERE seq_id = 1), d AS (SELECT * FROM px WHERE seq_id = 2), k AS (SELECT * FROM masks WHERE seq_id = 1) SELECT doc_id, x, y, "
+    + ", g AS (SELECT * REPLACE (doc_id || '/' || seq_id AS doc_id) FROM px), d AS (SELECT * REPLACE (doc_id || '/' || (seq_id - 1) AS doc_id) FROM px WHERE seq_id > 1), k AS (SELECT * REPLACE (doc_id || '/' || seq_id AS doc_id) FROM masks) SELECT doc_id, x, y, "
     + ", ".join(
         f"(coalesce(g.{c}, 0) * coalesce(m, 0)) // 255 + (coalesce(d.{c}, 0) * (255 - coalesce(m, 0))) // 255 AS {c}" for c in "rgba"
     )
@@ -176,7 +179,7 @@ def _pass_through(spark, sf):
     "WITH "
     + STACK_SQL
     + _SQL_MASKED
-    + ", g AS (SELECT * FROM px WHERE seq_id = 1), d AS (SELECT * FROM px WHERE seq_id = 2), gaps AS (SELECT doc_id, greatest("
+    + ", g AS (SELECT * REPLACE (doc_id || '/' || seq_id AS doc_id) FROM px), d AS (SELECT * REPLACE (doc_id || '/' || (seq_id - 1) AS doc_id) FROM px WHERE seq_id > 1), gaps AS (SELECT doc_id, greatest("
     + ", ".join(f"abs(coalesce((g.{c} * g.a) // 255, 0) - coalesce((d.{c} * d.a) // 255, 0))" for c in "rgb")
     + ", abs(coalesce(g.a, 0) - coalesce(d.a, 0))) AS gap FROM g FULL JOIN d USING (doc_id, x, y)) SELECT doc_id, max(gap) AS max_delta, count(*) FILTER (WHERE gap > 2) AS over FROM gaps GROUP BY doc_id",
 )

@@ -187,7 +187,7 @@ _SQL_COUNTS = ", counts AS (SELECT doc_id, root_id, max(size) FILTER (WHERE sele
     _SQL_SELECTS + _SQL_COUNTS + "SELECT doc_id, root_id, coalesce(na, 1) * coalesce(nn, 1) AS views FROM counts",
 )
 def _count(spark, sf):
-    return V.count_views(selects_of(spark, sf))
+    return V.count_views(selects_of(spark, sf)).withColumn("views", C("views").cast("bigint"))
 
 
 _SQL_VIEWS = _SQL_SELECTS + _SQL_COUNTS + """, idx AS (SELECT *, unnest(range(coalesce(na, 1) * coalesce(nn, 1))) AS view_index FROM counts),
@@ -374,10 +374,18 @@ def _saves(spark, sf):
     "WITH "
     + _SQL_SAVES
     + """, begun AS (SELECT session, doc_hash, min(ts) AS t0 FROM saves WHERE entries > 0 GROUP BY ALL),
-  last AS (SELECT * FROM saves JOIN begun USING (session, doc_hash) WHERE ts >= t0
-    QUALIFY row_number() OVER (PARTITION BY session, doc_hash ORDER BY ts DESC, id DESC) = 1),
-  uniq AS (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY doc_hash, id ORDER BY ts DESC, session DESC) = 1)
-  SELECT doc_hash, id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved, session, data, entries FROM uniq ORDER BY ts DESC, id LIMIT 8""",
+  stored AS (SELECT saves.*, row_number() OVER (ORDER BY ts, id, session) AS n FROM saves JOIN begun USING (session, doc_hash) WHERE ts >= t0),
+  known AS (SELECT *, lag(id) OVER (PARTITION BY doc_hash, session ORDER BY n) AS was FROM stored),
+  again AS (SELECT a.n, min(b.n) AS m FROM known a JOIN known b ON a.doc_hash = b.doc_hash AND a.id = b.id AND b.n > a.n GROUP BY a.n),
+  taken AS (SELECT a.n, min(b.n) AS m FROM known a JOIN known b ON a.doc_hash = b.doc_hash AND a.id = b.was AND b.id <> b.was AND b.n > a.n GROUP BY a.n),
+  lives AS (SELECT known.*, least(again.m, taken.m) AS gone FROM known LEFT JOIN again USING (n) LEFT JOIN taken USING (n)),
+  newest AS (SELECT * FROM lives WHERE gone IS NULL ORDER BY n DESC LIMIT 8),
+  steps AS (SELECT newest.n AS mine, e.n AS place, 1 AS d FROM newest JOIN lives e ON e.n > newest.n
+    UNION ALL SELECT newest.n, e.gone, -1 FROM newest JOIN lives e ON e.n > newest.n WHERE e.gone IS NOT NULL),
+  crowd AS (SELECT mine, place, sum(d) AS d FROM steps GROUP BY ALL),
+  most AS (SELECT mine, max(c) AS c FROM (SELECT mine, sum(d) OVER (PARTITION BY mine ORDER BY place) AS c FROM crowd) GROUP BY mine)
+  SELECT doc_hash, id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved, session, data, entries
+  FROM newest LEFT JOIN most ON mine = n WHERE coalesce(c, 0) < 8 ORDER BY ts DESC, id""",
 )
 def _recent(spark, sf):
     return V.recent_versions(_saves(spark, sf)).select(
@@ -388,7 +396,7 @@ def _recent(spark, sf):
 @register(
     "recent_list",
     """SELECT event_id::VARCHAR AS id, (user_id % 3)::INTEGER AS entries, event_type = 'click' AS this_document,
-        (user_id % 3)::VARCHAR || ' item(s) / Created at ' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS label
+        strftime(ts, '%Y-%m-%d %H:%M:%S') AS saved
       FROM events ORDER BY ts DESC, id LIMIT 8""",
 )
 def _recent_list(spark, sf):
@@ -396,7 +404,7 @@ def _recent_list(spark, sf):
     versions = table(spark, sf, "events").select(
         C("event_id").cast("string").alias("id"), "ts", C("event_type").alias("doc_hash"), data.alias("data")
     )
-    return V.recent_list(versions, "click").select("id", "entries", "this_document", "label")
+    return V.recent_list(versions, "click").select("id", "entries", "this_document", "saved")
 
 
 _SQL_SPACE = r"[\x09-\x0d \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
@@ -426,8 +434,8 @@ def _renames(spark, sf):
 
 _SQL_RENAMES = """, renames AS (SELECT doc_id, flag || '/' || ln AS node_id, flag || ln AS sort_path,
     CASE WHEN disc > 0.05 THEN '' ELSE 'n' || qty END AS new_text FROM lines),
-  numbered AS (SELECT doc_id, node_id, CASE WHEN new_text <> '' THEN new_text ELSE right('0000' ||
-    (6 + row_number() OVER (PARTITION BY doc_id, new_text = '' ORDER BY sort_path))::VARCHAR, 3) END AS new_text FROM renames)"""
+  numbered AS (SELECT doc_id, node_id, CASE WHEN new_text <> '' THEN new_text WHEN n < 100 THEN right('000' || n, 3) ELSE n::VARCHAR END AS new_text
+    FROM (SELECT *, 6 + row_number() OVER (PARTITION BY doc_id, new_text = '' ORDER BY sort_path) AS n FROM renames))"""
 
 
 @register("auto_number", "WITH " + LINES_SQL + _SQL_RENAMES + "SELECT * FROM numbered")

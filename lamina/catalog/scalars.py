@@ -160,8 +160,8 @@ def _crc(spark, sf):
 
 @register(
     "sequence_name",
-    """SELECT o_orderkey, o_orderstatus || right('0000' || greatest(o_orderkey - 5, 0)::VARCHAR, 4) AS file_name
-       FROM orders""",
+    """SELECT o_orderkey, o_orderstatus || CASE WHEN greatest(o_orderkey - 5, 0) < 1000 THEN right('0000' || greatest(o_orderkey - 5, 0)::VARCHAR, 4)
+         ELSE greatest(o_orderkey - 5, 0)::VARCHAR END AS file_name FROM orders""",
 )
 def _sequence(spark, sf):
     return table(spark, sf, "orders").select(

@@ -287,6 +287,9 @@ def blend(mode: str, src: Column, dst: Column, alpha: Column) -> Column:
 
 Rule = Callable[[RGB, RGB], RGB]
 
+#: Modes that draw the source as it is.
+PLAIN_MODES = ("normal", "source-over", "pass-through")
+
 
 def blend_any(
     mode: Column,
@@ -299,7 +302,7 @@ def blend_any(
     """Blend with the mode named per row, for folds inside lambdas.
 
     ``rules`` adds user modes: a function of two colour triples giving a third.
-    Unnamed modes fall back to normal.
+    A mode that isn't named is an error, so that nothing is drawn as normal by mistake.
     """
     rules = rules or {}
     share = F.struct(*[w.alias(n) for w, n in zip(weights(src["a"], dst["a"], alpha), "xyz")])
@@ -320,7 +323,8 @@ def blend_any(
         for name in [*rules, *(m for m in modes if m != "normal")]:
             body = mixed(rules[name](s, d)) if name in rules else _mix_color(name, s, d, mixed)
             chain = F.when(mode == name, body) if chain is None else chain.when(mode == name, body)
-        plain = mixed(s)
+        unknown = F.raise_error(F.concat(F.lit("blend mode not listed: "), F.coalesce(mode, F.lit("null"))))
+        plain = F.when(F.coalesce(mode, F.lit("")).isin(*PLAIN_MODES), mixed(s)).otherwise(unknown)
         shaded = plain if chain is None else chain.otherwise(plain)
         return F.when(a > 0, shaded).otherwise(_pixel(*d, a))
 

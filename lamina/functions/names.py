@@ -140,9 +140,14 @@ def format_ts(ts) -> Column:
     return F.date_format(_col(ts), "yyyy-MM-dd HH:mm:ss")
 
 
+def padded(number: Column, digits: int) -> Column:
+    """The number with zeros in front up to ``digits`` characters; longer numbers stay whole."""
+    text = number.cast("string")
+    return F.when(F.length(text) < digits, F.lpad(text, digits, "0")).otherwise(text)
+
+
 def sequence_name(prefix, number) -> Column:
-    n = F.greatest(_col(number).cast("bigint"), F.lit(0))
-    return F.concat(_col(prefix), F.right(F.concat(F.lit("0000"), n.cast("string")), F.lit(4)))
+    return F.concat(_col(prefix), padded(F.greatest(_col(number).cast("bigint"), F.lit(0)), 4))
 
 
 def fit_scale(w, h, side: str, px) -> Column:

@@ -178,11 +178,13 @@ def _lookup(cells: DataFrame, small: DataFrame, key: str, salt: list[str]) -> Da
         "__k", F.when(C("__h").isNull(), C(key).cast("string")).otherwise(spread)
     )
     joined = tagged.join(rest, "__k", "left").withColumn("__v", F.coalesce("__h", "__c"))
-    return joined.filter(C("__v").isNotNull()).select(*cells.columns, *[C(f"__v.{v}").alias(v) for v in values])
+    missing = F.raise_error(F.concat(F.lit(f"no {key} in the dictionary: "), C(key).cast("string")))
+    found = joined.withColumn("__v", F.when(C("__v").isNull(), missing).otherwise(C("__v")))
+    return found.select(*cells.columns, *[C(f"__v.{v}").alias(v) for v in values])
 
 
 def map_cells(cells: DataFrame, gids: DataFrame) -> DataFrame:
-    """(image_id, tx, ty, gid). Cells without a dictionary entry are left to ``unmapped_cells``."""
+    """(image_id, tx, ty, gid). A cell without a dictionary entry is an error; ``unmapped_cells`` lists them."""
     slim = cells.select(*CELL, "hash")
     return _lookup(slim, gids.select("hash", "uses", "gid"), "hash", CELL).select(*CELL, "gid")
 
@@ -259,11 +261,13 @@ def rebuild_images(mapped: DataFrame, sheets: DataFrame, packed: DataFrame, dict
     known = mapped.withColumn("__b", block(C("gid"))).join(ranges, "__b").filter(
         (C("gid") >= C("first_gid")) & (C("gid") < C("first_gid") + C("tile_count"))
     )
-    cells = _lookup(known.select(*CELL, "gid"), by_gid, "gid", CELL)
-    px = _explode_tile(cells, [C(c) for c in CELL]).select(
-        "image_id", (C("tx") * TILE + C("dx")).alias("x"), (C("ty") * TILE + C("dy")).alias("y"), "r", "g", "b", "a"
+    sized = known.join(sizes.select("image_id", "width", "height"), "image_id").select(*CELL, "gid", "width", "height")
+    cells = _lookup(sized, by_gid, "gid", CELL)
+    px = _explode_tile(cells, [*(C(c) for c in CELL), C("width"), C("height")]).select(
+        "image_id", (C("tx") * TILE + C("dx")).alias("x"), (C("ty") * TILE + C("dy")).alias("y"),
+        "r", "g", "b", "a", "width", "height",
     )
-    return px.join(sizes, "image_id").filter((C("x") < C("width")) & (C("y") < C("height"))).drop("width", "height")
+    return px.filter((C("x") < C("width")) & (C("y") < C("height"))).drop("width", "height")
 
 
 SEGMENTS = 32

@@ -96,7 +96,6 @@ def tree_paths(layers: DataFrame) -> DataFrame:
                 lambda up: F.concat(F.array(F.col("parent_seq_id")), up("ancestors")),
             ),
         },
-        inner=F.col("folder"),
         label="paths",
     )
 
@@ -111,7 +110,6 @@ def ancestor_lists(nodes: DataFrame) -> DataFrame:
                 lambda up: F.concat(F.array(F.col("parent_seq_id")), up("ancestors")),
             )
         },
-        inner=F.col("folder"),
         label="ancestors",
     )
 
@@ -128,6 +126,14 @@ def unreachable_nodes(layers: DataFrame, reached: DataFrame) -> DataFrame:
     return layers.join(reached.select(*NODE), NODE, "left_anti")
 
 
+def lost_nodes(layers: DataFrame, reached: DataFrame) -> DataFrame:
+    """(doc_id, seq_id, parent_seq_id, reason) of rows that no walk arrives at: "orphan" without a parent row, else "below a lost row"."""
+    lost = unreachable_nodes(layers, reached).select(*NODE, "parent_seq_id")
+    parents = layers.select("doc_id", F.col("seq_id").alias("parent_seq_id"), F.lit(True).alias("__known")).distinct()
+    reason = F.when(F.col("__known"), F.lit("below a lost row")).otherwise(F.lit("orphan"))
+    return lost.join(parents, SIBLINGS, "left").select(*NODE, "parent_seq_id", reason.alias("reason"))
+
+
 def clip_base(layers: DataFrame) -> DataFrame:
     """Adds ``base_seq_id`` and ``base_visible`` to clipping layers.
 
@@ -155,7 +161,6 @@ def effective_visibility(layers: DataFrame) -> DataFrame:
     return tree_walk(
         based,
         {"effective": (own, lambda up: up("effective") & own)},
-        inner=F.col("folder"),
         label="visible",
     )
 

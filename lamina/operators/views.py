@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.functions.hashing import set_digest
-from lamina.functions.names import display_caption, format_ts, safe_filename, view_name
-from lamina.operators.scans import rank_in_group, rank_sorted
+from lamina.functions.names import display_caption, format_ts, padded, safe_filename, view_name
+from lamina.operators.scans import number_rows, rank_in_group, rank_sorted, running_sum
 from lamina.operators.states import state_delta
 from lamina.operators.tree import NODE, tree_walk
 from lamina.session import stage
@@ -155,8 +155,28 @@ def active_order(selects: DataFrame, chosen: DataFrame | None = None) -> DataFra
 
 
 def count_views(selects: DataFrame) -> DataFrame:
-    """(doc_id, root_id, views): the product of select sizes; roots without selects do not count."""
-    return select_sizes(selects).groupBy("doc_id", "root_id").agg(F.product("size").cast("bigint").alias("views"))
+    """(doc_id, root_id, views): the product of select sizes; roots without selects do not count.
+
+    Exact up to 38 digits, null beyond.
+    """
+    sizes = F.collect_list(F.when(C("size") != 1, C("size")))
+    return select_sizes(selects).groupBy("doc_id", "root_id").agg(_exact_product(sizes).alias("views"))
+
+
+def _exact_product(sizes: Column) -> Column:
+    """Product of an array of whole numbers as DECIMAL(38,0); null on overflow."""
+    return F.aggregate(
+        sizes, F.lit(1).cast("decimal(38,0)"), lambda a, n: F.try_multiply(a, n.cast("decimal(20,0)")).cast("decimal(38,0)")
+    )
+
+
+MOST_VIEWS = 2**63 - 1
+
+
+def too_many_views(selects: DataFrame) -> DataFrame:
+    """(doc_id, root_id, views, reason) of roots whose views a 64-bit index can't number."""
+    rows = count_views(selects).filter(C("views").isNull() | (C("views") > F.lit(str(MOST_VIEWS)).cast("decimal(38,0)")))
+    return rows.withColumn("reason", F.lit("more views than a 64-bit index holds"))
 
 
 VIEW_BLOCK = 1 << 16
@@ -169,18 +189,19 @@ def enumerate_views(selects: DataFrame) -> DataFrame:
     root is cut into index blocks, blocks meet the selects, and only then are they spread over
     tasks and unrolled in place, so no unrolled row is shuffled. Selects of one item take no
     part in the strides, and at most 63 larger ones fit a 64-bit index, which bounds the
-    stride window.
+    stride window. Roots with more views than that are left to ``too_many_views``.
     """
-    sizes = stage(select_sizes(selects), "sizes")
+    counted = stage(count_views(selects), "viewcounts")
+    counts = counted.filter(C("views") <= F.lit(str(MOST_VIEWS)).cast("decimal(38,0)")).withColumn("views", C("views").cast("bigint"))
+    sizes = stage(select_sizes(selects).join(counts.select("doc_id", "root_id"), ["doc_id", "root_id"]), "sizes")
     many = sizes.filter("size > 1")
     later = Window.partitionBy("doc_id", "root_id").orderBy(C("select_ord").desc()).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    strides = many.withColumn("stride", F.coalesce(F.product("size").over(later), F.lit(1.0)).cast("bigint"))
+    strides = many.withColumn("stride", _exact_product(F.collect_list("size").over(later)).cast("bigint"))
     coded = strides.select("doc_id", "root_id", "select_ord", "size", "stride").unionByName(
         sizes.filter("size = 1").withColumn("stride", F.lit(1).cast("bigint"))
     )
-    counts = sizes.groupBy("doc_id", "root_id").agg(F.product("size").cast("bigint").alias("views"))
     blocks = counts.join(coded, ["doc_id", "root_id"]).select(
         "doc_id",
         "root_id",
@@ -397,17 +418,37 @@ def pick_version(docs: DataFrame, versions: DataFrame, dropped: DataFrame | None
 def recent_versions(saves: DataFrame, keep: int = 8) -> DataFrame:
     """Stored versions after a batch of saves (session, ts, doc_hash, id, data, entries).
 
-    A save replaces the session's earlier version and any identical one of the document.
-    Saves before a session's first non-empty one are not stored. The newest ``keep`` over all
-    documents remain.
+    Saves count in order of (ts, id, session). A save stores its version anew, and takes away the
+    version that its session saved before for the document, whoever saved that last. Saves before a
+    session's first non-empty one are not stored. Whenever ``keep`` newer versions are stored, a
+    version is pushed out and doesn't come back.
     """
     started = saves.filter("entries > 0").groupBy("session", "doc_hash").agg(F.min("ts").alias("__from"))
-    live = saves.join(started, ["session", "doc_hash"]).filter(C("ts") >= C("__from"))
-    row = F.struct("ts", "id", "session", "data", "entries")
-    last = live.groupBy("session", "doc_hash").agg(F.max(row).alias("v"))
-    unique = last.groupBy("doc_hash", C("v.id").alias("id")).agg(F.max("v").alias("v"))
+    live = saves.join(started, ["session", "doc_hash"]).filter(C("ts") >= C("__from")).drop("__from")
+    placed = number_rows(live, ["ts", "id", "session"], "__at", "saves")
+    before = F.lag("id").over(Window.partitionBy("doc_hash", "session").orderBy("__at"))
+    events = stage(placed.withColumn("__before", before), "saveorder")
+    # the life of a stored version ends with the next event on it: saved again, or taken away
+    taken = events.filter(C("__before") != C("id")).select("doc_hash", C("__before").alias("id"), "__at", F.lit(False).alias("__saved"))
+    line = events.select("doc_hash", "id", "__at", F.lit(True).alias("__saved")).unionByName(taken)
+    end = F.lead("__at").over(Window.partitionBy("doc_hash", "id").orderBy("__at"))
+    lives = stage(line.withColumn("__end", end).filter("__saved"), "lives")
+    newest = lives.filter("__end is null").orderBy(C("__at").desc()).limit(keep).select("__at").collect()
+    places = [r[0] for r in newest]  # at most ``keep`` numbers
+    later = F.filter(F.array(*[F.lit(p) for p in places]).cast("array<bigint>"), lambda p: p < C("__at"))
+    steps = lives.select(F.explode(later).alias("__of"), "__at", "__end")
+    change = (
+        steps.select("__of", "__at", F.lit(1).alias("__d"))
+        .unionAll(steps.filter("__end is not null").select("__of", "__end", F.lit(-1)))
+        .groupBy("__of", "__at")
+        .agg(F.sum("__d").alias("__d"))
+    )
+    crowd = running_sum(change, ["__of"], "__at", C("__d"), "__newer")
+    gone = crowd.groupBy("__of").agg(F.max("__newer").alias("__most")).filter(C("__most") >= keep)
+    stay = events.filter(C("__at").isin(places) if places else F.lit(False))
     return (
-        unique.select("doc_hash", "id", "v.ts", "v.session", "v.data", "v.entries")
+        stay.join(gone.select(C("__of").alias("__at")), "__at", "left_anti")
+        .select("doc_hash", "id", "ts", "session", "data", "entries")
         .orderBy(C("ts").desc(), "id")
         .limit(keep)
     )
@@ -419,8 +460,7 @@ def recent_list(versions: DataFrame, doc_hash: str | Column, limit: int = 8) ->
     rows = versions.select(
         "id", "ts", count_entries(C("data")).alias("entries"), mine.alias("this_document")
     )
-    label = F.concat(C("entries").cast("string"), F.lit(" item(s) / Created at "), format_ts("ts"))
-    return rows.withColumn("label", label).orderBy(C("ts").desc(), "id").limit(limit)
+    return rows.withColumn("saved", format_ts("ts")).orderBy(C("ts").desc(), "id").limit(limit)
 
 
 # -- names ------------------------------------------------------------------------------------
@@ -447,8 +487,7 @@ def auto_number(renames: DataFrame, start: int = 0, digits: int = 3) -> DataFram
     """Fill blank new names with consecutive padded numbers in tree order per document."""
     blank = renames.filter("new_text = ''")
     numbered = rank_sorted(blank, ["doc_id"], ["sort_path"], "__at", "autonum")
-    padded = F.right(F.concat(F.lit("0000"), (C("__at") + start).cast("string")), F.lit(digits))
-    filled = numbered.withColumn("new_text", padded).drop("__at")
+    filled = numbered.withColumn("new_text", padded(C("__at") + start, digits)).drop("__at")
     return renames.filter("new_text <> ''").unionByName(filled.select(*renames.columns))
 
 

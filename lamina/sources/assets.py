@@ -32,8 +32,8 @@ def asset_kind(content: Column) -> Column:
 def classify_assets(assets: DataFrame) -> DataFrame:
     """Adds ``kind`` and, for files that cannot be opened, ``reason``."""
     reason = (
-        F.when(C("kind") == "rejected", "7z archive is not supported")
-        .when(C("kind") == "unsupported", "unsupported file type")
+        F.when(C("kind") == "rejected", "archive format without a reader")
+        .when(C("kind") == "unsupported", "unknown first bytes")
     )
     return assets.withColumn("kind", asset_kind(C("content"))).withColumn("reason", reason)
 

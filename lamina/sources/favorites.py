@@ -57,13 +57,8 @@ def _sections(files: DataFrame) -> DataFrame:
     return files.select("doc_id", F.posexplode(chunks).alias("section", "chunk"))
 
 
-def scan_favorites(files: DataFrame) -> DataFrame:
-    """Nodes (doc_id, path, parent_path, text, type, value, ordinal) of (doc_id, text) files.
-
-    Missing ancestors become folders; a path that exists already is ignored, so the first
-    section to mention it decides. ``ordinal`` grows in order of first mention. Sections of an
-    unknown type come back with that type, see ``NODE_TYPES``.
-    """
+def _read_sections(files: DataFrame) -> DataFrame:
+    """Sections of accepted files with decoded ``parts`` of the name and a ``reason`` where one can't be used."""
     accepted, _ = split_files(files)
     head = F.substring(_first_line(C("chunk")), 3, 1 << 30)
     body = F.array_join(F.filter(F.split(_rest(C("chunk")), "\n"), lambda v: v != ""), "\n")
@@ -75,7 +70,27 @@ def scan_favorites(files: DataFrame) -> DataFrame:
         body.alias("value"),
     )
     parts = F.transform(F.split("name", "/"), decode_name)
-    steps = rows.withColumn("parts", parts).select(
+    reason = (
+        F.when(F.exists("parts", lambda v: v.isNull()), "malformed name")
+        .when(~C("type").isin(*NODE_TYPES), "unknown type")
+    )
+    return rows.withColumn("parts", parts).withColumn("reason", reason)
+
+
+def rejected_sections(files: DataFrame) -> DataFrame:
+    """(doc_id, section, name, type, reason) of sections that ``scan_favorites`` leaves out."""
+    return _read_sections(files).filter("reason is not null").select("doc_id", "section", "name", "type", "reason")
+
+
+def scan_favorites(files: DataFrame) -> DataFrame:
+    """Nodes (doc_id, path, parent_path, text, type, value, ordinal) of (doc_id, text) files.
+
+    Missing ancestors become folders; a path that exists already is ignored, so the first
+    section to mention it decides. ``ordinal`` grows in order of first mention. Sections with a
+    malformed name or an unknown type are left to ``rejected_sections``.
+    """
+    rows = _read_sections(files).filter("reason is null")
+    steps = rows.select(
         "doc_id",
         "section",
         "type",

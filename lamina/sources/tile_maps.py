@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.operators.tiles import SHEET_TILES, TILE
@@ -108,9 +108,13 @@ def tile_map_json(mapped: DataFrame, images: DataFrame, sheets: DataFrame, encod
 
 
 def write_tile_maps(documents: DataFrame, path: str) -> None:
-    """Write (image_id, csv or json) as text files, one row per line of output."""
-    column = next(c for c in documents.columns if c != "image_id")
-    documents.select(C(column).alias("value")).write.text(path)
+    """Write (image_id, csv or json) as JSON lines, so that every map stays with its image."""
+    documents.write.json(path)
+
+
+def read_tile_maps(spark: SparkSession, path: str, column: str = "json") -> DataFrame:
+    """(image_id, text) as ``write_tile_maps`` wrote it."""
+    return spark.read.schema(f"image_id long, {column} string").json(path)
 
 
 _MAP = "struct<width:bigint,height:bigint,layers:array<struct<data:string,encoding:string,width:bigint,name:string>>>"

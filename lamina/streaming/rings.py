@@ -18,44 +18,37 @@ C = F.col
 _OUT = "user long, slot int, ts_us long, session long, doc_hash string, id string"
 
 
-def _latest(batches: Iterator[pd.DataFrame]) -> dict:
-    """Per (session, doc_hash): last save and time of the first non-empty one, batch by batch."""
-    seen: dict = {}
-    for batch in batches:
-        ordered = batch.sort_values(["ts_us", "id"])
-        starts = ordered[ordered["entries"] > 0].groupby(["session", "doc_hash"])["ts_us"].min()
-        for row in ordered.drop_duplicates(["session", "doc_hash"], keep="last").itertuples(index=False):
-            key = (int(row.session), row.doc_hash)
-            last = (int(row.ts_us), row.id)
-            start = int(starts[key]) if key in starts.index else None
-            if key in seen:
-                known_last, known_start = seen[key]
-                last = max(last, known_last)
-                start = min((t for t in (start, known_start) if t is not None), default=None)
-            seen[key] = (last, start)
-    return seen
+def replay(ring: list[tuple], last: dict[str, str], saves, keep: int) -> list[tuple]:
+    """The ring (ts, session, doc, id) after ``saves`` in order; ``last`` maps "session/doc" to the version saved last."""
+    for ts, session, doc, version, entries in saves:
+        owner = f"{session}/{doc}"
+        if owner not in last and not entries:
+            continue
+        gone = {version, last.get(owner)}
+        ring = [v for v in ring if v[2] != doc or v[3] not in gone]
+        ring = sorted([*ring, (ts, session, doc, version)])[-keep:]
+        last[owner] = version
+    return ring
 
 
 def stream_recent_versions(saves: DataFrame, keep: int = 8) -> DataFrame:
     """The newest ``keep`` stored versions per user after every batch (update mode).
 
-    ``saves``: user, session, ts_us, doc_hash, id, entries. A save replaces the version its
-    session stored last for the document and any identical one; an empty first save is not
-    stored. The state is ``keep`` rows of a user; a batch is read piece by piece and only each
-    session's last save is held.
+    ``saves``: user, session, ts_us, doc_hash, id, entries, arriving in order of time. A save stores its
+    version anew and takes away the one that its session saved before; an empty first save is not
+    stored. Saves are replayed one by one, so the result doesn't depend on where batches are
+    cut. The state of a user is the ring and the last version of each of their sessions.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring = [tuple(v) for v in json.loads(state.get[0])] if state.exists else []
-        for (session, doc), ((ts, version), start) in sorted(_latest(batches).items(), key=lambda e: e[1][0]):
-            mine = [v for v in ring if v[1] == session and v[2] == doc]
-            if not mine and start is None:
-                continue
-            ring = [v for v in ring if v not in mine and (v[2], v[3]) != (doc, version)]
-            ring = sorted([*ring, (ts, session, doc, version)])[-keep:]
-        state.update((json.dumps(ring),))
-        rows = [(key[0], slot, *v) for slot, v in enumerate(ring)]
-        yield pd.DataFrame(rows, columns=["user", "slot", "ts_us", "session", "doc_hash", "id"])
+        held = json.loads(state.get[0]) if state.exists else {"ring": [], "last": {}}
+        rows = pd.concat(list(batches)).sort_values(["ts_us", "id", "session"])
+        columns = ("ts_us", "session", "doc_hash", "id", "entries")
+        saved = zip(*(rows[c].tolist() for c in columns), strict=True)
+        ring = replay([tuple(v) for v in held["ring"]], held["last"], saved, keep)
+        state.update((json.dumps({"ring": ring, "last": held["last"]}),))
+        out = [(key[0], slot, *v) for slot, v in enumerate(ring)]
+        yield pd.DataFrame(out, columns=["user", "slot", "ts_us", "session", "doc_hash", "id"])
 
     return saves.groupBy("user").applyInPandasWithState(
         step, _OUT, "ring string", "update", GroupStateTimeout.NoTimeout
