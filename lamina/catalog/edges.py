@@ -145,12 +145,17 @@ def _coded(spark, sf):
     return table(spark, sf, "documents").select("doc_id", content.alias("content"))
 
 
-@register("decode_texts")
+_SQL_CODED = r"""CASE lang WHEN 'en' THEN 'UTF-16' WHEN 'de' THEN 'Shift_JIS' WHEN 'fr' THEN 'UTF-8'
+    ELSE CASE WHEN regexp_full_match(text, '[\x00-\x7F]*') THEN 'ASCII' ELSE 'UTF-8' END END AS charset,
+    md5(CASE lang WHEN 'de' THEN '日本語' || regexp_replace(text, '[^\x00-\x7F]', '', 'g') ELSE text END) AS text_md5 FROM documents"""
+
+
+@register("decode_texts", "SELECT doc_id, " + _SQL_CODED)
 def _decode(spark, sf):
     return CS.decode_texts(_coded(spark, sf)).select("doc_id", "charset", F.md5("text").alias("text_md5"))
 
 
-@register("charset_census")
+@register("charset_census", f"SELECT charset, count(*) AS files FROM (SELECT {_SQL_CODED}) GROUP BY charset")
 def _census(spark, sf):
     return CS.charset_census(_coded(spark, sf))
 

@@ -221,7 +221,16 @@ def _json(spark, sf):
     return _documents(spark, sf)
 
 
-@register("write_tile_maps_base64")
+_SQL_TURNED = "substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)"
+
+
+@register(
+    "write_tile_maps_base64",
+    _W
+    + DICT_SQL
+    + f"""SELECT image_id, 7 AS width, 5 AS height, to_base64(unhex(string_agg({_SQL_TURNED}, '' ORDER BY ty, tx))) AS payload
+      FROM (SELECT *, printf('%08X', gid) AS h FROM mapped) GROUP BY image_id""",
+)
 def _base64(spark, sf):
     return M.tile_map_base64(_mapped(spark, sf)[0])
 
