@@ -32,7 +32,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         before = now
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _towards_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = stage(large.where("u <> v").distinct(), "links")
         small = _towards_least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
             small.select("u", F.col("m").alias("v"))

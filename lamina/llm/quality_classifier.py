@@ -27,7 +27,7 @@ GRAM_BITS = 16
 GRAMS = 1 << GRAM_BITS
 SHAPES = 1 << 12
 FEATURES = GRAMS + SHAPES
-FIT_ROWS = 6000
+FIT_ROWS = 4000
 SMOOTH = 1.0
 COST = 1.0
 EPOCHS = 20
@@ -86,7 +86,7 @@ def _fitted(rows: list[np.ndarray], labels: np.ndarray, prior: float, seed: int
     ratio = np.log((seen[1] / (good.sum() + 2 * SMOOTH)) / (seen[0] / ((~good).sum() + 2 * SMOOTH)))
     squares = ratio * ratio
     scale = [np.sqrt(squares[own].sum()) or 1.0 for own in rows]
-    values = [ratio[own] / s for own, s in zip(rows, scale, strict=True)]
+    values = [(ratio[own] / s).astype(np.float32) for own, s in zip(rows, scale, strict=True)]
     sign = np.where(good, 1.0, -1.0)
     rng = np.random.default_rng(seed)
     aside = np.arange(len(rows)) % 5 == 0
@@ -163,9 +163,9 @@ def fit(
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), listed], ["_id", "_y", "own"])
 
         held = map_batches(rows, run, f"_id {kind}, _y int, own array<int>").toArrow()
-        held = held.sort_by([("_id", "ascending")])
+        held = held.sort_by([("_id", "ascending")]).combine_chunks()
         y = held.column("_y").to_numpy()
-        own = [np.asarray(x.values, np.int64) for x in held.column("own")]
+        own = [x.values.to_numpy() for x in held.column("own")]  # views of one buffer
         if len(set(y.tolist())) == 2:
             return _fitted(own, y, prior)
     flat_ = np.zeros(FEATURES, np.float32)
