@@ -22,7 +22,9 @@ k-mers are distinct, the chain is a longest increasing run of positions.
 So a passage in a third of all texts, or thousands of copies that differ pairwise, cost a few rows for
 each member. Pairs are first held against their sketches (two equal ones at least) and their sizes;
 texts of candidates are read once. No bucket, chain or group is cut off. At similarity 0.8 a pair
-misses all buckets, or agrees on a single sketch, with probability 1e-5.
+misses all buckets, or agrees on a single sketch, with probability 1e-5; and one that meets in full
+buckets only misses their parts with probability 1e-3 (less the more alike, and only where no chain of
+other links joins the two).
 
 Defined cases: a text without words is alone in its class; a null id has a null class; a repeated id or
 row gives a row each time; texts under SHINGLE words are one k-mer; other columns are ignored.
@@ -47,7 +49,8 @@ SAMPLE = 3
 SKETCHES = 20
 THRESHOLD = 0.8
 BUCKET = 8
-NEXT = 4
+NEXT = 2
+TEAM = 5
 RARE = 8
 PIECE_BYTES = 1 << 20
 _ODD = mix(np.arange(1, 65, dtype=U64)) | U64(1)
@@ -298,7 +301,11 @@ def classes(
     in_part = lambda df: df.join(named, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
     open_ = stage(_mixed(in_part(members.select("_key", "_id", "_j"))), "open")
     few = open_.where(F.col("_many") <= BUCKET)
-    ahead = F.transform(F.sequence(F.lit(1), F.lit(NEXT)), lambda d: F.pmod(F.col("_j") + d, F.lit(SKETCHES)))
+    # Sketches work in teams of TEAM = 2 * NEXT + 1, all pairs of a team once.
+    ahead = F.transform(
+        F.sequence(F.lit(1), F.lit(NEXT)),
+        lambda d: (F.floor(F.col("_j") / TEAM) * TEAM + F.pmod(F.col("_j") + d, F.lit(TEAM))).cast("int"),
+    )
     split = (
         open_.where(F.col("_many") > BUCKET)
         .join(small.select("_id", "_s"), "_id")
