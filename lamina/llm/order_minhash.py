@@ -277,8 +277,11 @@ def classes(
         F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_s").alias("_s")
     )
     nodes = stage(nodes, "texts")
-    placed = nodes.select("_id", F.posexplode("_s").alias("_j", "_v")).select(
-        "_id", "_j", F.xxhash64("_j", "_v").alias("_key")
+    # Sketches work in teams of TEAM = 2 * NEXT + 1, all pairs of a team once.
+    mate = lambda d: (F.floor(F.col("_j") / TEAM) * TEAM + F.pmod(F.col("_j") + d, F.lit(TEAM))).cast("int")
+    pair = lambda d: F.xxhash64("_j", "_v", mate(d), F.get("_s", mate(d))).alias(f"_p{d}")
+    placed = nodes.select("_id", "_s", F.posexplode("_s").alias("_j", "_v")).select(
+        "_id", F.xxhash64("_j", "_v").alias("_key"), *[pair(d) for d in range(1, NEXT + 1)]
     )
     buckets = placed.groupBy("_key").agg(F.count("*").alias("_many"), F.min("_id").alias("_least")).where("_many > 1")
     members = stage(placed.join(buckets, "_key"), "buckets")
@@ -299,19 +302,10 @@ def classes(
 
     named = named.withColumnRenamed("node", "_id")
     in_part = lambda df: df.join(named, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    open_ = stage(_mixed(in_part(members.select("_key", "_id", "_j"))), "open")
+    open_ = stage(_mixed(in_part(members.drop("_many", "_least"))), "open")
     few = open_.where(F.col("_many") <= BUCKET)
-    # Sketches work in teams of TEAM = 2 * NEXT + 1, all pairs of a team once.
-    ahead = F.transform(
-        F.sequence(F.lit(1), F.lit(NEXT)),
-        lambda d: (F.floor(F.col("_j") / TEAM) * TEAM + F.pmod(F.col("_j") + d, F.lit(TEAM))).cast("int"),
-    )
-    split = (
-        open_.where(F.col("_many") > BUCKET)
-        .join(small.select("_id", "_s"), "_id")
-        .select("_id", "component", "_key", "_s", F.explode(ahead).alias("_j2"))
-        .select(F.xxhash64("_key", "_j2", F.get("_s", F.col("_j2"))).alias("_key"), "_id", "component")
-    )
+    full = open_.where(F.col("_many") > BUCKET)
+    split = full.select("_id", "component", F.explode(F.array(*[f"_p{d}" for d in range(1, NEXT + 1)])).alias("_key"))
     parts = stage(_mixed(split), "parts")
     central, rare = _families(parts.where(F.col("_many") > BUCKET).select("_key", "_id"), texts, threshold)
     across = few.select("_key", "_id", "component").unionAll(
