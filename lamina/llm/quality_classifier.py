@@ -167,7 +167,10 @@ def fit(
         y = held.column("_y").to_numpy()
         own = [x.values.to_numpy() for x in held.column("own")]  # views of one buffer
         if len(set(y.tolist())) == 2:
-            return _fitted(own, y, prior)
+            model = _fitted(own, y, prior)
+            del own, held, y
+            pa.default_memory_pool().release_unused()  # the driver may have little memory and much to do yet
+            return model
     flat_ = np.zeros(FEATURES, np.float32)
     known = (counts.get(1, 0) / sum(counts.values())) if counts else 0.5
     return Model(flat_, flat_, 0.0, 1.0, float(np.log(max(known, 1e-9) / max(1 - known, 1e-9))))
