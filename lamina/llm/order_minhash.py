@@ -16,11 +16,13 @@ k-mers are distinct, the chain is a longest increasing run of positions.
    which parts texts that share a passage. Parts still full are families of copies that differ
    pairwise. Their k-mers are counted over the families, and each text is also listed under its rarest
    ones: as many as leave too few others for a link, so linked texts meet there. In every part and under every
-   k-mer, members are compared with the most central one; where RARE members or fewer share a k-mer,
-   with one another.
-4. Links of all rounds give the classes.
-So a passage in a third of all texts, or thousands of copies that differ pairwise, cost a few rows for
-each member. Pairs are first held against their sketches (two equal ones at least) and their sizes;
+   k-mer, members are compared with the most central one, which joins most of a family.
+4. Under every such k-mer all members that are still in different components are compared with one
+   another, except where sizes and the k-mers that follow in the order are too few for a link.
+5. Links of all rounds give the classes.
+So a passage in a third of all texts, or thousands of copies of one text, cost a few rows for each
+member. A family whose texts are linked with few others costs up to all pairs of texts that share a rarest
+k-mer. Pairs are first held against their sketches (two equal ones at least) and their sizes;
 texts of candidates are read once. No bucket, chain or group is cut off. At similarity 0.8 a pair
 misses all buckets, or agrees on a single sketch, with probability 1e-5; and one that meets in full
 buckets only misses their parts with probability 1e-3 (less the more alike, and only where no chain of
@@ -51,7 +53,6 @@ THRESHOLD = 0.8
 BUCKET = 8
 NEXT = 2
 TEAM = 5
-RARE = 8
 PIECE_BYTES = 1 << 20
 _ODD = mix(np.arange(1, 65, dtype=U64)) | U64(1)
 _TOP = U64(2**64 - 1)
@@ -211,12 +212,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: f
 
 
 def _families(parts: DataFrame, texts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """For parts (_key, _id): pairs (a, b) with central members, and buckets (_key, _id) of rare k-mers.
+    """For parts (_key, _id): pairs (a, b) with central members, and (_key, _id, _n, _left) of rarest k-mers.
 
     A k-mer's count is the number of family members that have it; the most central member of a group
     is the one whose k-mers have the highest mean count. Linked texts share at least threshold of
     the k-mers of each, so with all k-mers ordered by count they share one of the first
     n - ceil(threshold * n) + 1 of each; those that no other member has are left out after counting.
+    _left counts the text's k-mers from this one on in that order.
     """
     ids = parts.select("_id").distinct()
     rows = texts.join(ids, "_id", "left_semi").repartition("_id").select("_id", "_text")
@@ -242,11 +244,14 @@ def _families(parts: DataFrame, texts: DataFrame, threshold: float) -> tuple[Dat
     held = stage(held, "family")
     first = F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1
     rarest = F.slice("_k", F.lit(1), F.greatest(first - (F.col("_n") - F.size("_k")), F.lit(0)).cast("int"))
-    own = held.select("_id", "_score", F.explode(rarest).alias("_x")).select(F.col("_x._kmer").alias("_key"), "_id", "_score")
-    groups = parts.join(held.select("_id", "_score"), "_id").select("_key", "_id", "_score").unionAll(own)
+    own = held.select("_id", "_score", "_n", F.size("_k").alias("_many"), F.posexplode(rarest).alias("_at", "_x")).select(
+        F.col("_x._kmer").alias("_key"), "_id", "_score", "_n", (F.col("_many") - F.col("_at")).alias("_left")
+    )
+    groups = parts.join(held.select("_id", "_score"), "_id").select("_key", "_id", "_score")
+    groups = groups.unionAll(own.select("_key", "_id", "_score"))
     centre = groups.groupBy("_key").agg(F.max(F.struct("_score", "_id"))["_id"].alias("c"))
     stars = groups.join(centre, "_key").where("_id <> c").select(F.least("c", "_id").alias("a"), F.greatest("c", "_id").alias("b"))
-    return stars.distinct(), counted.where(F.col("_df") <= RARE).select(F.col("_kmer").alias("_key"), "_id")
+    return stars.distinct(), own.select("_key", "_id", "_n", "_left")
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -267,6 +272,22 @@ def _across(members: DataFrame) -> DataFrame:
     return left.join(right, "_key").where("_ca < _cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _rest(members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b), a < b, of rows (_key, _id, _n, _left, component) that differ in component and may be linked.
+
+    Under the first k-mer that two texts share, what is left of each from there on bounds what they share.
+    """
+    side = lambda x: members.select("_key", *[F.col(c).alias(c + x) for c in ("_id", "_n", "_left", "component")])
+    enough = threshold / (1 + threshold) * (F.col("_na") + F.col("_nb")) - 1e-9
+    return (
+        side("a")
+        .join(side("b"), "_key")
+        .where((F.col("componenta") < F.col("componentb")) & (F.least("_lefta", "_leftb") >= enough))
+        .select(F.least("_ida", "_idb").alias("a"), F.greatest("_ida", "_idb").alias("b"))
+        .distinct()
+    )
+
+
 def classes(
     docs: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD
 ) -> DataFrame:
@@ -307,13 +328,16 @@ def classes(
     full = open_.where(F.col("_many") > BUCKET)
     split = full.select("_id", "component", F.explode(F.array(*[f"_p{d}" for d in range(1, NEXT + 1)])).alias("_key"))
     parts = stage(_mixed(split), "parts")
-    central, rare = _families(parts.where(F.col("_many") > BUCKET).select("_key", "_id"), texts, threshold)
+    central, rarest = _families(parts.where(F.col("_many") > BUCKET).select("_key", "_id"), texts, threshold)
     across = few.select("_key", "_id", "component").unionAll(
         parts.where(F.col("_many") <= BUCKET).select("_key", "_id", "component")
     )
-    pairs = _across(across).unionAll(_across(in_part(rare).select("_key", "_id", "component"))).unionAll(central)
-    across = pairs.distinct().join(stars, ["a", "b"], "left_anti")
+    across = _across(across).unionAll(central).distinct().join(stars, ["a", "b"], "left_anti")
     every = links.unionAll(_verified(across, small, texts, threshold))
+    named = components(every, "a", "b").withColumnRenamed("node", "_id")
+
+    left = stage(_mixed(in_part(rarest)).drop("_many", "_least"), "left")
+    every = every.unionAll(_verified(_rest(left, threshold), small, texts, threshold))
     named = components(every, "a", "b")
 
     keyed = nodes.select("_k1", "_k2", F.col("_id").alias("_rep"))

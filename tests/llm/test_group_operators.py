@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import awkward, frame, prose
 
 from lamina.llm import components, decontaminate, lpf_dedup, mixing, order_minhash
@@ -72,6 +73,32 @@ def test_classes_match_all_pairs(spark):
     assert len(set(got.values())) > 40
 
 
+def test_classes_of_a_combinatorial_family(spark, monkeypatch):
+    """Texts of 11 paragraphs in two variants each are linked where one paragraph differs; sketches part none of them."""
+    rng, n = random.Random(13), 11
+    made = [[" ".join(f"p{k}v{v}w{rng.randrange(10**6)}" for _ in range(40)) for v in range(2)] for k in range(n)]
+    codes = rng.sample(range(2**n), 150)
+    rows = [(i, " ".join(made[k][code >> k & 1] for k in range(n))) for i, code in enumerate(codes)]
+    links = [(i, j) for i in range(len(codes)) for j in range(i) if (codes[i] ^ codes[j]).bit_count() == 1]
+    want = {i: i for i in range(len(codes))}
+    while (now := _least(want, links)) != want:
+        want = now
+    plain, equal = order_minhash.sketched, F.array_repeat(F.lit(1).cast("long"), order_minhash.SKETCHES)
+    monkeypatch.setattr(order_minhash, "sketched", lambda *a: plain(*a).withColumn("_s", equal))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in order_minhash.classes(docs).collect()}
+    assert got == want
+    assert 20 < len(set(got.values())) < 130
+
+
+def _least(named, links):
+    """The least name among each node's own and its neighbours'."""
+    out = dict(named)
+    for a, b in links:
+        out[a] = out[b] = min(out[a], out[b])
+    return out
+
+
 def test_classes_of_awkward_rows(spark):
     got = Counter((r.doc_id, r.class_id) for r in order_minhash.classes(frame(spark)).collect())
     want = Counter((i, i) for i, *_ in awkward() if i not in (1, 2, 3))
