@@ -1,7 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Words are runs of letters and digits, in lower case. A seed is a window of words of which a fixed mask
-ignores some positions, so a substituted word spares the seeds that ignore it. Seeds of benchmark items go into
+ignores some positions, so a substituted word spares the seeds that ignore it. MASKS leave a seed in
+every stretch of 13 words or more of which MATCHED are equal; items of under 13 words must be held whole,
+and have masks of their own length (``masks_for``) that ignore any words that may differ. Seeds of benchmark items go into
 a bitmap of fixed size (BITS), which each task holds against all windows of its documents; windows that
 may be seeds go on with the words around them, are joined with the items' seeds by hash, and every hit
 is verified on its diagonal: the longest stretch with at least ``matched`` equal words must reach
@@ -12,13 +14,14 @@ Rows that leave the scan are few, one per stretch of hits; a popular item is one
 of each join, whose large side Spark may split.
 
 Defined cases: null and empty texts hold nothing; items of under LEAST words are not searched (they
-occur by chance); items shorter than the masks are searched by all their words; repeated items and ids
+occur by chance); repeated items and ids
 give one row per pair of ids; a null id is reported as null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from lamina.llm.ragged import U64, flat, map_batches, mix, pieces, slice_hashes, words
 from lamina.session import stage
 
-MASKS = ("110110110101", "111001011011", "101101011101")
+MASKS = ("111001011", "10111011", "110001000111", "111101001")
+WHOLE = 13
 LEAST = 5
 BITS = 24
 AROUND = 64
@@ -45,6 +49,20 @@ def needed(n_words: int) -> int:
     return min(n_words, 50, max(13, -(-n_words // 2)))
 
 
+def masks_for(n_words: int, matched: float = MATCHED) -> tuple[str, ...]:
+    """The masks that search an item of so many words.
+
+    The words inside a short item form two groups more than words may differ; each mask ignores as many
+    groups as words may differ.
+    """
+    if n_words >= WHOLE:
+        return MASKS
+    spare = min(int(n_words * (1 - matched) + 1e-9), n_words - 2)
+    groups = [set(range(1 + g, n_words - 1, spare + 2)) for g in range(spare + 2)]
+    ignored = [set().union(*some) for some in combinations(groups, spare)]
+    return tuple(sorted({"".join("0" if k in out else "1" for k in range(n_words)) for out in ignored}))
+
+
 def seed_hashes(w: np.ndarray, of: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
     """(first word, hash) of every window of ``mask`` that stays in its text."""
     span = len(mask)
@@ -72,7 +90,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(held))
 
 
-def item_words(benchmark: DataFrame, text: str, item_col: str) -> DataFrame:
+def item_words(benchmark: DataFrame, text: str, item_col: str, matched: float = MATCHED) -> DataFrame:
     """(_item, _words, _seeds, _at) of every item that is searched."""
     rows = benchmark.select(F.col(item_col).alias("_item"), F.lower(F.col(text)).alias("_text"))
     kind = rows.schema["_item"].dataType.simpleString()
@@ -84,8 +102,7 @@ def item_words(benchmark: DataFrame, text: str, item_col: str) -> DataFrame:
             for i, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)):
                 if b - a < LEAST:
                     continue
-                masks = MASKS if b - a >= len(MASKS[0]) else ("1" * int(b - a),)
-                found = [seed_hashes(w[a:b], np.zeros(b - a), m) for m in masks]
+                found = [seed_hashes(w[a:b], np.zeros(b - a), m) for m in masks_for(int(b - a), matched)]
                 keep.append(i)
                 own.append(w[a:b].view(np.int64))
                 at.append(np.concatenate([x for x, _ in found]))
@@ -101,8 +118,9 @@ def item_words(benchmark: DataFrame, text: str, item_col: str) -> DataFrame:
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """One bit for the leading BITS bits of each seed; 2 ** (BITS - 3) bytes whatever the benchmark."""
-    slots = seeds.select(F.shiftrightunsigned("_seed", 64 - BITS).alias("slot"))
+    """Two bits for each seed, by its leading BITS bits and the next; 2 ** (BITS - 3) bytes whatever the benchmark."""
+    lead, then = (F.shiftrightunsigned(F.shiftleft("_seed", k), 64 - BITS) for k in (0, BITS))
+    slots = seeds.select(F.explode(F.array(lead, then)).alias("slot"))
     cells = slots.groupBy(F.shiftright("slot", 3).alias("cell")).agg(
         F.bit_or(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), F.pmod("slot", F.lit(8)).cast("int") + 1)).alias("bits")
     )
@@ -123,11 +141,13 @@ def _stretches(docs: DataFrame, bitmap: np.ndarray, masks: list[str], text: str,
             at, hashes, reach = [], [], []
             for mask in masks:
                 place, h = seed_hashes(w, of, mask)
-                slot = (h >> U64(64 - BITS)).astype(np.int64)
-                hit = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                at.append(place[hit])
-                hashes.append(h[hit])
-                reach.append(np.full(int(hit.sum()), len(mask)))
+                for k in (0, BITS):
+                    slot = ((h << U64(k)) >> U64(64 - BITS)).astype(np.int64)
+                    hit = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+                    place, h = place[hit], h[hit]
+                at.append(place)
+                hashes.append(h)
+                reach.append(np.full(len(place), len(mask)))
             at, hashes, reach = np.concatenate(at), np.concatenate(hashes), np.concatenate(reach)
             if not len(at):
                 continue
@@ -188,14 +208,14 @@ def overlaps(
     matched: float = MATCHED,
 ) -> DataFrame:
     """(id, item, item_words, overlap_words, matched_words) of every document that holds a benchmark item."""
-    items = item_words(benchmark, item_text, item_col)
+    items = item_words(benchmark, item_text, item_col, matched)
     items = items.withColumn("_ik", F.xxhash64("_words"))
     pairs = lambda df, *keep: df.select(*keep, F.explode(F.arrays_zip("_seeds", "_at")).alias("_x")).select(
         *keep, F.col("_x._seeds").alias("_seed"), F.col("_x._at").alias("_at")
     )
     item_seeds = pairs(items, "_item", "_ik")
-    short = [r["n"] for r in items.select(F.size("_words").alias("n")).where(f"n < {len(MASKS[0])}").distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    short = [r["n"] for r in items.select(F.size("_words").alias("n")).where(f"n < {WHOLE}").distinct().collect()]
+    masks = [*MASKS, *(m for n in sorted(short) for m in masks_for(n, matched))]
     found = _stretches(docs, _bitmap(item_seeds), masks, text, id_col)
     hits = (
         pairs(found, "_row")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -201,6 +202,32 @@ def test_benchmark_items_are_found_with_substitutions(spark):
     assert decontaminate.overlaps(table.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("n, differ, ends", [(13, 2, 1), (14, 2, 1), (15, 3, 0), (20, 4, 0), (25, 5, 0)])
+def test_masks_leave_a_seed_in_every_stretch(n, differ, ends):
+    """Longer stretches hold a piece of 15 to 29 words, and so one of 15, 20 or 25, with no greater share that differs."""
+    placed = [int(m, 2) << k for m in decontaminate.MASKS for k in range(n - len(m) + 1)]
+    for some in combinations(range(ends, n - ends), differ):
+        differing = sum(1 << k for k in some)
+        assert any(not p & differing for p in placed), some
+
+
+@pytest.mark.parametrize("n", range(5, 13))
+def test_masks_of_short_items_spare_the_words_that_differ(n):
+    masks = [int(m, 2) for m in decontaminate.masks_for(n)]
+    for some in combinations(range(1, n - 1), n // 5):
+        assert any(not m & sum(1 << k for k in some) for m in masks), some
+
+
+def test_short_items_are_found_with_substitutions(spark):
+    items = {0: "ab1 ab2 ab3 ab4 ab5", 1: " ".join(f"cd{k}" for k in range(11)), 2: " ".join(f"ef{k}" for k in range(15))}
+    swaps = {0: [2], 1: [3, 7], 2: [3, 7, 11]}
+    held = {i: " ".join("other" if k in swaps[i] else w for k, w in enumerate(t.split())) for i, t in items.items()}
+    docs = spark.createDataFrame([(i, prose(60 + i, 40) + " " + t + " " + prose(70 + i, 40)) for i, t in held.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(i, i) for i in items}
+
+
 def test_longest_stretch_matches_all_stretches():
     rng = np.random.default_rng(2)
     for _ in range(200):
