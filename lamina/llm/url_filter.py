@@ -1,9 +1,9 @@
 """URL filter by rules and by a tree of path templates learned for each host.
 
 Urls that a rule decides are the labelled ones. The paths of a host form a tree of segments. Level by
-level, a segment of a node stays as it is when it is frequent there and turns into a wildcard
-otherwise; labelled siblings whose share of blocked urls doesn't differ from their node's by a
-z-test are merged into the wildcard as well. A template is the path so rewritten, with everything
+level, a segment of a node stays as it is when it is frequent there (by share or by count) and turns into a
+wildcard otherwise; labelled siblings whose share of blocked urls doesn't differ from that of the node's other
+labelled urls by a z-test are merged into the wildcard as well. A template is the path so rewritten, with everything
 beyond DEPTH segments as ``**``. Its purity is the smoothed share of blocked urls among its labelled
 ones, and urls that no rule decides are blocked when their template is at least PURE.
 
@@ -34,6 +34,7 @@ RULES = (
 DEPTH = 4
 LEAST = 3
 SHARE = 0.05
+MANY = 20
 LABELLED = 5
 ALIKE = 1.96
 PURE = 0.9
@@ -77,11 +78,15 @@ def literal_segments(rows: DataFrame, level: int) -> DataFrame:
     nodes = segments.groupBy("_host", "_template").agg(
         F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked")
     )
-    frequent = segments.where(F.col("n") >= LEAST).join(nodes, ["_host", "_template"])
+    others = F.col("_labelled") - F.col("labelled")
+    tested = (F.col("labelled") >= LABELLED) & (others >= LABELLED)
+    own, rest = F.greatest("labelled", F.lit(1)), F.greatest(others, F.lit(1))
     pooled = (F.col("_blocked") + 0.5) / (F.col("_labelled") + 1.0)
-    gap = F.abs(F.col("blocked") / F.greatest("labelled", F.lit(1)) - pooled)
-    alike = (F.col("labelled") >= LABELLED) & (gap <= ALIKE * F.sqrt(pooled * (1.0 - pooled) / F.greatest("labelled", F.lit(1))))
-    return frequent.where((F.col("n") >= SHARE * F.col("_n")) & ~alike).select("_host", "_template", "_segment")
+    gap = F.abs(F.col("blocked") / own - (F.col("_blocked") - F.col("blocked")) / rest)
+    alike = tested & (gap <= ALIKE * F.sqrt(pooled * (1.0 - pooled) * (1.0 / own + 1.0 / rest)))
+    frequent = (F.col("n") >= LEAST) & ((F.col("n") >= SHARE * F.col("_n")) | (F.col("n") >= MANY))
+    judged = segments.join(nodes, ["_host", "_template"])
+    return judged.where(frequent & ~alike).select("_host", "_template", "_segment")
 
 
 def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:

@@ -76,6 +76,16 @@ def test_pure_templates_are_blocked_and_merged_branches_share_a_fate(spark):
     assert got[0].template == got[1].template == "/*/*"
 
 
+def test_clean_branches_are_kept_apart_from_blocked_ones(spark):
+    """One blocked branch, one large clean one, and clean single sections; many sections, each below the share."""
+    rules = (("block", "a.org", "/de/"), ("block", "b.org", "/s0/"))
+    urls = [f"x://a.org/de/{i}" for i in range(50)] + [f"x://a.org/en/{i}" for i in range(500)]
+    urls += [f"x://a.org/s{i}/0" for i in range(10)] + [f"x://b.org/s{k}/{i}" for k in range(30) for i in range(25)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {urls[r.page_id]: r.verdict for r in url_filter.judge(pages, rules).collect()}
+    assert got == {u: "block" if u.startswith(("x://a.org/de/", "x://b.org/s0/")) else "allow" for u in urls}
+
+
 def library_counts(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
