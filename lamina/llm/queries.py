@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import (
     decontaminate,
+    divergence,
     language_id,
     lpf_dedup,
     mixing,
@@ -18,6 +19,8 @@ from lamina.llm import (
     secret_scan,
     token_counts,
     url_filter,
+    warc,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,3 +207,79 @@ def _urls_sql() -> str:
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def _divergence_sql() -> str:
+    d = divergence
+    f = lambda p, q: f"(({p} - {q}) * ({p} - {q})) // {q}"
+    share = lambda c, n: f"1 + {d.UNIT}::HUGEINT * ({c} + 1) // ({n} + v)"
+    rank = "CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank"
+    return f"""
+    WITH d AS (
+      SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'),
+                                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+      FROM documents),
+    vectors AS (
+      SELECT i, lang, source, term, count(*) AS c
+      FROM (SELECT i, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+    kept AS (SELECT lang, term, sum(c) AS total FROM vectors GROUP BY ALL HAVING count(*) >= {d.LEAST_DOCS}),
+    sums AS (SELECT lang, source, term, sum(c) AS c FROM vectors JOIN kept USING (lang, term) GROUP BY ALL),
+    sizes AS (
+      SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(any_value(all_n), 0) AS all_n, coalesce(sum(c), 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sums USING (lang, source)
+        LEFT JOIN (SELECT lang, count(*) AS v, sum(total) AS all_n FROM kept GROUP BY ALL) USING (lang)
+      GROUP BY lang, source),
+    dense AS (
+      SELECT lang, source, term, coalesce(c, 0) AS c, {share("coalesce(c, 0)", "n")} AS p, {share("total", "all_n")} AS q
+      FROM sizes JOIN kept USING (lang) LEFT JOIN sums USING (lang, source, term)),
+    pairs AS (
+      SELECT s.lang, s.source, t.source AS item, CAST(coalesce(sum({f("a.p", "b.p")}), 0) AS BIGINT) AS value
+      FROM sizes s JOIN sizes t ON s.lang = t.lang AND s.source <> t.source
+        LEFT JOIN dense a ON a.lang = s.lang AND a.source = s.source
+        LEFT JOIN dense b ON b.lang = t.lang AND b.source = t.source AND b.term = a.term
+      GROUP BY ALL),
+    over AS (SELECT lang, source, term AS item, CAST({f("p", "q")} AS BIGINT) AS value FROM dense WHERE c > 0 AND p > q)
+    SELECT lang, source, 'pair' AS part, item, value, {rank} FROM pairs
+    UNION ALL
+    SELECT lang, source, 'term' AS part, item, value, rank FROM (SELECT *, {rank} FROM over) WHERE rank <= {d.MOST_TERMS}
+    """
+
+
+@register("op11_source_divergence", _divergence_sql())
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every pair of sources of a language, and the terms that mark each source."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def _warc_sql() -> str:
+    """Digests in base 32 from the bits of DuckDB's hexadecimal ones."""
+    five = " + ".join(f"{16 >> k} * CAST(substr(bits, CAST(5 * i + {k + 1} AS BIGINT), 1) AS INTEGER)" for k in range(5))
+    return f"""
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS html, CAST(CAST(unhex(sha1(coalesce(html, ''))) AS BIT) AS VARCHAR) AS bits
+      FROM pages),
+    firsts AS (SELECT html, min(page_id) AS first FROM p GROUP BY html)
+    SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+           array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {five}, 1)), '')
+             AS payload_digest,
+           CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+    FROM p JOIN firsts USING (html)
+    """
+
+
+@register("op12_warc", _warc_sql())
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to archives and read back."""
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.write(pages, warc.new_folder(spark), least_bytes=0)
+    found = warc.records(warc.read(archives, payload=False))
+    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
