@@ -167,23 +167,38 @@ def _urls_sql() -> str:
     rule = "CASE " + " ".join(f"WHEN {fits(o, b)} THEN '{o}{b}'" for _, o, b in longest) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(o, b)} THEN '{v}'" for v, o, b in longest) + " END"
     counts = "count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS blocked"
+    shape = "CASE " + " ".join(f"WHEN regexp_matches(seg, '{p}') THEN '{n}'" for n, p in u.SHAPES) + f" ELSE '{u.OTHER_SHAPE}' END"
+    pool = lambda own, n, all_own, all_n: (
+        f"""abs({own} / greatest({n}, 1)::DOUBLE - ({all_own} - {own}) / greatest({all_n} - {n}, 1)::DOUBLE)
+            <= {u.ALIKE}::DOUBLE * sqrt((({all_own} + 0.5::DOUBLE) / ({all_n} + 1.0::DOUBLE))
+              * (1.0::DOUBLE - ({all_own} + 0.5::DOUBLE) / ({all_n} + 1.0::DOUBLE))
+              * (1.0::DOUBLE / greatest({n}, 1) + 1.0::DOUBLE / greatest({all_n} - {n}, 1)))"""
+    )
     steps = ["""
-    r0 AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts, '' AS template FROM labels_)"""]
+    r0 AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts, '' AS template, '' AS above FROM labels_)"""]
     for k in range(u.DEPTH):
         steps.append(f"""
-    s{k} AS (SELECT host, template, parts[{k + 1}] AS segment, {counts} FROM r{k} WHERE len(parts) > {k} GROUP BY ALL),
+    s{k} AS (SELECT host, template, parts[{k + 1}] AS seg, {counts}, count(*) FILTER (WHERE len(parts) = {k + 1}) AS ended,
+               count(*) FILTER (WHERE regexp_matches(parts[{k + 2}], '^[0-9]')) AS digits
+             FROM r{k} WHERE len(parts) > {k} GROUP BY ALL),
     n{k} AS (SELECT host, template, sum(n) AS n_, sum(labelled) AS labelled_, sum(blocked) AS blocked_
              FROM s{k} GROUP BY ALL),
+    h{k} AS (SELECT *, {shape} AS shape FROM s{k} JOIN n{k} USING (host, template)
+             WHERE n >= {u.LEAST} AND (n >= {u.SHARE}::DOUBLE * n_ OR n >= {u.MANY})),
+    f{k} AS (SELECT host, template, shape, sum(n) AS an, sum(ended) AS ae, sum(digits) AS ad
+             FROM h{k} WHERE labelled < {u.LABELLED} GROUP BY ALL),
     k{k} AS (
-      SELECT host, template, segment FROM (
-        SELECT *, (blocked_ + 0.5::DOUBLE) / (labelled_ + 1.0::DOUBLE) AS pooled FROM s{k} JOIN n{k} USING (host, template))
-      WHERE n >= {u.LEAST} AND n >= {u.SHARE}::DOUBLE * n_ AND NOT (labelled >= {u.LABELLED}
-        AND abs(blocked / greatest(labelled, 1)::DOUBLE - pooled)
-            <= {u.ALIKE}::DOUBLE * sqrt(pooled * (1.0::DOUBLE - pooled) / greatest(labelled, 1)))),
+      SELECT host, template, seg, CASE
+          WHEN labelled >= {u.LABELLED} THEN CASE WHEN labelled_ - labelled >= {u.LABELLED}
+            AND {pool("blocked", "labelled", "blocked_", "labelled_")} THEN '{u.WILD}' || shape || '{u.LABELLED_GROUP}' ELSE seg END
+          WHEN an > n AND {pool("ended", "n", "ae", "an")} AND {pool("digits", "n", "ad", "an")} THEN '{u.WILD}' || shape
+          ELSE seg END AS step
+      FROM h{k} LEFT JOIN f{k} USING (host, template, shape)),
     r{k + 1} AS (
-      SELECT r.* REPLACE (r.template || CASE WHEN len(parts) <= {k} THEN '' WHEN k.segment IS NULL THEN '/{u.WILD}'
-                          ELSE '/' || k.segment END AS template)
-      FROM r{k} r LEFT JOIN k{k} k ON k.host = r.host AND k.template = r.template AND k.segment = r.parts[{k + 1}])""")
+      SELECT r.* EXCLUDE (seg) REPLACE (
+        CASE WHEN seg IS NULL THEN r.above ELSE r.template END AS above,
+        r.template || CASE WHEN seg IS NULL THEN '' ELSE '/' || coalesce(step, '{u.WILD}' || {shape}) END AS template)
+      FROM (SELECT *, parts[{k + 1}] AS seg FROM r{k}) r LEFT JOIN k{k} k USING (host, template, seg))""")
     return f"""
     WITH parsed_ AS (
       SELECT page_id,
@@ -192,11 +207,13 @@ def _urls_sql() -> str:
     ruled_ AS (SELECT *, {rule} AS rule, {verdict} AS said FROM parsed_),
     labels_ AS (SELECT *, CASE WHEN said IS NOT NULL THEN CAST(said = 'block' AS BIGINT) END AS label FROM ruled_),
     {",".join(steps)},
-    placed AS (SELECT * REPLACE (template || CASE WHEN len(parts) > {u.DEPTH} THEN '/**' ELSE '' END AS template)
+    placed AS (SELECT * REPLACE (CASE WHEN len(parts) > {u.DEPTH} THEN template ELSE above END AS above,
+                                 template || CASE WHEN len(parts) > {u.DEPTH} THEN '/**' ELSE '' END AS template)
                FROM r{u.DEPTH}),
-    pure AS (SELECT host, template,
-                    (coalesce(sum(label), 0) + {u.SMOOTH}::DOUBLE) / (count(label) + {2 * u.SMOOTH}::DOUBLE) AS purity
-             FROM placed GROUP BY ALL)
+    counted AS (SELECT host, above, template, {counts} FROM placed GROUP BY ALL),
+    nodes AS (SELECT host, above, (sum(blocked) + 0.5::DOUBLE * (sum(n) - sum(labelled))) / sum(n) AS prior FROM counted GROUP BY ALL),
+    pure AS (SELECT host, template, (blocked + {u.SMOOTH}::DOUBLE * prior) / (labelled + {u.SMOOTH}::DOUBLE) AS purity
+             FROM counted JOIN nodes USING (host, above))
     SELECT page_id, host, path, rule, template, purity,
            coalesce(said, CASE WHEN purity >= {u.PURE} THEN 'block' ELSE 'allow' END) AS verdict
     FROM placed JOIN pure USING (host, template)

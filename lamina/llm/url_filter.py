@@ -1,14 +1,20 @@
 """URL filter by rules and by a tree of path templates learned for each host.
 
 Urls that a rule decides are the labelled ones. The paths of a host form a tree of segments. Level by
-level, a segment of a node stays as it is when it is frequent there (by share or by count) and turns into a
-wildcard otherwise; labelled siblings whose share of blocked urls doesn't differ from that of the node's other
-labelled urls by a z-test are merged into the wildcard as well. A template is the path so rewritten, with everything
-beyond DEPTH segments as ``**``. Its purity is the smoothed share of blocked urls among its labelled
-ones, and urls that no rule decides are blocked when their template is at least PURE.
+level, a segment of a node stays as it is when it is frequent there (by share or by count) and differs from its siblings:
+
+* A branch with LABELLED labelled urls is held against the node's other labelled urls by a z-test of the share of blocked ones.
+* A branch with fewer is held against the node's other such branches of the same shape by z-tests of what lies below: the share of urls
+  that end there, and that of urls that go on with a digit.
+
+Branches that are alike merge into a group by shape (digits, letters, other) and by whether they are labelled; segments that
+are not frequent are variable and become a wildcard by shape. A template is the path so rewritten, with everything
+beyond DEPTH segments as ``**``. Its purity is the share of blocked urls among its labelled ones, smoothed towards the node
+above: its prior is the node's share of blocked urls, in which undecided ones count half. Urls that no rule decides are
+blocked when their template is at least PURE.
 
 Levels are aggregates and joins by (host, template so far, segment), so a host with a third of all urls
-is aggregated before it is shuffled, and its joins are against tables of frequent segments only. Each
+is aggregated before it is shuffled, and its joins are against tables of merged and kept segments only. Each
 level is written to the staging folder, which keeps the plan as short at every depth.
 
 Defined cases: a null url or one without ``://`` has empty host and path; ids may be null or repeated
@@ -38,8 +44,11 @@ MANY = 20
 LABELLED = 5
 ALIKE = 1.96
 PURE = 0.9
-SMOOTH = 1.0
-WILD = "*"
+SMOOTH = 2.0
+#: Shapes of segments, and the marks of a wildcard and of a group of labelled branches.
+SHAPES = (("9", "^[0-9]+$"), ("a", "^[A-Za-z]+$"))
+OTHER_SHAPE = "-"
+WILD, LABELLED_GROUP = "*", "+"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -68,44 +77,85 @@ def _counts() -> list[Column]:
     ]
 
 
-def literal_segments(rows: DataFrame, level: int) -> DataFrame:
-    """(_host, _template, _segment) that stay as they are at a level."""
-    segments = (
+def _shape(segment: Column) -> Column:
+    named = F.lit(OTHER_SHAPE)
+    for name, pattern in reversed(SHAPES):
+        named = F.when(segment.rlike(pattern), F.lit(name)).otherwise(named)
+    return named
+
+
+def _alike(own: Column, n: Column, all_own: Column, all_n: Column) -> Column:
+    """Whether a share doesn't differ from that of the others, which the totals hold as well, by a z-test."""
+    rest = F.greatest(all_n - n, F.lit(1))
+    size = F.greatest(n, F.lit(1))
+    pooled = (all_own + 0.5) / (all_n + 1.0)
+    gap = F.abs(own / size - (all_own - own) / rest)
+    return gap <= ALIKE * F.sqrt(pooled * (1.0 - pooled) * (1.0 / size + 1.0 / rest))
+
+
+def rewritten_segments(rows: DataFrame, level: int) -> DataFrame:
+    """(_host, _template, _segment, _step) of the frequent segments of a level: themselves, or their group."""
+    branches = (
         rows.where(F.size("_parts") > level)
         .groupBy("_host", "_template", F.get("_parts", F.lit(level)).alias("_segment"))
-        .agg(*_counts())
+        .agg(
+            *_counts(),
+            F.count_if(F.size("_parts") == level + 1).alias("ended"),
+            F.count_if(F.coalesce(F.get("_parts", F.lit(level + 1)).rlike("^[0-9]"), F.lit(False))).alias("digits"),
+        )
+        .withColumn("_shape", _shape(F.col("_segment")))
     )
-    nodes = segments.groupBy("_host", "_template").agg(
+    node = ["_host", "_template"]
+    nodes = branches.groupBy(*node).agg(
         F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked")
     )
-    others = F.col("_labelled") - F.col("labelled")
-    tested = (F.col("labelled") >= LABELLED) & (others >= LABELLED)
-    own, rest = F.greatest("labelled", F.lit(1)), F.greatest(others, F.lit(1))
-    pooled = (F.col("_blocked") + 0.5) / (F.col("_labelled") + 1.0)
-    gap = F.abs(F.col("blocked") / own - (F.col("_blocked") - F.col("blocked")) / rest)
-    alike = tested & (gap <= ALIKE * F.sqrt(pooled * (1.0 - pooled) * (1.0 / own + 1.0 / rest)))
     frequent = (F.col("n") >= LEAST) & ((F.col("n") >= SHARE * F.col("_n")) | (F.col("n") >= MANY))
-    judged = segments.join(nodes, ["_host", "_template"])
-    return judged.where(frequent & ~alike).select("_host", "_template", "_segment")
+    held = branches.join(nodes, node).where(frequent)
+    free = F.col("labelled") < LABELLED
+    total = lambda c: F.sum(F.when(free, F.col(c)).otherwise(0)).alias(f"_all_{c}")
+    shapes = held.groupBy(*node, "_shape").agg(total("n"), total("ended"), total("digits"))
+    others = F.col("_labelled") - F.col("labelled") >= LABELLED
+    by_label = ~free & others & _alike(F.col("blocked"), F.col("labelled"), F.col("_blocked"), F.col("_labelled"))
+    below = lambda c: _alike(F.col(c), F.col("n"), F.col(f"_all_{c}"), F.col("_all_n"))
+    by_children = free & (F.col("_all_n") > F.col("n")) & below("ended") & below("digits")
+    group = F.concat(F.lit(WILD), F.col("_shape"))
+    step = F.when(by_label, F.concat(group, F.lit(LABELLED_GROUP))).when(by_children, group).otherwise(F.col("_segment"))
+    return held.join(shapes, [*node, "_shape"]).select(*node, "_segment", step.alias("_step"))
 
 
 def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``rows`` (_host, _path, ...) with the _template of each."""
+    """``rows`` (_host, _path, ...) with the _template of each and that of the node above."""
     parts = F.filter(F.split("_path", "/"), lambda s: s != "")
-    rows = rows.withColumn("_parts", parts).withColumn("_template", F.lit(""))
+    rows = rows.withColumn("_parts", parts).withColumns({"_template": F.lit(""), "_above": F.lit("")})
     for level in range(depth):
-        known = literal_segments(rows, level).withColumn("_known", F.lit(True))
         joined = rows.withColumn("_segment", F.get("_parts", F.lit(level))).join(
-            known, ["_host", "_template", "_segment"], "left"
-        )
-        step = F.when(F.col("_segment").isNull(), F.lit("")).otherwise(
-            F.concat(F.lit("/"), F.when(F.col("_known"), F.col("_segment")).otherwise(F.lit(WILD)))
+            rewritten_segments(rows, level), ["_host", "_template", "_segment"], "left"
         )
-        rows = joined.withColumn("_template", F.concat("_template", step)).drop("_segment", "_known")
+        wild = F.concat(F.lit(WILD), _shape(F.col("_segment")))
+        ended = F.col("_segment").isNull()
+        step = F.when(ended, F.lit("")).otherwise(F.concat(F.lit("/"), F.coalesce("_step", wild)))
+        rows = joined.withColumns(
+            {"_above": F.when(ended, F.col("_above")).otherwise(F.col("_template")), "_template": F.concat("_template", step)}
+        ).drop("_segment", "_step")
         rows = stage(rows, "url-level")  # read twice by the next level
-    return rows.withColumn(
-        "_template", F.concat("_template", F.when(F.size("_parts") > depth, F.lit("/**")).otherwise(F.lit("")))
+    deeper = F.size("_parts") > depth
+    return rows.withColumns(
+        {
+            "_above": F.when(deeper, F.col("_template")).otherwise(F.col("_above")),
+            "_template": F.concat("_template", F.when(deeper, F.lit("/**")).otherwise(F.lit(""))),
+        }
+    )
+
+
+def purities(placed: DataFrame) -> DataFrame:
+    """(_host, _template, purity) of every template."""
+    counted = placed.groupBy("_host", "_above", "_template").agg(*_counts())
+    nodes = counted.groupBy("_host", "_above").agg(
+        F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked")
     )
+    prior = (F.col("_blocked") + 0.5 * (F.col("_n") - F.col("_labelled"))) / F.col("_n")
+    purity = (F.col("blocked") + SMOOTH * prior) / (F.col("labelled") + SMOOTH)
+    return counted.join(nodes, ["_host", "_above"]).select("_host", "_template", purity.alias("purity"))
 
 
 def judge(pages: DataFrame, rules=RULES, url: str = "url", id_col: str = "page_id", depth: int = DEPTH) -> DataFrame:
@@ -117,9 +167,7 @@ def judge(pages: DataFrame, rules=RULES, url: str = "url", id_col: str = "page_i
         "_label", F.when(F.col("_verdict").isNotNull(), (F.col("_verdict") == "block").cast("long"))
     )
     placed = templates(rows, depth)
-    purity = (F.col("blocked") + SMOOTH) / (F.col("labelled") + 2 * SMOOTH)
-    pure = placed.groupBy("_host", "_template").agg(*_counts()).select("_host", "_template", purity.alias("purity"))
-    return placed.join(pure, ["_host", "_template"]).select(
+    return placed.join(purities(placed), ["_host", "_template"]).select(
         F.col("_id").alias(id_col),
         F.col("_host").alias("host"),
         F.col("_path").alias("path"),
