@@ -183,17 +183,18 @@ def _urls_sql() -> str:
              FROM r{k} WHERE len(parts) > {k} GROUP BY ALL),
     n{k} AS (SELECT host, template, sum(n) AS n_, sum(labelled) AS labelled_, sum(blocked) AS blocked_
              FROM s{k} GROUP BY ALL),
-    h{k} AS (SELECT *, {shape} AS shape FROM s{k} JOIN n{k} USING (host, template)
+    h{k} AS (SELECT *, {shape} AS shape, CASE WHEN ended * 2 > n THEN '$' WHEN digits * 2 > n THEN '9' ELSE '{u.OTHER_SHAPE}' END AS below
+             FROM s{k} JOIN n{k} USING (host, template)
              WHERE n >= {u.LEAST} AND (n >= {u.SHARE}::DOUBLE * n_ OR n >= {u.MANY})),
-    f{k} AS (SELECT host, template, shape, sum(n) AS an, sum(ended) AS ae, sum(digits) AS ad
+    f{k} AS (SELECT host, template, shape, below, sum(n) AS an, sum(ended) AS ae, sum(digits) AS ad
              FROM h{k} WHERE labelled < {u.LABELLED} GROUP BY ALL),
     k{k} AS (
       SELECT host, template, seg, CASE
           WHEN labelled >= {u.LABELLED} THEN CASE WHEN labelled_ - labelled >= {u.LABELLED}
             AND {pool("blocked", "labelled", "blocked_", "labelled_")} THEN '{u.WILD}' || shape || '{u.LABELLED_GROUP}' ELSE seg END
-          WHEN an > n AND {pool("ended", "n", "ae", "an")} AND {pool("digits", "n", "ad", "an")} THEN '{u.WILD}' || shape
+          WHEN an > n AND {pool("ended", "n", "ae", "an")} AND {pool("digits", "n", "ad", "an")} THEN '{u.WILD}' || shape || below
           ELSE seg END AS step
-      FROM h{k} LEFT JOIN f{k} USING (host, template, shape)),
+      FROM h{k} LEFT JOIN f{k} USING (host, template, shape, below)),
     r{k + 1} AS (
       SELECT r.* EXCLUDE (seg) REPLACE (
         CASE WHEN seg IS NULL THEN r.above ELSE r.template END AS above,
@@ -211,7 +212,10 @@ def _urls_sql() -> str:
                                  template || CASE WHEN len(parts) > {u.DEPTH} THEN '/**' ELSE '' END AS template)
                FROM r{u.DEPTH}),
     counted AS (SELECT host, above, template, {counts} FROM placed GROUP BY ALL),
-    nodes AS (SELECT host, above, (sum(blocked) + 0.5::DOUBLE * (sum(n) - sum(labelled))) / sum(n) AS prior FROM counted GROUP BY ALL),
+    passing AS (
+      SELECT host, n, labelled, blocked, unnest(list_transform(range(1, greatest(len(t), 2)), lambda k: array_to_string(t[1:k], '/'))) AS above
+      FROM (SELECT *, string_split(template, '/') AS t FROM counted)),
+    nodes AS (SELECT host, above, (sum(blocked) + 0.5::DOUBLE * (sum(n) - sum(labelled))) / sum(n) AS prior FROM passing GROUP BY ALL),
     pure AS (SELECT host, template, (blocked + {u.SMOOTH}::DOUBLE * prior) / (labelled + {u.SMOOTH}::DOUBLE) AS purity
              FROM counted JOIN nodes USING (host, above))
     SELECT page_id, host, path, rule, template, purity,

@@ -4,11 +4,11 @@ Urls that a rule decides are the labelled ones. The paths of a host form a tree
 level, a segment of a node stays as it is when it is frequent there (by share or by count) and differs from its siblings:
 
 * A branch with LABELLED labelled urls is held against the node's other labelled urls by a z-test of the share of blocked ones.
-* A branch with fewer is held against the node's other such branches of the same shape by z-tests of what lies below: the share of urls
-  that end there, and that of urls that go on with a digit.
+* A branch with fewer is held against the node's other such branches of the same shape and with the same majority below by z-tests of
+  what lies below: the share of urls that end there, and that of urls that go on with a digit.
 
-Branches that are alike merge into a group by shape (digits, letters, other) and by whether they are labelled; segments that
-are not frequent are variable and become a wildcard by shape. A template is the path so rewritten, with everything
+Labelled branches that are alike merge into a group by shape (digits, letters, other), others into one by shape and majority; segments
+that are not frequent are variable and become a wildcard by shape. A template is the path so rewritten, with everything
 beyond DEPTH segments as ``**``. Its purity is the share of blocked urls among its labelled ones, smoothed towards the node
 above: its prior is the node's share of blocked urls, in which undecided ones count half. Urls that no rule decides are
 blocked when their template is at least PURE.
@@ -110,17 +110,20 @@ def rewritten_segments(rows: DataFrame, level: int) -> DataFrame:
         F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked")
     )
     frequent = (F.col("n") >= LEAST) & ((F.col("n") >= SHARE * F.col("_n")) | (F.col("n") >= MANY))
-    held = branches.join(nodes, node).where(frequent)
+    most = lambda c, name, rest: F.when(F.col(c) * 2 > F.col("n"), F.lit(name)).otherwise(rest)
+    below = most("ended", "$", most("digits", "9", F.lit(OTHER_SHAPE)))
+    held = branches.join(nodes, node).where(frequent).withColumn("_below", below)
     free = F.col("labelled") < LABELLED
     total = lambda c: F.sum(F.when(free, F.col(c)).otherwise(0)).alias(f"_all_{c}")
-    shapes = held.groupBy(*node, "_shape").agg(total("n"), total("ended"), total("digits"))
+    kind = [*node, "_shape", "_below"]
+    shapes = held.groupBy(kind).agg(total("n"), total("ended"), total("digits"))
     others = F.col("_labelled") - F.col("labelled") >= LABELLED
     by_label = ~free & others & _alike(F.col("blocked"), F.col("labelled"), F.col("_blocked"), F.col("_labelled"))
-    below = lambda c: _alike(F.col(c), F.col("n"), F.col(f"_all_{c}"), F.col("_all_n"))
-    by_children = free & (F.col("_all_n") > F.col("n")) & below("ended") & below("digits")
+    same = lambda c: _alike(F.col(c), F.col("n"), F.col(f"_all_{c}"), F.col("_all_n"))
+    by_children = free & (F.col("_all_n") > F.col("n")) & same("ended") & same("digits")
     group = F.concat(F.lit(WILD), F.col("_shape"))
-    step = F.when(by_label, F.concat(group, F.lit(LABELLED_GROUP))).when(by_children, group).otherwise(F.col("_segment"))
-    return held.join(shapes, [*node, "_shape"]).select(*node, "_segment", step.alias("_step"))
+    step = F.when(by_label, F.concat(group, F.lit(LABELLED_GROUP))).when(by_children, F.concat(group, "_below")).otherwise(F.col("_segment"))
+    return held.join(shapes, kind).select(*node, "_segment", step.alias("_step"))
 
 
 def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -150,7 +153,10 @@ def templates(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
 def purities(placed: DataFrame) -> DataFrame:
     """(_host, _template, purity) of every template."""
     counted = placed.groupBy("_host", "_above", "_template").agg(*_counts())
-    nodes = counted.groupBy("_host", "_above").agg(
+    steps = F.split("_template", "/")
+    up_to = F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1)))
+    passing = F.explode(F.transform(up_to, lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))).alias("_above")
+    nodes = counted.select("_host", passing, "n", "labelled", "blocked").groupBy("_host", "_above").agg(
         F.sum("n").alias("_n"), F.sum("labelled").alias("_labelled"), F.sum("blocked").alias("_blocked")
     )
     prior = (F.col("_blocked") + 0.5 * (F.col("_n") - F.col("_labelled"))) / F.col("_n")

@@ -73,7 +73,7 @@ def test_pure_templates_are_blocked_and_merged_branches_share_a_fate(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     got = {r.page_id: r for r in url_filter.judge(pages, rules).collect()}
     assert got[100].verdict == "block" and got[100].rule is None
-    assert got[0].template == got[1].template == "/*/*"
+    assert got[0].template == got[1].template == "/*a+/*-" and got[100].template == "/*a+/*a"
 
 
 def test_clean_branches_are_kept_apart_from_blocked_ones(spark):
@@ -86,6 +86,48 @@ def test_clean_branches_are_kept_apart_from_blocked_ones(spark):
     assert got == {u: "block" if u.startswith(("x://a.org/de/", "x://b.org/s0/")) else "allow" for u in urls}
 
 
+def branching_urls():
+    """Hosts on which undecided urls are rejected, borrow from the node above, or merge by what lies below."""
+    urls = [f"x://a.org/{'ab'[k % 2]}/bad{k}/x" for k in range(80)] + [f"x://a.org/a/new{k}" for k in range(6)]
+    urls += [f"x://b.org/{s}/{k}" for s in ("en", "fr", "it") for k in range(30)] + [f"x://b.org/shop/{k}/cart" for k in range(30)]
+    urls += [f"x://b.org/blog/post{k}" for k in range(30)] + [f"x://b.org/{k}" for k in range(40)]
+    urls += [f"x://c.org/p/{k}/bad" for k in range(9)] + [f"x://c.org/p/{k}/good" for k in range(50)] + ["x://c.org/p/1/bad/2/3/4/5"]
+    urls += [f"x://d.org/{'s' * 5000}/{k}" for k in range(5)] + ["x://d.org/" + "/".join(map(str, range(3000)))]
+    return [(k, u) for k, u in enumerate(urls)]
+
+
+BRANCH_RULES = (("block", "a.org", "/a/bad"), ("block", "a.org", "/b/bad"), ("block", "c.org", "/p/1"), ("allow", "c.org", "/p/2"))
+
+
+def test_urls_rejected_and_merged_by_their_children(spark):
+    rows = branching_urls()
+    found = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), BRANCH_RULES).collect()
+    assert len(found) == len(rows)
+    of = {dict(rows)[r.page_id]: r for r in found}
+    assert {of[f"x://a.org/a/new{k}"].verdict for k in range(6)} == {"block"}  # the node above is nearly all blocked
+    assert {of[f"x://b.org/{s}/1"].template for s in ("en", "fr", "it")} == {"/*a9/*9"}
+    assert of["x://b.org/shop/1/cart"].template == "/*a9/*9/cart" and of["x://b.org/blog/post1"].template == "/blog/*-"
+    assert of["x://b.org/7"].template == "/*9"
+    assert of["x://c.org/p/30/good"].verdict == "allow"
+    assert {r.verdict for r in found if r.host == "d.org"} == {"allow"}
+
+
+def test_url_sql_agrees_where_branches_merge(spark, tmp_path, monkeypatch):
+    import duckdb
+    from parity import compare
+
+    from lamina.llm import queries
+
+    monkeypatch.setattr(url_filter, "RULES", BRANCH_RULES)
+    monkeypatch.setattr(url_filter.judge, "__defaults__", (BRANCH_RULES, *url_filter.judge.__defaults__[1:]))
+    spark.createDataFrame(branching_urls(), "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    run = queries.QUERIES["op2_url_filter"]
+    assert compare(spark, con, str(tmp_path), "op2_url_filter", run, queries._urls_sql()) is None
+    assert run(spark, str(tmp_path)).where("rule is null and verdict = 'block'").count() > 0
+
+
 def library_counts(texts):
     import public_tokenizers
     from tokenizers import Tokenizer
