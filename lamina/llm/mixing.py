@@ -2,14 +2,16 @@
 
 The words of each source, its documents in hashed order, form one stream that is cut into blocks of
 BLOCK words. Every source owes ``want`` words, made of whole passes over its stream and a part of
-one more; each is a run of slots. All slots of all sources are dealt to output positions by one
-pseudorandom permutation, so the source counts of a shard are a multinomial draw given the totals
-(drawn without replacement, which keeps the totals exact at every size). Within a pass, slots meet
+one more; each is a run of slots. Output shards draw how many slots of each source they get: the counts of a source over the
+shards are a multinomial draw, made by halving. Half of a range of shards gets a binomial share of the range's slots, by
+coin flips from a hash of seed, source and place, and the other half gets the rest, so totals are exact at every
+size. A shard's slots of a source are a run of the source's slots. Within a pass, slots meet
 blocks through the source's own pseudorandom index permutation. Blocks then join documents by index.
 
 Only column expressions, joins, windows and aggregates are used. A hot source is spread: running
-offsets are taken in hashed buckets of about BUCKET_ROWS documents, slots are made from chunks, and
-the join key holds the block number.
+offsets are taken in hashed buckets of about BUCKET_ROWS documents, slots are made from (source, shard) rows in a number of
+tasks that follows their number, and the join key holds the block number. Windows over the table of sources, and over
+the buckets of a source, expect fewer of those than a task can hold. One number reaches the driver, that of all slots.
 
 Defined cases: a null text has no words; a null source is a source, ordered last; a source without
 words has target 0; ids may be null or repeated (one row out per row in); an empty table gives an
@@ -18,6 +20,8 @@ empty mix; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +30,11 @@ from lamina.session import stage
 BLOCK = 32
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 5000
-CHUNK = 16384
+SLOTS_A_TASK = 1 << 19
+#: After so many halvings the ranges of shards are spread over tasks.
+SPREAD_LEVEL = 12
+#: Coins flipped one by one; more are summed up by their normal limit.
+COINS = 4096
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MOST_TIMES = 2
@@ -95,29 +103,65 @@ def source_plan(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, most:
         .withColumn("_passes", F.when(F.col("_total") > 0, F.floor(F.col("_want") / F.col("_total"))).otherwise(0))
         .withColumn("_rest", F.col("_want") - F.col("_passes") * F.col("_total"))
         .withColumn("_slots", F.col("_passes") * F.col("_blocks") + F.ceil(F.col("_rest") / BLOCK))
-        .withColumn("_before", F.coalesce(
-            F.sum("_slots").over(by_name.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ))
-        .withColumn("_all", F.sum("_slots").over(all_rows))
         .withColumn("_buckets", F.ceil(F.col("_rows") / BUCKET_ROWS))
     )
     return stage(plan.drop("_level", "_cap"), "mix-sources")
 
 
-def slots(plan: DataFrame, seed: int = 0) -> DataFrame:
-    """(_src, position, shard, _block, _words) of every output slot."""
-    key = F.lit(seed)
-    chunks = plan.where("_slots > 0").withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_slots") - 1) / CHUNK)))
-    )
-    one = chunks.repartition(F.col("_src"), F.col("_chunk")).withColumn(
-        "_slot",
-        F.explode(
-            F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("_slots")) - 1)
+def binomial(n: Column, *key: Column) -> Column:
+    """Heads among n coins that depend on ``key``: bits of hashes, or their normal limit beyond COINS."""
+    flipped = F.aggregate(
+        F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / 63)),
+        F.lit(0).cast("long"),
+        lambda heads, k: heads
+        + F.bit_count(
+            F.xxhash64(k, *key).bitwiseAND(
+                F.call_function("shiftright", F.lit(2**63 - 1), (63 - F.least(n - k * 63, F.lit(63))).cast("int"))
+            )
         ),
     )
+    even = lambda tag: (F.pmod(F.xxhash64(F.lit(tag), *key), F.lit(1 << 53)) + 0.5) / float(1 << 53)
+    normal = F.sqrt(-2 * F.log(even("r"))) * F.cos(even("a") * (2 * math.pi))
+    limit = F.greatest(F.lit(0), F.least(n, F.floor(n / 2 + F.sqrt(n.cast("double")) / 2 * normal + 0.5)))
+    return F.when(n < 1, F.lit(0)).when(n <= COINS, flipped).otherwise(limit).cast("long")
+
+
+def shards_for(slots: int, shard_slots: int = SHARD_SLOTS) -> int:
+    """Halvings that leave shards of about ``shard_slots`` slots."""
+    return max(0, math.ceil(math.log2(max(slots, 1) / shard_slots)))
+
+
+def shard_counts(plan: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """The plan's rows by shard: (..., shard, _begin, _count), the run of the source's slots that a shard gets."""
+    every = plan.agg(F.coalesce(F.sum("_slots"), F.lit(0))).first()[0]
+    tasks = max(1, math.ceil(every / SLOTS_A_TASK))
+    levels = shards_for(every, shard_slots)
+    rows = plan.where("_slots > 0").withColumns(
+        {"shard": F.lit(0).cast("long"), "_begin": F.lit(0).cast("long"), "_count": F.col("_slots")}
+    )
+    for level in range(levels):
+        if level == SPREAD_LEVEL:
+            rows = rows.repartition(tasks)
+        heads = rows.withColumn("_heads", binomial(F.col("_count"), F.lit(seed), F.lit(level), "shard", "_src"))
+        left = F.struct((F.col("shard") * 2).alias("shard"), F.col("_begin"), F.col("_heads").alias("_count"))
+        right = F.struct(
+            (F.col("shard") * 2 + 1).alias("shard"),
+            (F.col("_begin") + F.col("_heads")).alias("_begin"),
+            (F.col("_count") - F.col("_heads")).alias("_count"),
+        )
+        halves = heads.withColumn("_half", F.explode(F.array(left, right))).drop("shard", "_begin", "_count", "_heads")
+        rows = halves.select("*", "_half.*").drop("_half").where("_count > 0")
+    return rows.repartition(tasks)
+
+
+def slots(plan: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """(_src, shard, slot, position, _block, _words) of every output slot; a shard is read in order of position."""
+    key = F.lit(seed)
+    one = shard_counts(plan, seed, shard_slots).withColumn(
+        "slot", F.explode(F.sequence(F.col("_begin"), F.col("_begin") + F.col("_count") - 1))
+    )
     turn = one.withColumns(
-        {"_pass": F.floor(F.col("_slot") / F.col("_blocks")), "_at": F.pmod("_slot", "_blocks")}
+        {"_pass": F.floor(F.col("slot") / F.col("_blocks")), "_at": F.pmod("slot", "_blocks")}
     )  # the last, shorter block ends every pass
     placed = turn.withColumn(
         "_block",
@@ -126,11 +170,11 @@ def slots(plan: DataFrame, seed: int = 0) -> DataFrame:
     )
     due = F.col("_want") - F.col("_pass") * F.col("_total") - F.col("_at") * BLOCK
     held = F.least(F.lit(BLOCK), F.col("_total") - F.col("_block") * BLOCK)
-    position = permuted(F.col("_before") + F.col("_slot"), F.col("_all"), key)
     return placed.select(
         "_src",
-        position.alias("position"),
-        F.floor(position / SHARD_SLOTS).alias("shard"),
+        "shard",
+        "slot",
+        F.xxhash64(key, F.col("shard"), F.col("_src"), F.col("slot")).alias("position"),
         "_block",
         F.least(due, held).cast("long").alias("_words"),
     )
@@ -159,8 +203,8 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces): documents with size, target and place; what each output slot takes from which.
 
-    ``pieces`` has (shard, position, document columns, first_word, words): a slot takes ``words`` words
-    of a document from its word ``first_word`` on, and slots are read in order of ``position``.
+    ``pieces`` has (shard, position, slot, document columns, first_word, words): a slot takes ``words`` words
+    of a document from its word ``first_word`` on, and the slots of a shard are read in order of ``position``.
     """
     sizes = document_sizes(docs, text, source, id_col)
     plan = source_plan(sizes)
@@ -176,7 +220,7 @@ def mix(
         .join(slots(plan, seed).hint("merge"), ["_src", "_block"])  # its size can't be told from the sources'
         .where(end > begin)
         .select(
-            "shard", "position", "_src", "_id", "_size", "_first",
+            "shard", "position", "slot", "_src", "_id", "_size", "_first",
             (begin - F.col("_first")).alias("first_word"), (end - begin).alias("words"),
         )
     )

@@ -275,16 +275,79 @@ def test_mix_meets_targets(spark):
     assert mixing.taken(frame(spark, [])).count() == 0
 
 
-def test_mix_positions_are_each_used_once(spark):
+def mixed_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPREAD_LEVEL", 2)
     docs = spark.createDataFrame([(k, prose(k, 20 + k % 50), "ab"[k % 3 > 0]) for k in range(300)], "doc_id long, text string, source string")
+    return docs
+
+
+def test_mix_slots_are_each_used_once(spark, monkeypatch):
+    docs = mixed_pieces(spark, monkeypatch)
+    sizes = mixing.document_sizes(docs, "text", "source", "doc_id")
+    plan = mixing.source_plan(sizes)
+    owed = {r._src: r._slots for r in plan.collect()}
+    used, where = defaultdict(list), {}
+    for r in mixing.slots(plan, shard_slots=16).collect():
+        used[r._src].append(r.slot)
+        where[r._src, r.slot] = r
+    assert {s: sorted(v) for s, v in used.items()} == {s: list(range(n)) for s, n in owed.items()}
+    shards = {r.shard for r in where.values()}
+    assert shards == set(range(2 ** mixing.shards_for(sum(owed.values()), 16))) and len(shards) >= 16
+    assert len({r.position for r in where.values()}) == len(where)
     _, pieces = mixing.mix(docs)
-    by = defaultdict(list)
+    words = Counter()
     for r in pieces.collect():
-        by[r.position].append(r)
         assert 0 <= r.first_word and r.first_word + r.words <= r._size
-        assert r.shard == r.position // mixing.SHARD_SLOTS
-    assert sorted(by) == list(range(len(by)))
-    assert all(sum(r.words for r in own) <= mixing.BLOCK and len({r._src for r in own}) == 1 for own in by.values())
+        words[r._src, r.slot] += r.words
+    assert words == {k: r._words for k, r in where.items()} and max(words.values()) <= mixing.BLOCK
+
+
+def test_shard_counts_are_multinomial(spark):
+    """Counts of each source over shards: exact totals, spread and fit of a multinomial draw, small and large counts."""
+    plan = spark.createDataFrame([(1, 600), (2, 64_000), (3, 10_000_000), (4, 1), (5, 0)], "_src int, _slots long")
+    rows = mixing.shard_counts(plan, seed=3, shard_slots=40_000).collect()
+    shards = 2 ** mixing.shards_for(10_064_601, 40_000)
+    assert shards == 256
+    for source, total in ((1, 600), (2, 64_000), (3, 10_000_000), (4, 1)):
+        counts = np.zeros(shards)
+        runs = []
+        for r in rows:
+            if r._src == source:
+                counts[r.shard] += r._count
+                runs.append((r._begin, r._begin + r._count))
+        runs.sort()
+        assert runs[0][0] == 0 and runs[-1][1] == total and all(a[1] == b[0] for a, b in zip(runs, runs[1:]))
+        if total >= 600:
+            mean = total / shards
+            chi = ((counts - mean) ** 2 / mean).sum()  # chi-squared with 255 degrees of freedom
+            assert 255 - 5 * np.sqrt(510) < chi < 255 + 5 * np.sqrt(510), (source, chi)
+    assert rows != mixing.shard_counts(plan, seed=4, shard_slots=40_000).collect()
+
+
+@pytest.mark.parametrize("n", [1, 5, 62, 63, 64, 200, 4096, 4097, 10**6])
+def test_binomial_halves(spark, n):
+    got = spark.range(2000).select(mixing.binomial(F.lit(n).cast("long"), F.lit(7), F.col("id")).alias("k")).toPandas()["k"].to_numpy()
+    assert got.min() >= 0 and got.max() <= n
+    assert abs(got.mean() - n / 2) < 5 * np.sqrt(n / 4 / 2000)
+    assert abs(got.var() / (n / 4) - 1) < 5 * np.sqrt(2 / 2000)
+
+
+def test_mix_of_a_hot_source_goes_through_its_shards(spark, monkeypatch):
+    """Buckets, shards and tasks all smaller than the one source that holds nearly all rows."""
+    for name, value in (("BUCKET_ROWS", 7), ("SHARD_SLOTS", 8), ("SLOTS_A_TASK", 64), ("SPREAD_LEVEL", 3)):
+        monkeypatch.setattr(mixing, name, value)
+    monkeypatch.setattr(mixing.slots, "__defaults__", (0, 8))
+    rows = [(k, prose(k, 30 + k % 90), "hot") for k in range(400)] + [(1000 + k, prose(k, 500), "cold") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.taken(docs)
+    assert "shard" in out._jdf.queryExecution().optimizedPlan().toString()
+    sizes = Counter({s: sum(len(t.split()) for _, t, o in rows if o == s) for s in ("hot", "cold")})
+    want, taken = plain_targets(sizes), Counter()
+    source = {i: s for i, _, s in rows}
+    for r in out.collect():
+        taken[source[r.doc_id]] += r.taken
+        assert 0 <= r.taken <= 2 * r.size
+    assert all(abs(taken[s] - want[s]) <= 1 for s in sizes)
 
 
 def test_permutation_is_a_bijection(spark):
