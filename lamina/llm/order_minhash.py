@@ -11,9 +11,11 @@ k-mers are distinct, the chain is a longest increasing run of positions.
 
 1. Equal word sequences are collapsed to their least id.
 2. In every bucket all members are compared with the least one; links give components.
-3. Buckets that hold several components are looked at again. Where at most BUCKET texts share a bucket,
-   members of different components are compared. Fuller buckets are first split by a second sketch,
-   which parts texts that share a passage. Parts still full are families of copies that differ
+3. Buckets that hold several components are looked at again. In those with more than BUCKET texts, all members are
+   compared with the one that shares full buckets with most texts. Where at most BUCKET texts share a bucket,
+   members of different components are compared. Fuller buckets that still hold several components are split by a second sketch,
+   which parts texts that share a passage; a text is listed under a pair of sketches only where both lie in such buckets, as
+   texts that share the pair share both buckets. Parts still full are families of copies that differ
    pairwise. Their k-mers are counted over the families, and each text is also listed under its rarest
    ones: as many as leave too few others for a link, so linked texts meet there. In every part and under every
    k-mer, members are compared with the most central one, which joins most of a family.
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.components import components
@@ -272,6 +274,35 @@ def _across(members: DataFrame) -> DataFrame:
     return left.join(right, "_key").where("_ca < _cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _stars(full: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket with that which has most mates in all, where their components differ."""
+    score = full.groupBy("_id").agg(F.sum("_many").alias("_score"))
+    ranked = F.max(F.struct("_score", "_id", "component")).alias("c")
+    centre = full.select("_key", "_id", "component").join(score, "_id").groupBy("_key").agg(ranked)
+    apart = full.join(centre.select("_key", "c._id", "c.component").toDF("_key", "c", "_cc"), "_key").where("component <> _cc")
+    return apart.select(F.least("c", "_id").alias("a"), F.greatest("c", "_id").alias("b")).distinct()
+
+
+def _split(full: DataFrame) -> DataFrame:
+    """(_id, component, _key) of pairs of sketches that both lie in buckets of ``full``."""
+    held = full.groupBy("_id").agg(
+        F.first("component").alias("component"), F.collect_list(F.struct("_j", *[f"_p{d}" for d in range(1, NEXT + 1)])).alias("_x")
+    )  # at most SKETCHES a text
+    of = F.transform("_x", lambda x: x["_j"])
+
+    def keys(d: int) -> Column:
+        paired = F.filter("_x", lambda x: F.array_contains(of, _mate(x["_j"], d)))
+        return F.transform(paired, lambda x: x[f"_p{d}"])
+
+    pairs = F.concat(*[keys(d) for d in range(1, NEXT + 1)])
+    return held.select("_id", "component", F.explode(pairs).alias("_key"))
+
+
+def _mate(j: Column, d: int) -> Column:
+    """The sketch ``d`` places on in a team; teams of TEAM = 2 * NEXT + 1 have all their pairs once."""
+    return (F.floor(j / TEAM) * TEAM + F.pmod(j + d, F.lit(TEAM))).cast("int")
+
+
 def _rest(members: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b), a < b, of rows (_key, _id, _n, _left, component) that differ in component and may be linked.
 
@@ -298,11 +329,9 @@ def classes(
         F.min("_id").alias("_id"), F.first("_n").alias("_n"), F.first("_s").alias("_s")
     )
     nodes = stage(nodes, "texts")
-    # Sketches work in teams of TEAM = 2 * NEXT + 1, all pairs of a team once.
-    mate = lambda d: (F.floor(F.col("_j") / TEAM) * TEAM + F.pmod(F.col("_j") + d, F.lit(TEAM))).cast("int")
-    pair = lambda d: F.xxhash64("_j", "_v", mate(d), F.get("_s", mate(d))).alias(f"_p{d}")
+    pair = lambda d: F.xxhash64("_j", "_v", _mate(F.col("_j"), d), F.get("_s", _mate(F.col("_j"), d))).alias(f"_p{d}")
     placed = nodes.select("_id", "_s", F.posexplode("_s").alias("_j", "_v")).select(
-        "_id", F.xxhash64("_j", "_v").alias("_key"), *[pair(d) for d in range(1, NEXT + 1)]
+        "_id", "_j", F.xxhash64("_j", "_v").alias("_key"), *[pair(d) for d in range(1, NEXT + 1)]
     )
     buckets = placed.groupBy("_key").agg(F.count("*").alias("_many"), F.min("_id").alias("_least")).where("_many > 1")
     members = stage(placed.join(buckets, "_key"), "buckets")
@@ -321,12 +350,17 @@ def classes(
     links = _verified(stars, small, texts, threshold)
     named = components(links, "a", "b")
 
-    named = named.withColumnRenamed("node", "_id")
-    in_part = lambda df: df.join(named, "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    open_ = stage(_mixed(in_part(members.drop("_many", "_least"))), "open")
+    part_of = lambda df, named: df.join(named.withColumnRenamed("node", "_id"), "_id", "left").withColumn(
+        "component", F.coalesce("component", "_id")
+    )
+    open_ = stage(_mixed(part_of(members.drop("_many", "_least"), named)), "open")
+    nearer = _stars(open_.where(F.col("_many") > BUCKET)).join(stars, ["a", "b"], "left_anti")
+    links = stage(links.unionAll(_verified(nearer, small, texts, threshold)), "linked")
+    stars = stars.unionAll(nearer)
+    named = components(links, "a", "b")
+    open_ = stage(_mixed(part_of(open_.drop("component", "_many", "_least"), named)), "open")
     few = open_.where(F.col("_many") <= BUCKET)
-    full = open_.where(F.col("_many") > BUCKET)
-    split = full.select("_id", "component", F.explode(F.array(*[f"_p{d}" for d in range(1, NEXT + 1)])).alias("_key"))
+    split = _split(open_.where(F.col("_many") > BUCKET))
     parts = stage(_mixed(split), "parts")
     central, rarest = _families(parts.where(F.col("_many") > BUCKET).select("_key", "_id"), texts, threshold)
     across = few.select("_key", "_id", "component").unionAll(
@@ -334,9 +368,9 @@ def classes(
     )
     across = _across(across).unionAll(central).distinct().join(stars, ["a", "b"], "left_anti")
     every = links.unionAll(_verified(across, small, texts, threshold))
-    named = components(every, "a", "b").withColumnRenamed("node", "_id")
+    named = components(every, "a", "b")
 
-    left = stage(_mixed(in_part(rarest)).drop("_many", "_least"), "left")
+    left = stage(_mixed(part_of(rarest, named)).drop("_many", "_least"), "left")
     every = every.unionAll(_verified(_rest(left, threshold), small, texts, threshold))
     named = components(every, "a", "b")
 
