@@ -243,13 +243,13 @@ _SQL_KEYS = _SQL_RESOLVED + ", " + SHALLOW_SQL.replace(LINES_SQL + ", ", "") + f
 def _view_keys(spark, sf):
     views, selects = _resolved(spark, sf)
     layers = shallow_paths(spark, sf)
-    resolved = V.resolve_views(layers, selects, views)
+    deltas = stage(V.item_deltas(layers, selects), "deltas")
     marked = layers.select(
         "doc_id", "seq_id", "folder", "checked",
         (F.coalesce("disc", F.lit(0.0)) > 0.05).alias("has_mask"),
         F.when(C("parent_seq_id") == -1, F.array().cast("array<bigint>")).otherwise(F.array("parent_seq_id")).alias("ancestors"),
     )
-    return V.view_keys(marked, views, resolved)
+    return V.view_keys(marked, selects, views, deltas)
 
 
 @register("render_key", _SQL_KEYS + "SELECT doc_id, root_id, view_index, render_key FROM keys")

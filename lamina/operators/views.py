@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lamina.functions.hashing import set_digest
+from lamina.functions.hashing import digest_of_sums, digest_words, set_digest
 from lamina.functions.names import display_caption, format_ts, padded, safe_filename, view_name
 from lamina.operators.scans import number_rows, rank_in_group, rank_sorted, running_sum
 from lamina.operators.states import state_delta
@@ -286,13 +286,13 @@ def item_deltas(layers: DataFrame, selects: DataFrame) -> DataFrame:
     )
 
 
-def resolve_views(layers: DataFrame, selects: DataFrame, views: DataFrame) -> DataFrame:
+def resolve_views(layers: DataFrame, selects: DataFrame, views: DataFrame, deltas: DataFrame | None = None) -> DataFrame:
     """(doc_id, root_id, view_index, seq_id, checked) for the layers each view sets.
 
     Overlays do not read flags, so the last select that touches a layer decides; every view
-    starts from the same flags and layers not listed keep them.
+    starts from the same flags and layers not listed keep them. ``deltas`` may be passed where they are known.
     """
-    deltas = stage(item_deltas(layers, selects), "deltas")
+    deltas = stage(item_deltas(layers, selects), "deltas") if deltas is None else deltas
     items = selects.select("doc_id", "root_id", "select_ord", "item_ord", "item_id")
     chosen = views.join(items, ["doc_id", "root_id", "select_ord", "item_ord"])
     return (
@@ -302,23 +302,125 @@ def resolve_views(layers: DataFrame, selects: DataFrame, views: DataFrame) -> Da
     )
 
 
-def view_keys(layers: DataFrame, views: DataFrame, resolved: DataFrame) -> DataFrame:
-    """(doc_id, root_id, view_index, render_key) from full flags per view.
+def _decisions(layers: DataFrame, selects: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(doc_id, root_id, anc, by, fixed): how the choices of a root set a layer that some of its items touch.
+
+    ``by`` lists (select_ord, size, flags by item) of the selects that touch it, the last one first: the first that holds the
+    chosen item decides. Selects before one that touches the layer with each of its items have no say.
+    ``fixed`` is the flag where all choices give the same one.
+    """
+    items = selects.select("doc_id", "root_id", "select_ord", "item_ord", "size", "item_id")
+    touches = items.join(deltas, ["doc_id", "item_id"])
+    per_select = touches.groupBy("doc_id", "root_id", "seq_id", "select_ord").agg(
+        F.first("size").alias("size"), F.collect_list(F.struct("item_ord", C("checked").alias("flag"))).alias("set")
+    )  # at most one a item
+    stacked = per_select.groupBy("doc_id", "root_id", "seq_id").agg(
+        F.sort_array(F.collect_list(F.struct("select_ord", "size", "set")), asc=False).alias("by")
+    )
+    flags = layers.select("doc_id", "seq_id", C("checked").alias("__base"))
+    always = F.transform("by", lambda s: F.size(s["set"]) == s["size"])
+    rows = stacked.join(flags, ["doc_id", "seq_id"]).withColumn("__full", F.array_position(always, True))
+    rows = rows.withColumn("by", F.when(C("__full") > 0, F.slice("by", F.lit(1), C("__full").cast("int"))).otherwise(C("by")))
+    values = F.flatten(F.transform("by", lambda s: F.transform(s["set"], lambda i: i["flag"])))
+    values = F.array_distinct(F.when(C("__full") > 0, values).otherwise(F.concat(values, F.array("__base"))))
+    return rows.select(
+        "doc_id", "root_id", C("seq_id").alias("anc"), C("__base").alias("base"),
+        F.when(F.size(values) == 1, F.get(values, F.lit(0))).alias("fixed"),
+        F.transform("by", lambda s: F.struct(s["select_ord"].alias("select_ord"), s["size"].alias("size"), F.map_from_entries(s["set"]).alias("set"))).alias("by"),
+    )
+
+
+def _lit_leaves(layers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Leaves with the flags of their chain: (doc_id, seq_id, anc, checked), and (doc_id, seq_id, off, w1, w2) of each."""
+    w1, w2 = digest_words("seq_id", "has_mask")
+    leaves = layers.filter(~C("folder")).select("doc_id", "seq_id", w1.alias("w1"), w2.alias("w2"), F.concat(F.array("seq_id"), "ancestors").alias("chain"))
+    flags = layers.select("doc_id", C("seq_id").alias("anc"), "checked")
+    chains = stage(leaves.select("doc_id", "seq_id", "w1", "w2", F.explode("chain").alias("anc")).join(flags, ["doc_id", "anc"]), "chains")
+    own = chains.groupBy("doc_id", "seq_id").agg(
+        F.count_if(~C("checked")).alias("off"), F.first("w1").alias("w1"), F.first("w2").alias("w2")
+    )
+    return chains.select("doc_id", "seq_id", "anc", "checked"), stage(own, "lit")
+
+
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of the digests' counts and words of rows that come (1), go (-1) or stay as they are (0)."""
+    total = lambda v: F.sum(C("sign") * v)
+    return rows.filter("sign <> 0").groupBy(*keys).agg(
+        total(F.lit(1).cast("bigint")).alias("n"), total(C("w1")).alias("w1"), total(C("w2")).alias("w2")
+    )
+
+
+COMBOS = 1 << 16
+
+
+def key_changes(layers: DataFrame, selects: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(doc_id, root_id, about, sizes, code, n, w1, w2): what choices add to the digest of a document's current picture.
+
+    Leaves whose drawing depends on the same selects (``about``, ascending) change together: for each combination of their items,
+    numbered by ``code`` with the last select fastest, one row sums up which of them come and go. Leaves that no choice touches, or
+    that are off in every view and now, give no rows. So the table follows the touched layers and the
+    choices that reach each of them, not the views.
+    """
+    chains, lit = _lit_leaves(layers)
+    touched = chains.join(_decisions(layers, selects, deltas), ["doc_id", "anc"])
+    open_ = F.when(C("fixed").isNull(), F.struct("base", "by"))
+    leaves = touched.groupBy("doc_id", "root_id", "seq_id").agg(
+        F.collect_list(open_).alias("chain"),
+        F.count_if(~C("checked")).alias("__off"),
+        F.coalesce(F.bool_or(~C("fixed")), F.lit(False)).alias("__dead"),
+    ).join(lit, ["doc_id", "seq_id"])
+    never = C("__dead") | (C("off") > C("__off"))
+    leaves = leaves.withColumns(
+        {"__now": C("off") == 0, "__never": never, "chain": F.when(never, F.array().cast(leaves.schema["chain"].dataType)).otherwise(C("chain"))}
+    ).filter(~never | C("__now"))
+    reach = F.array_sort(F.array_distinct(F.flatten(F.transform("chain", lambda d: F.transform(d["by"], lambda s: F.struct(s["select_ord"].alias("o"), s["size"].alias("s")))))))
+    combos = leaves.withColumn("__r", reach).withColumns(
+        {"about": F.transform("__r", lambda r: r["o"]), "sizes": F.transform("__r", lambda r: r["s"])}
+    ).withColumn("__m", F.aggregate("sizes", F.lit(1).cast("bigint"), lambda a, s: a * s))
+    blocks = combos.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((C("__m") - 1) / COMBOS))))
+    coded = blocks.withColumn("code", F.explode(F.sequence(C("__b") * COMBOS, F.least((C("__b") + 1) * COMBOS, C("__m")) - 1)))
+    picked = F.aggregate(
+        F.reverse("sizes"),
+        F.struct(C("code").alias("left"), F.array().cast("array<bigint>").alias("p")),
+        lambda a, s: F.struct(F.call_function("div", a["left"], s).alias("left"), F.concat(F.array(a["left"] % s), a["p"]).alias("p")),
+    )["p"]
+    coded = coded.withColumn("__p", F.map_from_arrays("about", picked))
+    flag = lambda d: F.coalesce(
+        F.get(F.filter(F.transform(d["by"], lambda s: F.try_element_at(s["set"], F.try_element_at(C("__p"), s["select_ord"]))), lambda v: v.isNotNull()), F.lit(0)),
+        d["base"],
+    )
+    drawn = ~C("__never") & F.forall("chain", flag)
+    changed = coded.withColumn("sign", drawn.cast("int") - C("__now").cast("int"))
+    return _sums(changed, ["doc_id", "root_id", "about", "sizes", "code"])
+
+
+def view_keys(layers: DataFrame, selects: DataFrame, views: DataFrame, deltas: DataFrame) -> DataFrame:
+    """(doc_id, root_id, view_index, render_key): the digest of what each view draws.
 
     ``layers`` has parents, ``checked``, and the marks that tell pictures apart (mask, clipping).
-    A layer counts when it and all ancestors are on; leaves only, as folders add no pixels.
+    A layer counts when it and all ancestors are on; leaves only, as folders add no pixels. Digests are sums, so a view's is that
+    of the current picture plus one row of ``key_changes`` for each set of selects: views never meet layers.
     """
     view = ["doc_id", "root_id", "view_index"]
-    each = views.select(*view).distinct()
-    flags = each.join(layers, "doc_id").join(
-        resolved.withColumnRenamed("checked", "__set"), [*view, "seq_id"], "left"
-    ).withColumn("checked", F.coalesce("__set", "checked"))
-    off = flags.filter(~C("checked")).select(*view, C("seq_id").alias("anc")).withColumn("__off", F.lit(True))
-    leaves = flags.filter(~C("folder")).select(*view, "seq_id", "has_mask", F.explode(F.concat(F.array("seq_id"), "ancestors")).alias("anc"))
-    hidden = leaves.join(off, [*view, "anc"]).select(*view, "seq_id").distinct()
-    drawn = flags.filter(~C("folder")).join(hidden, [*view, "seq_id"], "left_anti")
-    keys = render_key(drawn, view)
-    return each.join(keys, view, "left").withColumn("render_key", F.coalesce("render_key", F.lit("empty")))
+    _, lit = _lit_leaves(layers)
+    now = _sums(lit.withColumn("sign", (C("off") == 0).cast("int")), ["doc_id"])
+    changes = stage(key_changes(layers, selects, deltas), "keychanges")
+    chosen = stage(
+        views.groupBy(*view).agg(F.map_from_entries(F.collect_list(F.struct("select_ord", "item_ord"))).alias("choice")), "choices"
+    )
+    kinds = changes.select("doc_id", "root_id", "about", "sizes").distinct()
+    code = F.aggregate(
+        F.arrays_zip("about", "sizes"), F.lit(0).cast("bigint"),
+        lambda a, r: a * r["sizes"] + F.element_at(C("choice"), r["about"]),
+    )
+    met = chosen.join(kinds, ["doc_id", "root_id"]).withColumn("code", code).select(*view, "about", "code")
+    met = met.join(changes.drop("sizes"), ["doc_id", "root_id", "about", "code"]).select(*view, "n", "w1", "w2")
+    zero = [F.lit(0).cast(met.schema[c].dataType).alias(c) for c in ("n", "w1", "w2")]
+    moved = chosen.select(*view, *zero).unionAll(met).groupBy(*view).agg(*[F.sum(c).alias(c) for c in ("n", "w1", "w2")])
+    whole = moved.join(now.toDF("doc_id", "__n", "__w1", "__w2"), "doc_id", "left")
+    total = lambda c: C(c) + F.coalesce("__" + c, F.lit(0))
+    key = F.when(total("n") == 0, "empty").otherwise(digest_of_sums(total("n"), total("w1"), total("w2")))
+    return whole.select(*view, key.alias("render_key"))
 
 
 def render_key(drawn: DataFrame, keys: list[str]) -> DataFrame:

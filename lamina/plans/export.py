@@ -54,13 +54,16 @@ def export_views(nodes: DataFrame, layers: DataFrame, pixels: DataFrame, masks:
     """
     selects = stage(V.view_selects(V.favorites_walk(nodes)), "selects")
     views = stage(V.enumerate_views(selects), "views")
-    resolved = stage(V.resolve_views(layers, selects, views), "resolved")
-    keys = stage(V.view_keys(layers, views, resolved), "keys")
+    deltas = stage(V.item_deltas(layers, selects), "deltas")
+    keys = stage(V.view_keys(layers, selects, views, deltas), "keys")
     pictures = stage(
         number_rows(V.distinct_pictures(keys), ["doc_id", "render_key"], "image_id", "pictures"), "pictures"
     )
     shown = keys.join(pictures.select("doc_id", "render_key", "image_id"), ["doc_id", "render_key"]).drop("render_key")
-    chosen = resolved.join(pictures.select("doc_id", "root_id", "view_index", "image_id"), ["doc_id", "root_id", "view_index"])
+    shown_first = pictures.select("doc_id", "root_id", "view_index", "image_id")
+    of_pictures = stage(views.join(shown_first, ["doc_id", "root_id", "view_index"]), "pictureviews")
+    resolved = V.resolve_views(layers, selects, of_pictures.drop("image_id"), deltas)
+    chosen = resolved.join(shown_first, ["doc_id", "root_id", "view_index"])
     flags = (
         pictures.select("image_id", "doc_id")
         .join(layers.select("doc_id", "seq_id", "checked"), "doc_id")
