@@ -31,7 +31,8 @@ BLOCK = 32
 SHARD_SLOTS = 4096
 BUCKET_ROWS = 5000
 SLOTS_A_TASK = 1 << 19
-#: After so many halvings the ranges of shards are spread over tasks.
+#: So many halvings are one job; from SPREAD_LEVEL on the ranges of shards are spread over tasks.
+HALVINGS = 4
 SPREAD_LEVEL = 12
 #: Coins flipped one by one; more are summed up by their normal limit.
 COINS = 4096
@@ -140,8 +141,8 @@ def shard_counts(plan: DataFrame, seed: int = 0, shard_slots: int = SHARD_SLOTS)
         {"shard": F.lit(0).cast("long"), "_begin": F.lit(0).cast("long"), "_count": F.col("_slots")}
     )
     for level in range(levels):
-        if level == SPREAD_LEVEL:
-            rows = rows.repartition(tasks)
+        if level and level % HALVINGS == 0:
+            rows = stage(rows.repartition(tasks) if level >= SPREAD_LEVEL else rows, "mix-shards")
         heads = rows.withColumn("_heads", binomial(F.col("_count"), F.lit(seed), F.lit(level), "shard", "_src"))
         left = F.struct((F.col("shard") * 2).alias("shard"), F.col("_begin"), F.col("_heads").alias("_count"))
         right = F.struct(

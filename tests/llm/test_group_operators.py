@@ -276,6 +276,7 @@ def test_mix_meets_targets(spark):
 
 
 def mixed_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "HALVINGS", 2)
     monkeypatch.setattr(mixing, "SPREAD_LEVEL", 2)
     docs = spark.createDataFrame([(k, prose(k, 20 + k % 50), "ab"[k % 3 > 0]) for k in range(300)], "doc_id long, text string, source string")
     return docs
@@ -334,7 +335,7 @@ def test_binomial_halves(spark, n):
 
 def test_mix_of_a_hot_source_goes_through_its_shards(spark, monkeypatch):
     """Buckets, shards and tasks all smaller than the one source that holds nearly all rows."""
-    for name, value in (("BUCKET_ROWS", 7), ("SHARD_SLOTS", 8), ("SLOTS_A_TASK", 64), ("SPREAD_LEVEL", 3)):
+    for name, value in (("BUCKET_ROWS", 7), ("SHARD_SLOTS", 8), ("SLOTS_A_TASK", 64), ("HALVINGS", 2), ("SPREAD_LEVEL", 4)):
         monkeypatch.setattr(mixing, name, value)
     monkeypatch.setattr(mixing.slots, "__defaults__", (0, 8))
     rows = [(k, prose(k, 30 + k % 90), "hot") for k in range(400)] + [(1000 + k, prose(k, 500), "cold") for k in range(3)]
