@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.tree import NODE, SIBLINGS, ancestor_lists, clip_base, tree_closure, tree_walk
+from lamina.operators.tree import NODE, SIBLINGS, ancestor_lists, both, clip_base, prepended, tree_closure, tree_fold
 from lamina.session import stage
 
 C = F.col
@@ -24,12 +24,12 @@ C = F.col
 def compact_state(paths: DataFrame, flag: str) -> DataFrame:
     """Checked rows whose ancestors are all checked, without those that have such a descendant."""
     lit = stage(
-        tree_walk(
-            paths.select(*NODE, "parent_seq_id", "folder", "path", flag),
-            {"lit": (C(flag), lambda up: up("lit") & C(flag))},
-            inner=C("folder") & C("lit"),
+        tree_fold(
+            paths.filter(flag).select(*NODE, "parent_seq_id", "folder", "path", flag),
+            {"lit": (F.lit(True), both)},
+            inner=C("folder"),
             label="lit",
-        ).filter("lit"),
+        ),
         "litrows",
     )
     parents = lit.select("doc_id", C("parent_seq_id").alias("seq_id")).distinct()
@@ -271,21 +271,15 @@ def apply_filter_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
     A click sets the node and all descendants, and a tick all ancestors too; later clicks win.
     The latest click above a node is handed down the tree; only ticked nodes look upward.
     """
-    marked = stage(layers.join(_clicked(clicks), NODE, "left"), "clicked")
+    marked = layers.join(_clicked(clicks), NODE, "left")
     own = F.when(C("last_at").isNotNull(), F.struct(C("last_at").alias("at"), C("last_on").alias("on")))
     walked = stage(
-        tree_walk(
+        tree_fold(
             marked,
-            {
-                "down": (own, lambda up: F.greatest(own, up("down"))),
-                "chain": (
-                    F.array().cast("array<bigint>"),
-                    lambda up: F.concat(F.array(C("parent_seq_id")), up("chain")),
-                ),
-            },
+            {"down": (own, F.greatest), "chain": (F.array("seq_id"), prepended)},
             inner=C("folder"),
             label="toggles",
-        ),
+        ).withColumn("chain", F.slice("chain", 2, 1 << 30)),
         "toggled",
     )
     ticks = walked.filter("on_at is not null").select("doc_id", "on_at", F.explode("chain").alias("seq_id"))

@@ -72,6 +72,79 @@ def tree_walk(
     return reduce(DataFrame.unionByName, levels)
 
 
+Folds = Mapping[str, tuple[Column, Callable[[Column, Column], Column]]]
+
+
+def tree_fold(
+    nodes: DataFrame,
+    folds: Folds,
+    inner: Column | None = None,
+    node_id: str = "seq_id",
+    parent_id: str = "parent_seq_id",
+    top=TOP,
+    label: str = "fold",
+) -> DataFrame:
+    """Adds ``depth`` and, for each name, the fold of own values from the top down to the node.
+
+    ``folds`` maps a name to a row's own value and an associative function of an upper and a lower part. Every
+    row points some way up and holds the fold of the rows that it has passed; a round takes over what its target holds and where
+    that points, which doubles the way. So rounds follow the logarithm of the depth; each is one equi-join,
+    written to the staging folder. ``inner`` marks rows that may have children.
+
+    Orphans and cycles are never reached: a round after which no fewer rows are under way leaves only those.
+    """
+    names = list(folds)
+    nodes = nodes.drop("depth", *names)
+    state = nodes.select(
+        "*", F.col(parent_id).alias("__to"), F.lit(1).alias("depth"), *[own.alias(n) for n, (own, _) in folds.items()]
+    )
+    state = stage(state, label)
+    there = F.col("__to") == F.lit(top)
+    done, way = [state.filter(there)], state.filter(~there)
+    left = way.count()
+    while left:
+        held = reduce(DataFrame.unionByName, [*done, way])
+        up = (held if inner is None else held.filter(inner)).select(
+            F.col("doc_id").alias("__doc"),
+            F.col(node_id).alias("__node"),
+            F.col("__to").alias("__next"),
+            F.col("depth").alias("__depth"),
+            *[F.col(n).alias("__up_" + n) for n in names],
+        )
+        moved = way.join(up, (F.col("doc_id") == F.col("__doc")) & (F.col("__to") == F.col("__node"))).select(
+            *nodes.columns,
+            F.col("__next").alias("__to"),
+            (F.col("__depth") + F.col("depth")).alias("depth"),
+            *[f(F.col("__up_" + n), F.col(n)).alias(n) for n, (_, f) in folds.items()],
+        )
+        moved = stage(moved, label)
+        done, way = [*done, moved.filter(there)], moved.filter(~there)
+        before, left = left, way.count()
+        if left >= before:
+            break
+    return reduce(DataFrame.unionByName, done).drop("__to")
+
+
+def both(up: Column, own: Column) -> Column:
+    """Fold: on where both are."""
+    return up & own
+
+
+def joined(mark: str) -> Callable[[Column, Column], Column]:
+    """Fold: texts with a mark in between."""
+    return lambda up, own: F.concat(up, F.lit(mark), own)
+
+
+def appended(up: Column, own: Column) -> Column:
+    """Fold: arrays from the top down."""
+    return F.concat(up, own)
+
+
+def prepended(up: Column, own: Column) -> Column:
+    """Fold: arrays from the node up."""
+    return F.concat(own, up)
+
+
 def sibling_ordinal(layers: DataFrame) -> DataFrame:
     """Adds ``dup``: 0, 1, 2... among equal names of one parent in storage order."""
     return rank_in_group(layers, [*SIBLINGS, "name"], "ordinal", "dup")
@@ -84,34 +157,22 @@ def named_layers(layers: DataFrame) -> DataFrame:
 
 def tree_paths(layers: DataFrame) -> DataFrame:
     """Adds ``path``, ``parent_path`` and ``ancestors`` (nearest first, without the node itself)."""
-    named = stage(named_layers(layers), "named")
     name = F.col("internal_name")
-    return tree_walk(
-        named,
-        {
-            "path": (name, lambda up: F.concat(up("path"), F.lit("/"), name)),
-            "parent_path": (F.lit(None).cast("string"), lambda up: up("path")),
-            "ancestors": (
-                F.array().cast("array<bigint>"),
-                lambda up: F.concat(F.array(F.col("parent_seq_id")), up("ancestors")),
-            ),
-        },
+    rows = tree_fold(
+        named_layers(layers),
+        {"path": (name, joined("/")), "ancestors": (F.array("seq_id"), prepended)},
         label="paths",
     )
+    above = F.expr("substring(path, 1, length(path) - length(internal_name) - 1)")
+    return rows.withColumns(
+        {"parent_path": F.when(F.col("depth") > 1, above), "ancestors": F.slice("ancestors", 2, 1 << 30)}
+    )
 
 
 def ancestor_lists(nodes: DataFrame) -> DataFrame:
     """Adds ``ancestors`` (nearest first) without building names."""
-    return tree_walk(
-        nodes,
-        {
-            "ancestors": (
-                F.array().cast("array<bigint>"),
-                lambda up: F.concat(F.array(F.col("parent_seq_id")), up("ancestors")),
-            )
-        },
-        label="ancestors",
-    )
+    rows = tree_fold(nodes, {"ancestors": (F.array("seq_id"), prepended)}, label="ancestors")
+    return rows.withColumn("ancestors", F.slice("ancestors", 2, 1 << 30))
 
 
 def tree_closure(nodes: DataFrame) -> DataFrame:
@@ -156,13 +217,9 @@ def clip_groups(layers: DataFrame) -> DataFrame:
 
 def effective_visibility(layers: DataFrame) -> DataFrame:
     """Adds ``effective``: on, with every ancestor on, and drawn bases under clipping layers."""
-    based = stage(clip_base(layers), "clipbase")
+    based = clip_base(layers)
     own = F.col("visible") & (~F.col("clipping") | F.coalesce("base_visible", F.lit(False)))
-    return tree_walk(
-        based,
-        {"effective": (own, lambda up: up("effective") & own)},
-        label="visible",
-    )
+    return tree_fold(based, {"effective": (own, both)}, label="visible")
 
 
 def normalize_radios(layers: DataFrame, flag: str = "visible") -> DataFrame:
@@ -216,12 +273,7 @@ def tree_order(nodes: DataFrame, top_first: bool = True) -> DataFrame:
     """
     turn = F.lit((1 << 63) - 1) - F.col("ordinal") if top_first else F.col("ordinal")
     key = _padded(turn)
-    return tree_walk(
-        nodes,
-        {"sort_path": (key, lambda up: F.concat(up("sort_path"), F.lit("/"), key))},
-        inner=F.col("folder"),
-        label="order",
-    )
+    return tree_fold(nodes, {"sort_path": (key, joined("/"))}, inner=F.col("folder"), label="order")
 
 
 def outline_lines(layers: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from lamina.functions.hashing import digest_of_sums, digest_words, set_digest
 from lamina.functions.names import display_caption, format_ts, padded, safe_filename, view_name
 from lamina.operators.scans import number_rows, rank_in_group, rank_sorted, running_sum
 from lamina.operators.states import state_delta
-from lamina.operators.tree import NODE, tree_walk
+from lamina.operators.tree import NODE, appended, tree_fold
 from lamina.session import stage
 from lamina.sources.favorites import FAV_TOP, count_entries
 
@@ -34,43 +34,37 @@ def favorites_walk(nodes: DataFrame) -> DataFrame:
     """Adds sort_path, filters (nearest first), roots (view-root ancestors), the parent's text
     and sort path, and the cleaned export path."""
     key = F.lpad(C("ordinal").cast("string"), 19, "0")
-    none = F.array().cast("array<string>")
-    file_name = safe_filename(display_caption(C("text")))
-
-    def below(name: str, add: Column, up) -> Column:
-        """The parent's list, with the parent itself in front where ``add`` says so."""
-        return F.when(add, F.concat(F.array(up("__" + name)), up(name))).otherwise(up(name))
-
-    return tree_walk(
+    own = F.struct(
+        "node_id",
+        "text",
+        key.alias("key"),
+        F.when(C("type") == "filter", F.coalesce("value", F.lit(""))).alias("filter"),
+        F.when(is_view_root(C("text")), C("node_id")).alias("root"),
+        safe_filename(display_caption(C("text"))).alias("file"),
+    )
+    walked = tree_fold(
         nodes,
-        {
-            "sort_path": (key, lambda up: F.concat(up("sort_path"), F.lit("/"), key)),
-            "__filters": (
-                F.when(C("type") == "filter", F.coalesce("value", F.lit(""))),
-                lambda up: F.when(C("type") == "filter", F.coalesce("value", F.lit(""))),
-            ),
-            "__roots": (
-                F.when(is_view_root(C("text")), C("node_id")),
-                lambda up: F.when(is_view_root(C("text")), C("node_id")),
-            ),
-            "filters": (none, lambda up: below("filters", up("__filters").isNotNull(), up)),
-            "roots": (none, lambda up: below("roots", up("__roots").isNotNull(), up)),
-            "__text": (C("text"), lambda up: C("text")),
-            "parent_text": (F.lit(None).cast("string"), lambda up: up("__text")),
-            "parent_sort": (F.lit(None).cast("string"), lambda up: up("sort_path")),
-            "file_path": (
-                F.lit(""),
-                lambda up: F.when(up("file_path") == "", file_name).otherwise(
-                    F.concat(up("file_path"), F.lit("\\"), file_name)
-                ),
-            ),
-        },
+        {"__chain": (F.array(own), appended)},
         inner=C("type") != "item",
         node_id="node_id",
         parent_id="parent_id",
         top=FAV_TOP,
         label="favwalk",
-    ).drop("__filters", "__roots", "__text")
+    )
+    above = F.slice("__chain", F.lit(1), C("depth") - 1)
+    nearest = lambda name: F.reverse(F.filter(F.transform(above, lambda c: c[name]), lambda v: v.isNotNull()))
+    joined_of = lambda chain, name, mark: F.array_join(F.transform(chain, lambda c: c[name]), mark)
+    parent = C("depth") > 1
+    return walked.withColumns(
+        {
+            "sort_path": joined_of("__chain", "key", "/"),
+            "filters": nearest("filter"),
+            "roots": nearest("root"),
+            "parent_text": F.when(parent, F.get("__chain", C("depth") - 2)["text"]),
+            "parent_sort": F.when(parent, joined_of(above, "key", "/")),
+            "file_path": joined_of(F.slice("__chain", F.lit(2), C("depth")), "file", "\\"),
+        }
+    ).drop("__chain")
 
 
 def nearest_filter(walked: DataFrame) -> DataFrame:

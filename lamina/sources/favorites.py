@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.names import decode_name, encode_name
-from lamina.operators.tree import tree_walk
+from lamina.operators.tree import joined, tree_fold
 
 # Fixed values of the format. The tag in front of "Favorites" names the program that wrote
 # the file; readers accept any, writers take the whole line as a parameter.
@@ -153,21 +153,17 @@ def favorites_chunks(nodes: DataFrame, view_mode: Column | int = 1, header: str
     mode = F.lit(view_mode) if isinstance(view_mode, int) else view_mode
     key = F.lpad(C("ordinal").cast("string"), 19, "0")
     name = encode_name("text")
-    walked = tree_walk(
+    walked = tree_fold(
         nodes,
-        {
-            "sort_path": (key, lambda up: F.concat(up("sort_path"), F.lit("/"), key)),
-            "path": (
-                F.lit(""),
-                lambda up: F.when(up("path") == "", name).otherwise(F.concat(up("path"), F.lit("/"), name)),
-            ),
-        },
+        {"sort_path": (key, joined("/")), "path": (name, joined("/"))},
         inner=C("type") != "item",
         node_id="node_id",
         parent_id="parent_id",
         top=FAV_TOP,
         label="favtext",
     )
+    # paths begin below the root
+    walked = walked.withColumn("path", F.when(C("depth") > 1, F.regexp_replace("path", r"\A[^/]*/", "")).otherwise(""))
     parents = nodes.select("doc_id", C("parent_id").alias("node_id")).distinct().withColumn("__kids", F.lit(True))
     rows = walked.join(parents, ["doc_id", "node_id"], "left")
     value = F.when(F.coalesce("value", F.lit("")) != "", F.concat(F.lit("\n"), "value")).otherwise("")
