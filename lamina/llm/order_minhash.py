@@ -11,10 +11,8 @@ k-mers are distinct, the chain is a longest increasing run of positions.
 
 1. Equal word sequences are collapsed to their least id.
 2. In every bucket all members are compared with the least one; links give components.
-3. Buckets that hold several components are looked at again. In those with more than BUCKET texts, all members are
-   compared with the one that shares full buckets with most texts. Where at most BUCKET texts share a bucket,
-   members of different components are compared. Fuller buckets that still hold several components are split by a second sketch,
-   which parts texts that share a passage; a text is listed under a pair of sketches only where both lie in such buckets, as
+3. Buckets that hold several components are looked at again. Where at most BUCKET texts share a bucket,
+   members of different components are compared. Fuller buckets are first split by a second sketch, which parts texts that share a passage; a text is listed under a pair of sketches only where both lie in such buckets, as
    texts that share the pair share both buckets. Parts still full are families of copies that differ
    pairwise. Their k-mers are counted over the families, and each text is also listed under its rarest
    ones: as many as leave too few others for a link, so linked texts meet there. In every part and under every
@@ -274,15 +272,6 @@ def _across(members: DataFrame) -> DataFrame:
     return left.join(right, "_key").where("_ca < _cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _stars(full: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each member of a bucket with that which has most mates in all, where their components differ."""
-    score = full.groupBy("_id").agg(F.sum("_many").alias("_score"))
-    ranked = F.max(F.struct("_score", "_id", "component")).alias("c")
-    centre = full.select("_key", "_id", "component").join(score, "_id").groupBy("_key").agg(ranked)
-    apart = full.join(centre.select("_key", "c._id", "c.component").toDF("_key", "c", "_cc"), "_key").where("component <> _cc")
-    return apart.select(F.least("c", "_id").alias("a"), F.greatest("c", "_id").alias("b")).distinct()
-
-
 def _split(full: DataFrame) -> DataFrame:
     """(_id, component, _key) of pairs of sketches that both lie in buckets of ``full``."""
     held = full.groupBy("_id").agg(
@@ -354,11 +343,6 @@ def classes(
         "component", F.coalesce("component", "_id")
     )
     open_ = stage(_mixed(part_of(members.drop("_many", "_least"), named)), "open")
-    nearer = _stars(open_.where(F.col("_many") > BUCKET)).join(stars, ["a", "b"], "left_anti")
-    links = stage(links.unionAll(_verified(nearer, small, texts, threshold)), "linked")
-    stars = stars.unionAll(nearer)
-    named = components(links, "a", "b")
-    open_ = stage(_mixed(part_of(open_.drop("component", "_many", "_least"), named)), "open")
     few = open_.where(F.col("_many") <= BUCKET)
     split = _split(open_.where(F.col("_many") > BUCKET))
     parts = stage(_mixed(split), "parts")
