@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lamina.catalog.registry import register, table
 from lamina.fixtures import DEEP_PATHS_SQL, DEEP_SQL, SHALLOW_SQL, deep_layers, shallow_paths
 from lamina.functions.names import layer_flags
-from lamina.operators import states, tree
+from lamina.operators import bitsets, states, tree
+from lamina.session import stage
 
 C = F.col
 _S = "WITH " + SHALLOW_SQL
@@ -183,6 +184,194 @@ def _hidden(spark, sf):
     return states.hidden_by_filter(rows, closed_paths(rows, C("qty") > 25)).select("doc_id", "seq_id", "path")
 
 
+# -- three states, overlays and filters a document -------------------------------------------------
+
+
+def _pick(one: str, two: str, three: str) -> str:
+    return f"CASE state_id WHEN 1 THEN {one} WHEN 2 THEN {two} ELSE {three} END"
+
+
+_LISTED = _pick("qty > 25", "disc >= 0.05", "ln % 2 = 1 AND qty > 10")
+_ALLOWED = _pick("flag <> 'R' AND ln <= 5", "qty > 10", "ln >= 2")
+_OUTER = _pick("flag <> 'R' OR ln <> 2", "ln < 6", "qty > 2")
+_THREE = "shallow JOIN (SELECT unnest([1, 2, 3]) AS state_id) ON lvl = 2"
+
+
+def _numbered(spark, sf):
+    return bitsets.number_layers(shallow_paths(spark, sf))
+
+
+def _leaves(numbered, condition: str):
+    """Leaves that a condition on the state picks, for three states."""
+    return numbered.filter("ln is not null").withColumn("state_id", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)]))).filter(condition)
+
+
+def _closed_sets(numbered, condition: str):
+    rows = _leaves(numbered, condition)
+    return rows.select("doc_id", "state_id", "path").union(rows.select("doc_id", "state_id", "parent_path")).distinct()
+
+
+def _sql_sets(condition: str) -> str:
+    return f"""(SELECT doc_id, state_id, path FROM {_THREE} WHERE {condition}
+        UNION SELECT doc_id, state_id, parent_path FROM {_THREE} WHERE {condition})"""
+
+
+def _state_sets(numbered, condition: str):
+    """Bits of the closed path sets."""
+    return bitsets.to_bits(bitsets.find_layers(_closed_sets(numbered, condition), numbered), bitsets.STATE)
+
+
+def _listed_layers(numbered, bits):
+    places = bitsets.to_places(bits, bitsets.STATE)
+    return places.join(numbered.select("doc_id", "pos", "seq_id"), ["doc_id", "pos"]).drop("pos")
+
+
+def _parsed_states(numbered):
+    pairs = F.sort_array(F.collect_list(F.struct("seq_id", "path")))
+    mark = F.when(F.size("p") > 2, "/").otherwise("")
+    texts = _leaves(numbered, _LISTED).groupBy("doc_id", "state_id").agg(pairs.alias("p")).select(
+        "doc_id", "state_id", F.array_join(F.transform("p", lambda v: F.concat(mark, v["path"])), "\r\n").alias("text")
+    )
+    return states.parse_state(texts, keys=bitsets.STATE)
+
+
+@register(
+    "apply_states",
+    _S
+    + f""", picked AS (SELECT *, count(*) OVER (PARTITION BY doc_id, state_id) AS n FROM {_THREE} WHERE {_LISTED}),
+parsed AS (
+  SELECT doc_id, state_id, path, true AS checked, n > 2 AS all_layers FROM picked
+  UNION SELECT doc_id, state_id, parent_path, n <= 2, n > 2 FROM picked),
+modes AS (SELECT DISTINCT doc_id, state_id, all_layers FROM parsed),
+tops AS (SELECT doc_id, parent_seq_id, max(ordinal) AS top FROM shallow WHERE kind = 'radio' GROUP BY ALL),
+mixed AS (
+  SELECT s.*, m.state_id, m.all_layers, p.checked AS listed, h.path IS NOT NULL AS held, t.top
+  FROM shallow s JOIN modes m USING (doc_id)
+  LEFT JOIN parsed p ON p.doc_id = s.doc_id AND p.state_id = m.state_id AND p.path = s.path
+  LEFT JOIN parsed h ON h.doc_id = s.doc_id AND h.state_id = m.state_id AND h.path = s.parent_path
+  LEFT JOIN tops t ON t.doc_id = s.doc_id AND t.parent_seq_id = s.parent_seq_id),
+after AS (
+  SELECT *, CASE WHEN all_layers THEN CASE WHEN listed IS NULL THEN false WHEN listed THEN true
+        ELSE kind = 'force' OR (kind = 'radio' AND ordinal = top) END
+      WHEN lvl = 1 OR held THEN listed IS NOT NULL ELSE visible END AS on_now,
+    CASE WHEN all_layers THEN coalesce(listed, false) ELSE lvl = 1 OR held END AS touched
+  FROM mixed),
+won AS (SELECT doc_id, state_id, parent_seq_id, min(ordinal) AS won FROM after WHERE kind = 'radio' AND touched AND on_now GROUP BY ALL)
+SELECT a.doc_id, a.state_id, a.seq_id, CASE WHEN a.kind = 'radio' AND w.won IS NOT NULL THEN a.ordinal = w.won ELSE a.on_now END AS checked
+FROM after a LEFT JOIN won w USING (doc_id, state_id, parent_seq_id)""",
+)
+def _apply_states(spark, sf):
+    numbered = _numbered(spark, sf)
+    bits = bitsets.apply_states(numbered, _parsed_states(numbered))
+    return bitsets.flags(numbered, bits, bitsets.STATE, checked="bits")
+
+
+def _sql_overlays(base: str) -> str:
+    return (
+        _S
+        + f""", allowed AS {_sql_sets(_ALLOWED)}, listed AS {_sql_sets(_LISTED)},
+  inside AS (
+  SELECT s.*, f.state_id, o.path IS NOT NULL AS listed FROM shallow s JOIN allowed f ON f.doc_id = s.doc_id AND f.path = s.path
+  LEFT JOIN listed o ON o.doc_id = s.doc_id AND o.state_id = f.state_id AND o.path = s.path
+  LEFT JOIN listed h ON h.doc_id = s.doc_id AND h.state_id = f.state_id AND h.path = s.parent_path
+  WHERE s.lvl = 1 OR h.path IS NOT NULL),
+won AS (SELECT doc_id, state_id, parent_seq_id, min(ordinal) AS won FROM inside WHERE kind = 'radio' AND listed GROUP BY ALL)
+SELECT s.doc_id, m.state_id, s.seq_id, CASE WHEN s.kind = 'radio' AND w.won IS NOT NULL THEN s.ordinal = w.won
+    WHEN i.seq_id IS NOT NULL THEN i.listed ELSE {base} END AS checked
+  FROM shallow s JOIN (SELECT DISTINCT doc_id, state_id FROM allowed) m USING (doc_id)
+  LEFT JOIN inside i ON i.doc_id = s.doc_id AND i.state_id = m.state_id AND i.seq_id = s.seq_id
+  LEFT JOIN won w ON w.doc_id = s.doc_id AND w.state_id = m.state_id AND w.parent_seq_id = s.parent_seq_id"""
+    )
+
+
+def _overlays(spark, sf, base):
+    numbered = _numbered(spark, sf)
+    listed, allowed = _closed_sets(numbered, _LISTED), _closed_sets(numbered, _ALLOWED)
+    return bitsets.flags(numbered, bitsets.apply_overlays(numbered, listed, allowed, base), bitsets.STATE, checked="bits")
+
+
+@register("apply_overlays", _sql_overlays("s.visible"))
+def _apply_overlays(spark, sf):
+    return _overlays(spark, sf, None)
+
+
+@register("apply_overlays_solo", _sql_overlays("false"))
+def _apply_overlays_solo(spark, sf):
+    return _overlays(spark, sf, "")
+
+
+# the second filter has one ancestor, the others two; the third has no set of its own
+_SQL_EFFECTIVE = (
+    _S
+    + f""", l1 AS {_sql_sets(_OUTER)}, l2 AS {_sql_sets(f"state_id <> 2 AND {_ALLOWED}")}, own AS {_sql_sets(f"state_id <> 3 AND {_LISTED}")},
+  eff AS (SELECT s.doc_id, k.state_id, s.seq_id, s.parent_seq_id, s.path, s.lvl,
+      (a.path IS NOT NULL OR (s.doc_id, k.state_id) NOT IN (SELECT (doc_id, state_id) FROM l1))
+        AND (b.path IS NOT NULL OR (s.doc_id, k.state_id) NOT IN (SELECT (doc_id, state_id) FROM l2)) AS enabled,
+      (o.path IS NOT NULL OR (s.doc_id, k.state_id) NOT IN (SELECT (doc_id, state_id) FROM own)) AS chosen
+    FROM shallow s, (SELECT unnest([1, 2, 3]) AS state_id) k
+    LEFT JOIN l1 a ON a.doc_id = s.doc_id AND a.state_id = k.state_id AND a.path = s.path
+    LEFT JOIN l2 b ON b.doc_id = s.doc_id AND b.state_id = k.state_id AND b.path = s.path
+    LEFT JOIN own o ON o.doc_id = s.doc_id AND o.state_id = k.state_id AND o.path = s.path)"""
+)
+
+
+def _effective_many(spark, sf):
+    numbered = _numbered(spark, sf)
+    owners = numbered.select("doc_id").distinct().withColumn("state_id", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])))
+    outer = _closed_sets(numbered, _OUTER).withColumn("level", F.lit(1)).unionByName(
+        _closed_sets(numbered, f"state_id <> 2 AND {_ALLOWED}").withColumn("level", F.lit(2))
+    )
+    return numbered, bitsets.filters_effective(numbered, owners, outer, _closed_sets(numbered, f"state_id <> 3 AND {_LISTED}"))
+
+
+@register("filters_effective", _SQL_EFFECTIVE + "SELECT doc_id, state_id, seq_id, enabled, enabled AND chosen AS selected FROM eff")
+def _filters_effective(spark, sf):
+    numbered, bits = _effective_many(spark, sf)
+    return bitsets.flags(numbered, bits, bitsets.STATE, enabled="enabled", selected="selected")
+
+
+@register(
+    "filters_lines",
+    _SQL_EFFECTIVE
+    + """, part AS (SELECT DISTINCT doc_id, state_id FROM eff WHERE enabled AND NOT chosen),
+  sel AS (SELECT e.* FROM eff e JOIN part USING (doc_id, state_id)
+    LEFT JOIN eff f ON f.doc_id = e.doc_id AND f.state_id = e.state_id AND f.seq_id = e.parent_seq_id
+    WHERE e.enabled AND e.chosen AND (e.lvl = 1 OR (f.enabled AND f.chosen)))
+SELECT x.doc_id, x.state_id, x.seq_id, x.path FROM sel x ANTI JOIN sel y
+  ON y.doc_id = x.doc_id AND y.state_id = x.state_id AND y.parent_seq_id = x.seq_id""",
+)
+def _filters_lines(spark, sf):
+    numbered, bits = _effective_many(spark, sf)
+    return bitsets.filters_lines(numbered, stage(bits, "effective"))
+
+
+_SQL_LAYER = "SELECT doc_id, state_id, seq_id FROM ({}) JOIN shallow USING (doc_id, path)"
+
+
+@register("merge_state_sets", _S + _SQL_LAYER.format(f"SELECT * FROM {_sql_sets(_LISTED)} UNION SELECT * FROM {_sql_sets(_ALLOWED)}"))
+def _merge_sets(spark, sf):
+    numbered = _numbered(spark, sf)
+    return _listed_layers(numbered, bitsets.union(_state_sets(numbered, _LISTED), _state_sets(numbered, _ALLOWED)))
+
+
+@register("intersect_filter_sets", _S + _SQL_LAYER.format(f"SELECT * FROM {_sql_sets(_LISTED)} INTERSECT SELECT * FROM {_sql_sets(_ALLOWED)}"))
+def _intersect_sets(spark, sf):
+    numbered = _numbered(spark, sf)
+    return _listed_layers(numbered, bitsets.intersection(_state_sets(numbered, _LISTED), _state_sets(numbered, _ALLOWED)))
+
+
+@register(
+    "hidden_by_filter_sets",
+    _S
+    + f""", sets AS {_sql_sets(_ALLOWED)}
+  SELECT s.doc_id, m.state_id, s.seq_id FROM shallow s JOIN (SELECT DISTINCT doc_id, state_id FROM sets) m USING (doc_id)
+  ANTI JOIN sets x ON x.doc_id = s.doc_id AND x.state_id = m.state_id AND x.path = s.path""",
+)
+def _hidden_sets(spark, sf):
+    numbered = _numbered(spark, sf)
+    return _listed_layers(numbered, bitsets.hidden(_state_sets(numbered, _ALLOWED), numbered))
+
+
 def _clicks(spark, sf):
     flag = F.when(C("l_returnflag") == "A", 1).when(C("l_returnflag") == "N", 2).otherwise(3).cast("bigint")
     return table(spark, sf, "lineitem").select(

@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.operators.tree import NODE, SIBLINGS, ancestor_lists, both, clip_base, prepended, tree_closure, tree_fold
+from lamina.operators.bitsets import latest_above, latest_below, number_layers
+from lamina.operators.tree import NODE, SIBLINGS, both, clip_base, tree_closure, tree_fold
 from lamina.session import stage
 
 C = F.col
@@ -268,26 +269,20 @@ def _clicked(clicks: DataFrame) -> DataFrame:
 def apply_filter_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
     """Filter boxes after (doc_id, seq_id, click_seq, on) clicks.
 
-    A click sets the node and all descendants, and a tick all ancestors too; later clicks win.
-    The latest click above a node is handed down the tree; only ticked nodes look upward.
+    A click sets the node and all descendants, and a tick all ancestors too; later clicks win. In walking order a
+    click covers an interval, and each layer takes the latest one above it; a folder takes the latest tick below it. Layers that
+    ``number_layers`` has numbered already are not numbered again.
     """
-    marked = layers.join(_clicked(clicks), NODE, "left")
-    own = F.when(C("last_at").isNotNull(), F.struct(C("last_at").alias("at"), C("last_on").alias("on")))
-    walked = stage(
-        tree_fold(
-            marked,
-            {"down": (own, F.greatest), "chain": (F.array("seq_id"), prepended)},
-            inner=C("folder"),
-            label="toggles",
-        ).withColumn("chain", F.slice("chain", 2, 1 << 30)),
-        "toggled",
-    )
-    ticks = walked.filter("on_at is not null").select("doc_id", "on_at", F.explode("chain").alias("seq_id"))
-    above = ticks.groupBy(*NODE).agg(F.struct(F.max("on_at").alias("at"), F.lit(True).alias("on")).alias("__up"))
-    rows = walked.join(above, NODE, "left")
-    return rows.select(
+    rows = layers if "last" in layers.columns else number_layers(layers)
+    hit = stage(rows.select(*NODE, "pos", "last").join(_clicked(clicks), NODE), "clicked")
+    own = F.struct(C("last_at").alias("at"), C("last_on").alias("on"))
+    tick = F.struct(C("on_at").alias("at"), F.lit(True).alias("on"))
+    down = latest_above(rows, hit.withColumn("__down", own), "__down")
+    up = latest_below(rows, hit.filter("on_at is not null").withColumn("__up", tick), "__up")
+    marked = rows.join(down, ["doc_id", "pos"], "left").join(up, ["doc_id", "pos"], "left")
+    return marked.select(
         *[c for c in layers.columns if c != "checked"],
-        F.coalesce(F.greatest("down", "__up")["on"], C("checked")).alias("checked"),
+        F.coalesce(F.greatest("__down", "__up")["on"], C("checked")).alias("checked"),
     )
 
 
@@ -296,9 +291,11 @@ def apply_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
 
     A click also turns on all ancestors and the node's clip base. A solo click on a node that
     is not a radio turns off its plain siblings. Radios stay exclusive. Later clicks win.
+    A folder's last click from below is the latest one in its interval of walking order.
     """
-    based = stage(clip_base(layers.withColumn("visible", C("checked"))), "clipbase")
-    facts = ancestor_lists(based).select(*NODE, "parent_seq_id", "kind", "base_seq_id", "ancestors")
+    rows = layers if "last" in layers.columns else number_layers(layers)
+    based = stage(clip_base(rows.withColumn("visible", C("checked"))), "clipbase")
+    facts = based.select(*NODE, "parent_seq_id", "kind", "base_seq_id", "pos")
     hit = stage(_clicked(clicks).join(facts, NODE), "clicked")
 
     def event(rows: DataFrame, seq, at: str, step: int, on) -> DataFrame:
@@ -307,7 +304,8 @@ def apply_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
     yes, no = F.lit(True), F.lit(False)
     own = event(hit, C("seq_id"), "last_at", 1, C("last_on"))
     own_on = event(hit.filter("on_at is not null"), C("seq_id"), "on_at", 1, yes)
-    up = event(hit.select("doc_id", "last_at", F.explode("ancestors").alias("anc")), C("anc"), "last_at", 2, yes)
+    above = latest_below(based, hit, "last_at").join(based.select(*NODE, "pos"), ["doc_id", "pos"])
+    up = event(above, C("seq_id"), "last_at", 2, yes)
     base = event(hit.filter("base_seq_id is not null"), C("base_seq_id"), "last_at", 2, yes)
     # only the latest solo click of a sibling group can matter: each sibling meets one row
     solo = hit.filter((C("kind") != "radio") & C("solo_at").isNotNull()).groupBy(*SIBLINGS).agg(
