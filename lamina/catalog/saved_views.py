@@ -443,26 +443,69 @@ def _auto(spark, sf):
     return V.auto_number(_renames(spark, sf), start=7, digits=3).drop("sort_path")
 
 
-@register(
-    "bulk_rename",
-    _F + _SQL_RENAMES + "SELECT f.doc_id, f.node_id, coalesce(n.new_text, f.text) AS text FROM fav f LEFT JOIN numbered n USING (doc_id, node_id)",
-)
+def sql_unique(rows: str, columns: str, late: str = "false") -> str:
+    """Names made unique among ``rows`` (doc_id, parent_id, ordinal, text, ...): repeats pass the taken numbers below theirs."""
+    number = r"(?s)^(.*) ([1-9][0-9]{0,17})$"
+    return f""", placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, parent_id, text ORDER BY {late}, ordinal) - 1 AS k FROM {rows}),
+  taken AS (SELECT doc_id, parent_id, base AS text, m - row_number() OVER (PARTITION BY doc_id, parent_id, base ORDER BY m) - 1 AS g FROM (
+    SELECT DISTINCT doc_id, parent_id, regexp_extract(text, '{number}', 1) AS base, regexp_extract(text, '{number}', 2)::BIGINT AS m
+    FROM {rows} WHERE regexp_matches(text, '{number}')) WHERE m > 1),
+  passed AS (SELECT p.doc_id, p.parent_id, p.text, k, count(*) AS c FROM placed p JOIN taken t
+    ON t.doc_id = p.doc_id AND t.parent_id = p.parent_id AND t.text = p.text AND g < k WHERE k > 0 GROUP BY ALL)
+  SELECT {columns}, CASE WHEN k = 0 THEN text ELSE text || ' ' || (k + 1 + coalesce(c, 0)) END AS text
+  FROM placed LEFT JOIN passed USING (doc_id, parent_id, text, k)"""
+
+
+_SQL_RENAMED = """, renamed AS (SELECT f.* REPLACE (coalesce(n.new_text, f.text) AS text), coalesce(n.new_text <> f.text, false) AS moved
+    FROM fav f LEFT JOIN numbered n USING (doc_id, node_id))"""
+
+
+@register("bulk_rename", _F + _SQL_RENAMES + _SQL_RENAMED + sql_unique("renamed", "doc_id, node_id", "moved"))
 def _bulk_rename(spark, sf):
     renames = V.auto_number(_renames(spark, sf), start=7, digits=3)
     return V.bulk_rename(fav_nodes(spark, sf), renames).select("doc_id", "node_id", "text")
 
 
-@register("unique_names")
-def _unique(spark, sf):
+_SQL_SIBLINGS = """WITH siblings AS (SELECT 0::BIGINT AS doc_id, c_nationkey::VARCHAR AS parent_id, c_custkey AS ordinal,
+    CASE WHEN c_acctbal < 0 THEN c_mktsegment || ' ' || (2 + c_custkey % 40) ELSE c_mktsegment END AS text FROM customer)"""
+
+
+def _siblings(spark, sf):
     """Customers of a nation as sibling folders; segments repeat and some carry a number already."""
-    nodes = table(spark, sf, "customer").select(
+    numbered = F.concat("c_mktsegment", F.lit(" "), (C("c_custkey") % 40 + 2).cast("string"))
+    return table(spark, sf, "customer").select(
         F.lit(0).cast("bigint").alias("doc_id"),
-        F.concat(F.lit("c"), C("c_custkey").cast("string")).alias("node_id"),
         C("c_nationkey").cast("string").alias("parent_id"),
         C("c_custkey").alias("ordinal"),
-        F.when((C("c_mktsegment") == "BUILDING") & (C("c_acctbal") < 0), "BUILDING 3").otherwise(C("c_mktsegment")).alias("text"),
+        F.when(C("c_acctbal") < 0, numbered).otherwise(C("c_mktsegment")).alias("text"),
+    )
+
+
+@register("unique_names", _SQL_SIBLINGS + sql_unique("siblings", "doc_id, parent_id, ordinal"))
+def _unique(spark, sf):
+    return V.unique_names(_siblings(spark, sf))
+
+
+@register(
+    "add_folders",
+    _SQL_SIBLINGS
+    + """, typed AS (SELECT 0::BIGINT AS doc_id, s_nationkey::VARCHAR AS parent_id, s_suppkey::INTEGER AS line_no,
+      CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'BUILDING 2' ELSE 'new' END AS text FROM supplier),
+  every AS (SELECT *, NULL::INTEGER AS line_no FROM siblings UNION ALL
+    SELECT doc_id, parent_id, coalesce(last, -1) + 1 + line_no, text, line_no FROM typed
+    LEFT JOIN (SELECT doc_id, parent_id, max(ordinal) AS last FROM siblings GROUP BY ALL) USING (doc_id, parent_id))
+  SELECT * FROM ("""
+    + "WITH x AS (SELECT 1)"
+    + sql_unique("every", "doc_id, parent_id, ordinal, line_no")
+    + ") WHERE line_no IS NOT NULL",
+)
+def _add_folders(spark, sf):
+    """Folders typed for a nation, one line a supplier, beside its customers' folders."""
+    name = F.when(C("s_suppkey") % 3 == 0, "BUILDING").when(C("s_suppkey") % 3 == 1, "BUILDING 2").otherwise("new")
+    lines = table(spark, sf, "supplier").select(
+        F.lit(0).cast("bigint").alias("doc_id"), C("s_nationkey").cast("string").alias("parent_id"), C("s_suppkey").alias("line_no"), name.alias("text")
     )
-    return V.unique_names(nodes)
+    return V.add_folders(_siblings(spark, sf), lines)
 
 
 @register(

@@ -242,7 +242,7 @@ def sql_clip(source: str, r: str, g: str, b: str) -> str:
 
     return f"""SELECT *, {cap('l1')} AS cr, {cap('l2')} AS cg, {cap('l3')} AS cb FROM (
         SELECT *, {lift(r)} AS l1, {lift(g)} AS l2, {lift(b)} AS l3 FROM (
-        SELECT *, (77 * {r} + 151 * {g} + 28 * {b}) >> 8 AS lm, least({r}, {g}, {b}) AS lo,
+        SELECT *, greatest(0, least(255, (77 * {r} + 151 * {g} + 28 * {b}) >> 8)) AS lm, least({r}, {g}, {b}) AS lo,
                greatest({r}, {g}, {b}) AS hi FROM ({source})))"""
 
 
@@ -267,14 +267,12 @@ def _set_lum(spark, sf):
 @register(
     "clip_color",
     f"""SELECT l_orderkey, l_linenumber, r, g, b, t, cr, cg, cb FROM
-        ({sql_clip(f'SELECT *, r + t - 128 AS xr, g + t - 128 AS xg, b + t - 128 AS xb FROM ({SQL_RGB})', 'xr', 'xg', 'xb')})
-        WHERE lm BETWEEN 0 AND 255""",
+        ({sql_clip(f'SELECT *, r + t - 128 AS xr, g + t - 128 AS xg, b + t - 128 AS xb FROM ({SQL_RGB})', 'xr', 'xg', 'xb')})""",
 )
 def _clip(spark, sf):
     r, g, b = (F.col(n) + F.col("t") - 128 for n in "rgb")
-    rows = rgb_rows(spark, sf).filter(B.lum(r, g, b).between(0, 255))
     c = B.clip_color(r, g, b)
-    return rows.select(
+    return rgb_rows(spark, sf).select(
         "l_orderkey", "l_linenumber", "r", "g", "b", "t",
         c[0].alias("cr"), c[1].alias("cg"), c[2].alias("cb"),
     )

@@ -88,11 +88,15 @@ def _triple(pixel: Column) -> RGB:
 
 
 def _clip(color: Column) -> Column:
-    """``clip_color`` on a struct, giving a struct; inputs are bound once."""
+    """``clip_color`` on a struct of luminosity in 0..255, giving a struct; inputs are bound once."""
+    return _clip_around(color, lum(*_triple(color)))
+
+
+def _clip_around(color: Column, base: Column) -> Column:
     r, g, b = _triple(color)
     facts = F.struct(
         r.alias("r"), g.alias("g"), b.alias("b"),
-        lum(r, g, b).alias("base"), F.least(r, g, b).alias("low"), F.greatest(r, g, b).alias("high"),
+        base.alias("base"), F.least(r, g, b).alias("low"), F.greatest(r, g, b).alias("high"),
     )
 
     def fix(v: Column, c: Column) -> Column:
@@ -129,8 +133,11 @@ def _saturated(color: RGB, target: Column) -> Column:
 
 
 def clip_color(r: Column, g: Column, b: Column) -> RGB:
-    """Pull channels back into range around their luminosity, keeping the first maximum."""
-    return _triple(_clip(_rgb(r, g, b)))
+    """Pull channels back into range around their luminosity, keeping the first maximum.
+
+    Luminosity is held to 0..255 first, so colours darker or lighter than that become black or white.
+    """
+    return _triple(_clip_around(_rgb(r, g, b), F.greatest(num(0), F.least(num(255), lum(r, g, b)))))
 
 
 def set_lum(r: Column, g: Column, b: Column, target: Column) -> RGB:

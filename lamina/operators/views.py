@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -588,48 +587,62 @@ def auto_number(renames: DataFrame, start: int = 0, digits: int = 3) -> DataFram
 
 
 def bulk_rename(nodes: DataFrame, renames: DataFrame) -> DataFrame:
-    """Node texts after all renames at once, so swaps need no intermediate names."""
+    """Node texts after all renames at once, so swaps need no intermediate names; clashes are settled.
+
+    Siblings that keep their text hold it; of renamed ones the first in sibling order gets a text, the others a number.
+    """
     new = renames.select(*ITEM, C("new_text").alias("__new"))
-    return nodes.join(new, ITEM, "left").withColumn("text", F.coalesce("__new", "text")).drop("__new")
+    rows = nodes.join(new, ITEM, "left").withColumns(
+        {"__moved": F.coalesce(C("__new") != C("text"), F.lit(False)), "text": F.coalesce("__new", "text")}
+    )
+    return unique_names(rows.drop("__new"), late="__moved").drop("__moved")
+
+
+def add_folders(nodes: DataFrame, lines: DataFrame) -> DataFrame:
+    """Folders (doc_id, parent_id, ordinal, text, line_no) for the lines of ``bulk_folders``, above the present siblings.
+
+    ``lines`` has doc_id, parent_id, line_no and text. Names that siblings or earlier lines have get a number.
+    """
+    last = nodes.groupBy("doc_id", "parent_id").agg(F.max("ordinal").alias("__last"))
+    new = lines.join(last, ["doc_id", "parent_id"], "left").select(
+        "doc_id", "parent_id", (F.coalesce("__last", F.lit(-1)) + 1 + C("line_no")).alias("ordinal"), "text",
+        C("line_no").cast("int").alias("line_no"),
+    )
+    held = nodes.select("doc_id", "parent_id", "ordinal", "text", F.lit(None).cast("int").alias("line_no"))
+    return unique_names(held.unionByName(new)).filter("line_no is not null")
+
+
+LATE = 1 << 62
 
 
-def unique_names(nodes: DataFrame) -> DataFrame:
-    """Sibling names made unique in ``ordinal`` order: "name", "name 2", "name 3"...
+def unique_names(nodes: DataFrame, late: str | None = None) -> DataFrame:
+    """Sibling names made unique: "name", "name 2", "name 3"...
 
-    Without a sibling that is itself named "name 2" or the like, the suffix is the row's rank,
-    on any number of rows. Only families of a repeated name that do have such a sibling are
-    walked in order, with just the rows of that family.
+    All texts that siblings have are taken from the start, and the first holder of a text keeps it, in ``ordinal``
+    order with rows marked ``late`` after the others. The k-th repeat gets the k-th number from 2 on that no sibling's text has
+    taken. That number follows from how many taken ones lie below it, a count over sorted blocks, so a family of any
+    size spreads over tasks. A made name is never another's: its last number tells its text.
     """
     keys = ["doc_id", "parent_id"]
-    family = F.regexp_replace("text", r"(?: [1-9][0-9]*)+\z", "")
-    rows = nodes.withColumn("__family", F.when(family == "", C("text")).otherwise(family))
-    counts = rows.groupBy(*keys, "__family", "text").agg(F.count("*").alias("__n"))
-    mixed = counts.groupBy(*keys, "__family").agg(
-        (F.max("__n") > 1).alias("__repeat"), (F.count("*") > 1).alias("__several")
-    ).filter("__repeat and __several").drop("__repeat", "__several")
-    easy = rank_in_group(rows.join(mixed, [*keys, "__family"], "left_anti"), [*keys, "text"], "ordinal", "__at")
-    renamed = easy.withColumn(
-        "text", F.when(C("__at") == 0, C("text")).otherwise(F.concat("text", F.lit(" "), (C("__at") + 1).cast("string")))
-    ).select(*nodes.columns)
-    hard = rows.join(mixed, [*keys, "__family"], "left_semi")
-    columns = list(nodes.columns)
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("ordinal", kind="stable")
-        taken: set[str] = set()
-        after: dict[str, int] = {}
-        out = []
-        for text in group["text"]:
-            name = text
-            if name in taken:
-                n = after.get(text, 2)
-                while f"{text} {n}" in taken:
-                    n += 1
-                after[text] = n
-                name = f"{text} {n}"
-            taken.add(name)
-            out.append(name)
-        return group.assign(text=out)[columns]
-
-    walked = hard.groupBy(*keys, "__family").applyInPandas(settle, nodes.schema)
-    return renamed.unionByName(walked)
+    order = C("ordinal") if late is None else C("ordinal") + F.when(C(late), F.lit(LATE)).otherwise(F.lit(0))
+    rows = rank_in_group(nodes.withColumn("__order", order), [*keys, "text"], "__order", "__at").drop("__order")
+    rows = stage(rows, "named")
+    again = rows.filter("__at > 0").select(*keys, "text", "__at")
+    number = r"(?s)\A(.*) ([1-9][0-9]{0,17})\z"
+    taken = (
+        rows.filter(C("__at") == 0)
+        .filter(C("text").rlike(number))
+        .select(*keys, F.regexp_extract("text", number, 1).alias("__of"), F.regexp_extract("text", number, 2).cast("bigint").alias("__m"))
+        .filter(C("__m") > 1)
+        .withColumnRenamed("__of", "text")
+    )
+    families = again.select(*keys, "text").distinct()
+    taken = rank_in_group(taken.join(families, [*keys, "text"], "left_semi"), [*keys, "text"], "__m", "__i")
+    # free numbers below the i-th taken one, from 0: m - 2 - i; the k-th repeat passes those with fewer than k
+    marks = taken.select(*keys, "text", ((C("__m") - 2 - C("__i")) * 2 + 1).alias("__o"), F.lit(1).alias("__t"))
+    marks = marks.unionAll(again.select(*keys, "text", (C("__at") * 2).alias("__o"), F.lit(0).alias("__t")))
+    passed = running_sum(marks, [*keys, "text"], "__o", C("__t"), "__passed").filter(C("__t") == 0)
+    passed = passed.select(*keys, "text", F.expr("__o div 2").alias("__at"), "__passed")
+    named = rows.join(passed, [*keys, "text", "__at"], "left")
+    suffix = F.concat(F.lit(" "), (C("__at") + 1 + C("__passed")).cast("string"))
+    return named.withColumn("text", F.when(C("__at") == 0, C("text")).otherwise(F.concat("text", suffix))).select(*nodes.columns)

@@ -103,28 +103,66 @@ def test_enumerate_views_over_several_blocks(spark, monkeypatch):
     assert got == {(at, o, i) for at, c in enumerate(itertools.product(range(3), repeat=4)) for o, i in enumerate(c)}
 
 
-def sequential_names(texts):
-    taken, out = set(), []
+def numbered_names(texts):
+    """Every text is taken; its first holder keeps it, the others get the least free numbers in order."""
+    taken, seen, out = set(texts), set(), []
     for text in texts:
         name, n = text, 2
-        while name in taken:
+        while text in seen and name in taken:
             name, n = f"{text} {n}", n + 1
+        seen.add(text)
         taken.add(name)
         out.append(name)
     return out
 
 
-def test_unique_names_against_one_by_one(spark):
+NODE_SCHEMA = "doc_id long, node_id string, parent_id string, ordinal long, text string"
+
+
+def test_unique_names_against_one_by_one(spark, monkeypatch):
+    from lamina.operators import scans
+
     rng = random.Random(11)
     data, want = [], {}
     for parent in range(12):
-        texts = [rng.choice(["a", "a", "a 2", "a 3", "a 2 2", "b", "c 1", "", "7"]) for _ in range(rng.randint(1, 14))]
-        want |= {(f"p{parent}", i): n for i, n in enumerate(sequential_names(texts))}
+        texts = [rng.choice(["a", "a", "a 2", "a 3", "a 4", "a 2 2", "b", "c 1", "", " 2", "7", "a\nb", "a\nb 2"]) for _ in range(rng.randint(1, 40))]
+        want |= {(f"p{parent}", i): n for i, n in enumerate(numbered_names(texts))}
+        assert len(set(numbered_names(texts))) == len(texts)
         data += [(0, f"n{parent}-{i}", f"p{parent}", i, t) for i, t in enumerate(texts)]
-    nodes = spark.createDataFrame(data, "doc_id long, node_id string, parent_id string, ordinal long, text string")
+    nodes = spark.createDataFrame(data, NODE_SCHEMA)
     assert {(r.parent_id, r.ordinal): r.text for r in V.unique_names(nodes).collect()} == want
 
 
+def test_unique_names_of_one_large_family(spark):
+    """A family of 300,000 rows, a third of them with numbers, is spread over blocks and tasks."""
+    n = 300_000
+    text = F.when(F.col("id") % 3 == 0, F.concat(F.lit("a "), (F.col("id") / 2 + 2).cast("long").cast("string"))).otherwise("a")
+    nodes = spark.range(n).select(F.lit(0).cast("long").alias("doc_id"), F.lit("p").alias("parent_id"), F.col("id").alias("ordinal"), text.alias("text"))
+    named = V.unique_names(nodes)
+    assert "PythonUDF" not in named._jdf.queryExecution().toString() and "FlatMapGroups" not in named._jdf.queryExecution().toString()
+    got = dict(named.select("ordinal", "text").collect())
+    want = numbered_names([f"a {int(k / 2 + 2)}" if k % 3 == 0 else "a" for k in range(600)])
+    assert len(set(got.values())) == n and got[1] == "a" and got[0] == "a 2"
+    taken = {f"a {int(k / 2 + 2)}" for k in range(0, n, 3)}
+    free = (f"a {k}" for k in range(2, 2 * n) if f"a {k}" not in taken)
+    assert [got[k] for k in range(2, n) if k % 3] == [next(free) for k in range(2, n) if k % 3]
+    assert len(want) == 600
+
+
+def test_bulk_rename_swaps_and_settles_clashes(spark):
+    rows = [(0, "n1", "p", 0, "a"), (0, "n2", "p", 1, "b"), (0, "n3", "p", 2, "c"), (0, "n4", "p", 3, "keep"), (0, "n5", "p", 4, "d"), (0, "n6", "q", 5, "a")]
+    new = [(0, "n1", "b"), (0, "n2", "a"), (0, "n3", "keep"), (0, "n5", "keep"), (0, "n6", "keep"), (0, "n4", "keep")]
+    got = V.bulk_rename(spark.createDataFrame(rows, NODE_SCHEMA), spark.createDataFrame(new, "doc_id long, node_id string, new_text string"))
+    assert {r.node_id: r.text for r in got.collect()} == {"n1": "b", "n2": "a", "n3": "keep 2", "n4": "keep", "n5": "keep 3", "n6": "keep"}
+
+
+def test_added_folders_avoid_their_siblings(spark):
+    nodes = spark.createDataFrame([(0, "n1", "p", 4, "x"), (0, "n2", "p", 7, "x 2")], NODE_SCHEMA)
+    lines = V.bulk_folders(spark.createDataFrame([(0, " x \r\n\ny\nx\ny 2")], "doc_id long, text string")).withColumn("parent_id", F.lit("p"))
+    got = V.add_folders(nodes, lines).orderBy("ordinal").collect()
+    assert [(r.ordinal, r.text, r.line_no) for r in got] == [(8, "x 3", 0), (10, "y", 2), (11, "x 4", 3), (12, "y 2", 4)]
+
+
 def test_charset_samples(spark):
     ja = "日本語のテキスト、漢字とかな。"
     samples = {
