@@ -1,12 +1,16 @@
 """Secret scan: fixed patterns, and a randomness test battery with length-aware control of false finds.
 
-Base patterns find assignments, access keys and hex runs. Other runs of token characters are tested:
+Base patterns find assignments, access keys and hex runs. All other runs of TOKEN_LEAST token characters or more are tested:
 the narrowest encoding that fits is inferred, and chi-squared uniformity over its alphabet, the runs
 test about its middle and the lag-1 serial correlation give p-values under randomness, joined by
-Bonferroni's bound. Secrets keep high p-values, ordinary tokens don't. Per length class, a histogram
-of all p-values tells how many random tokens there are (their p-values are uniform), and the
-class's cut is the lowest at which the estimated share of others among the accepted stays within
-``false_share``.
+Bonferroni's bound. Secrets keep high p-values, ordinary tokens don't.
+
+Classes are by length, and by whether a token has digits among letters, which is rare in prose. Per class, a histogram
+of all p-values tells how many random tokens there are: of those, (1 - a/3)^3 reach a p-value of a, and the bin of
+the highest p-values holds few others. The class's cut is the lowest at which the estimated share of others among the accepted stays within
+``false_share``. A class in which no cut does so has none, and accepts nothing. Classes of mixed tokens count one random token
+in advance, so that a single key is found; classes of letters or digits alone count two standard deviations fewer than they
+show, so long words stay.
 
 Column expressions only. Spans are code points, end exclusive. Nothing is shuffled but one histogram
 of bounded size, so hot sources and huge documents change nothing but a task's length.
@@ -21,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.quality_rules import let
+from lamina.session import stage
 
 #: The base patterns, with the least length of the part that counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,8 +34,11 @@ ASSIGN_LEAST = 12
 ACCESS, ACCESS_LEAST = r"AKIA[A-Z0-9]+", 18
 HEX, HEX_LEAST = r"[0-9a-f]+", 16
 
-KINDS = ("assign", "access", "hex", "random")
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
+#: By rank; random tokens are mixed ones (MIXED) or of letters, digits or marks alone (PLAIN).
+KINDS = ("assign", "access", "hex", "random", "random")
+MIXED, PLAIN = 4, 5
+TOKEN_LEAST = 16
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+" % TOKEN_LEAST
 REDACTED = "[secret]"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,9 +55,10 @@ ENCODINGS = (
     (r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
     (r"^", UPPER + LOWER + DIGITS + "+/-_"),
 )
-LENGTH_EDGES = (28, 40, 64, 128)
+LENGTH_EDGES = (20, 28, 40, 64, 128)
 BINS = 100
-CUTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
+CUTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
+HIGHEST = 0.95
 FALSE_SHARE = 0.1
 
 SPAN = "array<struct<start:int,rank:int,end:int,value:string,p:double>>"
@@ -159,6 +168,9 @@ def battery(token: Column) -> Column:
 
         def sequence_tests(x: Column) -> Column:
             mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+            return let(F.struct(x.alias("x"), mean.alias("m")), lambda v: about(v["x"], v["m"]))
+
+        def about(x: Column, mean: Column) -> Column:
             power = F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean))
             lagged = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1),
                                 lambda a, b: (a - mean) * (b - mean))
@@ -184,43 +196,54 @@ def battery(token: Column) -> Column:
 
 
 def tested_spans(text: Column, base: Column) -> Column:
-    """Other tokens with a digit and a letter that touch no base span, each with its p-value."""
-    every = _matches(text, TOKEN, 4, 0, 20)
-    apart = F.filter(
-        every,
-        lambda s: s["value"].rlike("[0-9]")
-        & s["value"].rlike("[A-Za-z]")
-        & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
+    """Other tokens that touch no base span, each with its p-value and its rank."""
+    every = _matches(text, TOKEN, MIXED, 0, TOKEN_LEAST)
+    apart = F.filter(every, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
+    judged = F.transform(
+        apart,
+        lambda s: s.withField("p", battery(s["value"])).withField("rank", F.when(mixed(s["value"]), MIXED).otherwise(PLAIN)),
     )
-    return _where(text.rlike(TOKEN), F.transform(apart, lambda s: s.withField("p", battery(s["value"]))))
+    return _where(text.rlike(TOKEN), judged)
 
 
-def length_class(span: Column) -> Column:
+def token_class(span: Column) -> Column:
+    """Length class, times two, and one more for tokens that aren't mixed."""
     size = span["end"] - span["start"]
     out = F.lit(0)
     for edge in LENGTH_EDGES:
-        out = out + F.when(size >= edge, 1).otherwise(0)
-    return out
+        out = out + F.when(size >= edge, 2).otherwise(0)
+    return out + (span["rank"] - MIXED)
+
+
+def reach(a: float) -> float:
+    """Share of random tokens whose p-value is at least ``a``: three tests under Bonferroni's bound."""
+    return (1 - a / 3) ** 3
+
+
+def cut_of(counts: dict[int, int], mixed: bool, false_share: float = FALSE_SHARE) -> float | None:
+    """The least p-value that a class accepts, from its histogram by bin; None where none keeps within ``false_share``."""
+    above = lambda a: sum(n for b, n in counts.items() if b >= round(a * BINS))
+    top = above(HIGHEST)
+    sure = top + 1 if mixed else max(0.0, top - 2 * top**0.5)
+    random = min(sure / reach(HIGHEST), above(0.0) + mixed)
+    fits = [a for a in CUTS if above(a) and above(a) - random * reach(a) <= false_share * above(a)]
+    return fits[0] if fits else None
 
 
 def cuts(spans: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, float]:
-    """The least p-value accepted in each length class, from the histogram of all ``spans._t``.
+    """The cut of each class that has one, from the histogram of all ``spans._t``.
 
-    Reads one row per class and bin, at most (len(LENGTH_EDGES) + 1) * (BINS + 1).
+    Reads one row per class and bin, at most 2 * (len(LENGTH_EDGES) + 1) * (BINS + 1).
     """
     counted = (
         spans.select(F.explode("_t").alias("s"))
-        .groupBy(length_class(F.col("s")).alias("k"), F.floor(F.col("s.p") * BINS).alias("b"))
+        .groupBy(token_class(F.col("s")).alias("k"), F.floor(F.col("s.p") * BINS).alias("b"))
         .agg(F.count("*").alias("n"))
         .collect()
     )
-    out = {}
-    for k in sorted({r["k"] for r in counted}):
-        above = lambda x, k=k: sum(r["n"] for r in counted if r["k"] == k and r["b"] >= x * BINS)
-        random = min(above(0.5) / 0.5, above(0.0))
-        fits = [a for a in CUTS if above(a) and above(a) - random * (1 - a) <= false_share * above(a)]
-        out[k] = fits[0] if fits else CUTS[-1]
-    return out
+    found = {k: cut_of({r["b"]: r["n"] for r in counted if r["k"] == k}, k % 2 == 0, false_share) for k in {r["k"] for r in counted}}
+    return {k: cut for k, cut in sorted(found.items()) if cut is not None}
 
 
 def _with_spans(rows: DataFrame) -> DataFrame:
@@ -239,7 +262,7 @@ def _accepted(found: DataFrame, limits: dict[int, float]) -> DataFrame:
 def _limit(span: Column, limits: dict[int, float], otherwise: Column) -> Column:
     out = otherwise
     for k, cut in limits.items():
-        out = F.when(length_class(span) == k, F.lit(cut)).otherwise(out)
+        out = F.when(token_class(span) == k, F.lit(cut)).otherwise(out)
     return out
 
 
@@ -253,9 +276,10 @@ def _written(spans: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", false_share: float = FALSE_SHARE) -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans, n_random) of every row."""
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    found = _with_spans(rows)
+    bare = lambda c: F.transform(c, lambda s: s.dropFields("value")).alias(c)
+    found = stage(_with_spans(rows).select("_id", bare("_b"), bare("_t")), "secrets")  # texts are scanned once
     found = _accepted(found, cuts(found, false_share))
-    many = lambda column, k: F.size(F.filter(column, lambda s: s["rank"] == k)).cast("long")
+    many = lambda column, k: F.size(F.filter(column, lambda s: s["rank"] >= k if k == MIXED else s["rank"] == k)).cast("long")
     return found.select(
         F.col("_id").alias(id_col),
         many("_b", 1).alias("n_assign"),
@@ -263,7 +287,7 @@ def scan(docs: DataFrame, text: str = "text", id_col: str = "doc_id", false_shar
         many("_b", 3).alias("n_hex"),
         F.sha2(_written(F.col("_b")), 256).alias("base_sha256"),
         _written(F.col("_s")).alias("spans"),
-        many("_s", 4).alias("n_random"),
+        many("_s", MIXED).alias("n_random"),
     )
 
 

@@ -207,6 +207,87 @@ def test_random_tokens_are_found_and_ordinary_ones_left(spark):
     assert len({k for k in keys}) == 200
 
 
+ALPHABETS = {
+    "digits": "0123456789",
+    "hex upper": "0123456789ABCDEF",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "lower": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
+}
+
+
+def long_words(rng, n, least):
+    parts = "tion ing heit keit lich ung ment er en the re ver ein bar schaft able ness ist".split()
+    out = []
+    while len(out) < n:
+        word = ""
+        while len(word) < least:
+            word += rng.choice(parts)
+        out.append(word)
+    return out
+
+
+@pytest.mark.parametrize("size", [16, 19, 24, 32, 48, 64, 128])
+def test_random_tokens_of_every_encoding_and_length(spark, size):
+    """Recall by encoding among as many long words; the false share stays near its bound."""
+    rng = random.Random(size)
+    rows, words = [], long_words(rng, 300, size)
+    for name, letters in ALPHABETS.items():
+        rows += [(name, "".join(rng.choice(letters) for _ in range(size))) for _ in range(60)]
+    texts = [(k, f"see {t} and") for k, (_, t) in enumerate(rows)] + [(10_000 + k, f"see {w} and") for k, w in enumerate(words)]
+    found = {r.doc_id for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).where("spans <> ''").collect()}
+    hits = Counter(rows[k][0] for k in found if k < 10_000)
+    mixed = [n for n in ALPHABETS if n not in ("digits", "letters")]
+    assert sum(hits[n] for n in mixed) >= 0.85 * 60 * len(mixed), hits
+    if size >= 24:
+        assert hits["digits"] + hits["letters"] >= 60, hits
+    wrong = sum(k >= 10_000 for k in found)
+    assert wrong <= 0.15 * len(found), (wrong, len(found))
+
+
+def test_long_words_alone_have_no_cut(spark):
+    words = [w for n in (16, 20, 30, 50) for w in long_words(random.Random(n), 500, n)]
+    docs = spark.createDataFrame([(k, f"a {w} b") for k, w in enumerate(words)], "doc_id long, text string")
+    assert secret_scan.scan(docs).where("spans <> ''").count() == 0
+    lone = spark.createDataFrame([(1, "key is Zx81kPq0LmV7tRw3Yb5N here")], "doc_id long, text string")
+    assert secret_scan.scan(lone).first().n_random == 1
+
+
+def plain_battery(token):
+    """p-value by chi-squared, runs and lag-1 tests, with exact normal tails."""
+    from math import erfc, sqrt
+
+    letters = next(a for p, a in secret_scan.ENCODINGS if re.search(p, token))
+    n, size = len(token), len(letters)
+    tail = lambda z: erfc(z / sqrt(2)) / 2
+    chi = sum((token.count(c) - n / size) ** 2 for c in letters) / (n / size)
+    k = size - 1
+    uniform = tail(((chi / k) ** (1 / 3) - (1 - 2 / (9 * k))) / sqrt(2 / (9 * k)))
+    x = np.array([letters.index(c) + 1 for c in token], float)
+    gap = x - x.mean()
+    serial = (gap[1:] * gap[:-1]).sum() / max((gap**2).sum(), 1e-9)
+    high = int((x > size / 2).sum())
+    runs = 1 + int(((x[1:] > size / 2) != (x[:-1] > size / 2)).sum())
+    expected = 2 * high * (n - high) / n + 1
+    deviation = sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    by_runs, by_lag = 2 * tail(abs((runs - expected) / deviation)), 2 * tail(abs((serial + 1 / n) * sqrt(n)))
+    return min(1.0, 3 * min(uniform, by_runs, by_lag))
+
+
+def test_battery_matches_plain_tests(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.randint(16, 130))) for a in ALPHABETS.values() for _ in range(30)]
+    tokens += long_words(rng, 60, 20) + ["a" * 20, "0" * 16, "ab" * 30, "A1" * 9, "+/" * 10, "-_-_" * 6, "0123456789abcdefghij"]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.battery(F.col("t")).alias("p")).collect()
+    for r in got:
+        assert abs(r.p - plain_battery(r.t)) < 0.004, (r.t, r.p, plain_battery(r.t))
+
+
 def test_redaction_keeps_rows_columns_and_other_text(spark):
     docs = frame(spark)
     clean = secret_scan.redact(docs)
