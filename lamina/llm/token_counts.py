@@ -6,6 +6,9 @@ with one segmented minimum, merges all its occurrences from the left, and drops
 no pair left. What survives is the token count. Pieces hold a few MB, so memory doesn't follow the
 size of a partition, and the job is one scan without a shuffle.
 
+Files whose settings this can't follow (a normalizer, another pre-tokenizer, added tokens with flags, prefixes, byte
+fallback) are refused. The table of merges is sized by their number.
+
 Defined cases: null and empty texts have no bytes and no tokens; ids may be null or repeated; other
 columns are ignored; a text of any length is one piece of its own.
 """
@@ -42,14 +45,34 @@ def _classes() -> np.ndarray:
     return table
 
 
+def refusal(held: dict) -> str | None:
+    """Why a tokenizer file can't be followed; None where it can."""
+    model, cut = held.get("model") or {}, held.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE":
+        return "its model is not BPE"
+    if held.get("normalizer") is not None:
+        return "it has a normalizer"
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return "its pre-tokenizer is not the byte-level pattern without a leading space"
+    for name in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"):
+        if model.get(name):
+            return f"its model sets {name}"
+    for token in held.get("added_tokens") or ():
+        if any(token.get(flag) for flag in ("single_word", "lstrip", "rstrip")):
+            return f"added token {token.get('content')!r} has flags"
+    if not set(_byte_letters()) <= set(model.get("vocab") or ()):
+        return "its vocabulary lacks some bytes"
+    return None
+
+
 class Merges:
     """Ranks and results of all merges, looked up by arrays of symbol pairs."""
 
-    SLOTS = 18
-
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
+        if why := refusal(held):
+            raise ValueError(f"tokenizer file {path}: {why}")
         vocab = held["model"]["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in held["model"]["merges"]]
         self.specials = sorted((t["content"].encode() for t in held["added_tokens"]), key=len, reverse=True)
@@ -57,7 +80,8 @@ class Merges:
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int32)
-        size = 1 << self.SLOTS
+        self.bits = max(10, (4 * len(pairs)).bit_length())  # at most a quarter full
+        size = 1 << self.bits
         self.keys = np.full(size, -1, np.int64)
         self.ranks = np.full(size, NEVER, np.int32)
         keys, ranks = (left << 32) | right, np.arange(len(pairs), dtype=np.int32)
@@ -74,7 +98,7 @@ class Merges:
             slots = np.where(taken, (slots + 1) & (size - 1), slots)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left.astype(np.int64) << 32) | right
@@ -83,7 +107,7 @@ class Merges:
         out = np.where(found == keys, self.ranks[slots], NEVER)
         open_ = np.flatnonzero((found != keys) & (found != -1))
         while len(open_):
-            slots[open_] = (slots[open_] + 1) & ((1 << self.SLOTS) - 1)
+            slots[open_] = (slots[open_] + 1) & ((1 << self.bits) - 1)
             found = self.keys[slots[open_]]
             hit = found == keys[open_]
             out[open_[hit]] = self.ranks[slots[open_[hit]]]

@@ -160,6 +160,53 @@ def test_token_counts_of_random_texts():
     assert got.tolist() == library_counts(texts)
 
 
+def test_tokenizer_files_that_are_refused(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        held = json.load(f)
+    assert token_counts.refusal(held) is None
+    changes = [
+        {"normalizer": {"type": "NFC"}},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": {**held["pre_tokenizer"], "add_prefix_space": True}},
+        {"model": {**held["model"], "byte_fallback": True}},
+        {"model": {**held["model"], "type": "Unigram"}},
+        {"added_tokens": [{"content": "<x>", "lstrip": True}]},
+        {"model": {**held["model"], "vocab": {"a": 0}}},
+    ]
+    for k, change in enumerate(changes):
+        file = tmp_path / f"{k}.json"
+        file.write_text(json.dumps({**held, **change}))
+        with pytest.raises(ValueError):
+            token_counts.Merges(str(file))
+
+
+def test_tables_of_merges_grow_with_them(tmp_path):
+    """More merges than a fixed table would hold: every pair of two-letter symbols."""
+    import json
+
+    letters = token_counts._byte_letters()
+    vocab = {c: k for k, c in enumerate(letters)}
+    merges = []
+    for a in letters:
+        for b in letters[:40]:
+            merges.append([a, b])
+            vocab[a + b] = len(vocab)
+    for left, right in [(m, n) for m in merges[:600] for n in merges[:600]]:
+        merges.append(["".join(left), "".join(right)])
+        vocab.setdefault("".join(left + right), len(vocab))
+    file = tmp_path / "large.json"
+    base = {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}}
+    file.write_text(json.dumps({**base, "model": {"type": "BPE", "vocab": vocab, "merges": merges}}))
+    made = token_counts.Merges(str(file))
+    assert len(merges) > 2**18 and len(made.keys) >= 2 * len(merges)
+    pair = np.array([vocab["".join(merges[-1][0])]]), np.array([vocab["".join(merges[-1][1])]])
+    assert made.rank(*pair)[0] == len(merges) - 1
+
+
 BASE = (
     ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 12),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18),
