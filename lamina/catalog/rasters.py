@@ -289,7 +289,26 @@ def _groups(spark, sf):
     return groups.compose_groups(layers, px, masks, MODES)
 
 
-@register("downscale")
+# sides of 16 become floor(16 * 0.4) = 6: each source cell covers 0.375 of a target cell or two
+_SQL_LIGHT = ", ".join(f"sum(w * a * pow({c} / 255, {P.GAMMA}::DOUBLE)) AS l{c}" for c in "rgb")
+_SQL_BACK = ", ".join(
+    f"CASE WHEN wa > 0 THEN {sql_store(f'(pow(l{c} / wa, 1::DOUBLE / {P.GAMMA}::DOUBLE) * 255)')} ELSE 0 END AS {c}" for c in "rgb"
+)
+
+
+@register(
+    "downscale",
+    "WITH RECURSIVE "
+    + STACK_SQL
+    + sql_fold("stack")
+    + f""", cells AS (SELECT i, unnest(range(floor(i * 0.375)::INTEGER, least(6, greatest(floor(i * 0.375)::INTEGER + 1,
+      ceil((i + 1) * 0.375 - 1e-9)::INTEGER)))) AS t FROM range(16) q(i)),
+  spans AS (SELECT i, t, (least((i + 1) * 0.375, t + 1) - greatest(i * 0.375, t))::DOUBLE AS w FROM cells),
+  sums AS (SELECT doc_id, tx, ty, sum(w * a) AS wa, {_SQL_LIGHT}
+    FROM (SELECT f.*, sx.t AS tx, sy.t AS ty, sx.w * sy.w AS w FROM folded f JOIN spans sx ON sx.i = f.x JOIN spans sy ON sy.i = f.y)
+    GROUP BY ALL)
+  SELECT doc_id, tx::BIGINT AS x, ty::BIGINT AS y, {_SQL_BACK}, {sql_store("wa")} AS a FROM sums""",
+)
 def _downscale(spark, sf):
     docs = stack(spark, sf).select("doc_id").distinct().withColumns({"canvas_w": F.lit(16), "canvas_h": F.lit(16)})
     flat = P.compose_pixels(stack(spark, sf), modes=MODES)
