@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lamina.catalog.registry import register, table
 from lamina.catalog.tiling import DICT_SQL, raster_columns
 from lamina.fixtures import order_lines
+from lamina.operators.scans import running_sum
 from lamina.session import staging_dir
 from lamina.sources import assets as A
 from lamina.sources import charset as CS
@@ -218,6 +219,61 @@ def _progress(spark, sf):
     return changes.progress_buckets(reads)
 
 
+#: Nothing is late in a finished table, whatever batch it comes in.
+_LATE = "36500 days"
+
+
+def _drained(spark, run, rows, order, name):
+    """The stream's rows over a table, closed by a marker without a key far in the future."""
+    marker = rows.limit(0).unionByName(
+        spark.range(1).select(*[
+            F.to_timestamp(F.lit("2200-01-01 00:00:00")).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in rows.schema
+        ])
+    )
+    return changes.drained(rows, run, order, f"{staging_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}", marker=marker)
+
+
+def _timed_edits(spark, sf):
+    return _edits(spark, sf).withColumn("ts", C("ts").cast("timestamp"))
+
+
+@register("debounce_stream", _sql_bursts(3600 * 1000 * 1000))
+def _debounce_stream(spark, sf):
+    """Bursts of changes from the stream itself, over a table cut into batches."""
+    saved = _drained(spark, lambda s: changes.debounce_changes(s, 3600 * 1000, _LATE), _timed_edits(spark, sf), "ts", "debounce")
+    return saved.filter("key is not null").select(
+        "key", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("saved_from").alias("last_us"), "changes", "value"
+    )
+
+
+@register(
+    "expire_stream",
+    f"SELECT key, first_us, last_us + 60000000 AS expires_us, changes AS writes FROM ({_sql_bursts(60 * 1000 * 1000)})",
+)
+def _expire_stream(spark, sf):
+    """Lives of bundles from the stream itself."""
+    gone = _drained(spark, lambda s: changes.expire_idle(s, 60_000, _LATE), _timed_edits(spark, sf), "ts", "expire")
+    return gone.filter("key is not null").select(
+        "key", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("expires_at").alias("expires_us"), "writes"
+    )
+
+
+@register(
+    "progress_stream",
+    """WITH rows AS (SELECT source AS file, (sum(n_chars * 64) OVER (PARTITION BY source ORDER BY doc_id))::BIGINT AS pos FROM documents)
+    SELECT DISTINCT file, pos >> 18 AS step FROM rows WHERE pos >> 18 > 0""",
+)
+def _progress_stream(spark, sf):
+    """Steps of every file, each told once by the stream of its reads."""
+    reads = table(spark, sf, "documents").select(
+        C("source").alias("file"), C("doc_id").alias("read_no"), (C("n_chars") * 64).alias("length")
+    )
+    placed = running_sum(reads, ["file"], "read_no", C("length"), "pos").select("file", "pos", F.timestamp_seconds("read_no").alias("ts"))
+    target = f"{staging_dir(spark)}/lamina/progress-{uuid.uuid4().hex}"
+    return changes.drained(placed, lambda s: changes.progress_stream(s, _LATE), "ts", target).select("file", "step")
+
+
 def _file_stream(spark, sf, name):
     """One driver table as a file stream."""
     batch = table(spark, sf, name)

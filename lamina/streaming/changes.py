@@ -78,6 +78,29 @@ def expire_idle(writes: DataFrame, ttl_ms: int = IDLE_MS, late: str = "10 minute
     )
 
 
+def drained(
+    rows: DataFrame, run, order: str, target: str, pieces: int = 4, marker: DataFrame | None = None
+) -> DataFrame:
+    """What a stream gives for a finished table: cut into batches, run to its end and read back.
+
+    ``run`` makes the streaming result of a streaming DataFrame. The table is written in ``pieces`` files by ``order``, one
+    to a batch; ``marker`` rows come in a batch of their own at the end, to move the watermark past all open groups. Results of a batch
+    are written by its number, so a batch that is run again overwrites itself.
+    """
+    spark = rows.sparkSession
+    rows.repartitionByRange(pieces, order).write.parquet(f"{target}/in")
+    if marker is not None:
+        marker.select(rows.columns).coalesce(1).write.mode("append").parquet(f"{target}/in")
+    stream = run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/in"))
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/out/epoch={epoch}")
+
+    query = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{target}/state")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{target}/out").select(stream.columns)
+
+
 def expired(writes: DataFrame, ttl_ms: int = IDLE_MS) -> DataFrame:
     """Batch twin of ``expire_idle`` with times in microseconds."""
     return bursts(writes, ttl_ms).select(
