@@ -159,6 +159,19 @@ def _rebuild(spark, sf):
     return T.rebuild_images(T.map_cells(cells, packed), T.tile_sheets(packed), packed, dictionary, sizes(spark, sf))
 
 
+@register(
+    "rebuild_lines",
+    _W
+    + IMAGES_SQL
+    + """SELECT image_id, y, lower(string_agg(lpad(to_hex(((r * 256 + g) * 256 + b) * 256 + a), 8, '0'), '' ORDER BY x)) AS line
+      FROM images GROUP BY image_id, y""",
+)
+def _rebuild_lines(spark, sf):
+    cells, dictionary, packed = _build(spark, sf)
+    found = T.rebuild_cells(T.map_cells(cells, packed), T.tile_sheets(packed), packed, dictionary, sizes(spark, sf))
+    return T.rebuild_lines(found).withColumn("line", F.lower(F.hex("line")))
+
+
 _SQL_PRINTS = CELLS_SQL + """, shape AS (SELECT image_id, max(tx) + 1 AS w, count(*) AS n FROM cells GROUP BY image_id),
 sums AS (SELECT image_id, (ty * w + tx) // (n // 32) AS segment, sum(('0x' || substr(hash, 1, 8))::BIGINT)::BIGINT AS total
   FROM cells JOIN shape USING (image_id) WHERE n >= 32 AND (ty * w + tx) // (n // 32) < 32 GROUP BY ALL),

@@ -24,11 +24,6 @@ BLANK = "00000000"
 CELL = ["image_id", "tx", "ty"]
 
 
-def _hex8(r: Column, g: Column, b: Column, a: Column) -> Column:
-    packed = ((r * 256 + g) * 256 + b) * 256 + a
-    return F.lower(F.lpad(F.hex(packed.cast("bigint")), 8, "0"))
-
-
 def tile_key(px: Column, key: str = "md5") -> Column:
     if key == "md5":
         return F.md5(px)
@@ -40,22 +35,28 @@ def tile_key(px: Column, key: str = "md5") -> Column:
 def chop(images: DataFrame, sizes: DataFrame | None = None, key: str = "md5") -> DataFrame:
     """(image_id, tx, ty, p, hash, px): 16 x 16 cells, edges padded with clear pixels.
 
-    One aggregation, at most 256 pixels per group. With ``sizes`` (image_id, width, height)
-    cells without any pixel row come out as blank tiles too.
+    Pixels of a tile's line meet first, two to a 64-bit word, in buffers of fixed width that combine
+    map-side; then the at most 16 lines of a tile. A pixel occurs once, with channels 0..255. With
+    ``sizes`` (image_id, width, height) cells without any pixel row come out as blank tiles too.
     """
-    slot = (C("y") % TILE) * TILE + C("x") % TILE
+    at = C("x") % TILE
+    packed = ((C("r").cast("bigint") * 256 + C("g")) * 256 + C("b")) * 256 + C("a")
     rows = images.select(
         "image_id",
         F.floor(C("x") / TILE).alias("tx"),
         F.floor(C("y") / TILE).alias("ty"),
-        F.struct(slot.cast("int").alias("s"), _hex8(C("r"), C("g"), C("b"), C("a")).alias("v")).alias("e"),
+        (C("y") % TILE).cast("int").alias("dy"),
+        F.floor(at / 2).alias("w"),
+        F.when(at % 2 == 0, F.shiftleft(packed, 32)).otherwise(packed).alias("v"),
+    )
+    words = [F.coalesce(F.bit_or(F.when(C("w") == k, C("v"))), F.lit(0).cast("bigint")).alias(f"w{k}") for k in range(TILE // 2)]
+    lines = rows.groupBy(*CELL, "dy").agg(*words)
+    line = F.unhex(F.concat(*[F.lpad(F.hex(f"w{k}"), 16, "0") for k in range(TILE // 2)]))
+    cells = lines.select(*CELL, "dy", line.alias("line")).groupBy(*CELL).agg(
+        F.map_from_entries(F.collect_list(F.struct("dy", "line"))).alias("lines")
     )
-    cells = rows.groupBy(*CELL).agg(F.sort_array(F.collect_list("e")).alias("es"))
-    before = lambda i: F.coalesce(F.get("es", i - 1)["s"], F.lit(-1))
-    gap = lambda n: F.repeat(F.lit(BLANK), n)
-    filled = F.transform("es", lambda e, i: F.concat(gap(e["s"] - F.when(i > 0, before(i)).otherwise(-1) - 1), e["v"]))
-    tail = gap(F.lit(SLOTS - 1) - F.try_element_at("es", F.lit(-1))["s"])
-    px = F.unhex(F.concat(F.array_join(filled, ""), tail))
+    clear = F.unhex(F.lit(BLANK * TILE))
+    px = F.concat(*[F.coalesce(F.try_element_at("lines", F.lit(dy)), clear) for dy in range(TILE)])
     out = cells.select(*CELL, px.alias("px"))
     if sizes is not None:
         up = lambda side: F.ceil(C(side) / TILE) - 1
@@ -194,32 +195,32 @@ def unmapped_cells(cells: DataFrame, gids: DataFrame) -> DataFrame:
     return cells.select(*CELL, "hash").join(gids.select("hash"), "hash", "left_anti")
 
 
-def _bytes(px: Column) -> Column:
-    """The tile's 256 pixels as 8-digit hex strings."""
-    return F.regexp_extract_all(F.hex(px), F.lit("[0-9A-F]{8}"), F.lit(0))
+def _channels(raster: Column, at: Column) -> list[Column]:
+    """r, g, b, a of pixel number ``at`` of RGBA bytes."""
+    value = F.conv(F.hex(F.substring(raster, (at * 4 + 1).cast("int"), F.lit(4))), 16, 10).cast("bigint")
+    return [F.shiftright(value, 24 - 8 * k).bitwiseAND(F.lit(255).cast("bigint")).alias(n) for k, n in enumerate("rgba")]
 
 
-def _byte(v: Column, at: int) -> Column:
-    return F.conv(F.substring(v, at, 2), 16, 10).cast("bigint")
+def _numbers(below: Column) -> Column:
+    """0, 1, ... up to ``below``; none for 0 and less."""
+    return F.slice(F.sequence(F.lit(0).cast("bigint"), F.greatest(below, F.lit(1)) - 1), F.lit(1), F.greatest(below, F.lit(0)).cast("int"))
 
 
-def _explode_tile(df: DataFrame, keep: list[Column]) -> DataFrame:
-    rows = df.select(*keep, F.posexplode(_bytes(C("px"))).alias("i", "v"))
-    names = [c for c in rows.columns if c not in ("i", "v")]
-    return rows.select(
-        *names,
-        (C("i") % TILE).cast("bigint").alias("dx"),
-        F.floor(C("i") / TILE).alias("dy"),
-        *[_byte(C("v"), at).alias(n) for n, at in (("r", 1), ("g", 3), ("b", 5), ("a", 7))],
-    )
+def _tile_lines(df: DataFrame, keep: list[Column], height: Column) -> DataFrame:
+    """The first ``height`` lines of each tile: keep, dy, line."""
+    rows = df.select(*keep, "px", F.explode(_numbers(height)).alias("dy"))
+    line = F.substring("px", (C("dy") * (TILE * 4) + 1).cast("int"), F.lit(TILE * 4))
+    return rows.withColumn("line", line).drop("px")
 
 
 def sheet_pixels(dictionary: DataFrame, packed: DataFrame) -> DataFrame:
     """(sheet, x, y, r, g, b, a): tile bytes at their place on the sheets."""
     rows = packed.select("hash", "sheet", "cell_x", "cell_y").join(dictionary.select("hash", "px"), "hash")
-    px = _explode_tile(rows, [C("sheet"), C("cell_x"), C("cell_y")])
+    lines = _tile_lines(rows, [C("sheet"), C("cell_x"), C("cell_y")], F.lit(TILE).cast("bigint"))
+    px = lines.select("*", F.explode(_numbers(F.lit(TILE).cast("bigint"))).alias("dx"))
     return px.select(
-        "sheet", (C("cell_x") * TILE + C("dx")).alias("x"), (C("cell_y") * TILE + C("dy")).alias("y"), "r", "g", "b", "a"
+        "sheet", (C("cell_x") * TILE + C("dx")).alias("x"), (C("cell_y") * TILE + C("dy")).alias("y"),
+        *_channels(C("line"), C("dx")),
     )
 
 
@@ -243,8 +244,8 @@ def sheet_rasters(dictionary: DataFrame, packed: DataFrame) -> DataFrame:
     return joined.select("sheet", size, F.unhex(F.concat("body", missing)).alias("raster"))
 
 
-def rebuild_images(mapped: DataFrame, sheets: DataFrame, packed: DataFrame, dictionary: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(image_id, x, y, r, g, b, a): maps and sheets back to pictures, cut to original size.
+def rebuild_cells(mapped: DataFrame, sheets: DataFrame, packed: DataFrame, dictionary: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image_id, tx, ty, width, height, px): every cell of the maps with its tile's bytes from the sheets.
 
     A gid belongs to the sheet whose range holds it. Sheets start at multiples of 4096, so the
     range join is an equi-join on that block with the range as a check.
@@ -262,12 +263,44 @@ def rebuild_images(mapped: DataFrame, sheets: DataFrame, packed: DataFrame, dict
         (C("gid") >= C("first_gid")) & (C("gid") < C("first_gid") + C("tile_count"))
     )
     sized = known.join(sizes.select("image_id", "width", "height"), "image_id").select(*CELL, "gid", "width", "height")
-    cells = _lookup(sized, by_gid, "gid", CELL)
-    px = _explode_tile(cells, [*(C(c) for c in CELL), C("width"), C("height")]).select(
+    return _lookup(sized, by_gid, "gid", CELL).select(*CELL, "width", "height", "px")
+
+
+def rebuild_lines(cells: DataFrame) -> DataFrame:
+    """(image_id, y, line): pictures as RGBA bytes of whole lines, cut to original size, from ``rebuild_cells``.
+
+    The cells of one tile row meet as bytes, one row a cell, and are sliced into its picture lines there.
+    Cells that a map lacks are clear; a tile row without any cell gives no lines.
+    """
+    strips = cells.groupBy("image_id", "ty").agg(
+        F.sort_array(F.collect_list(F.struct("tx", F.hex("px").alias("v")))).alias("es"),
+        F.any_value("width").alias("width"), F.any_value("height").alias("height"),
+    )
+    row = TILE * 8
+    gap = lambda n: F.repeat(F.lit(BLANK * TILE), F.greatest(n, F.lit(0)).cast("int"))
+    before = lambda i: F.when(i > 0, F.get("es", i - 1)["tx"]).otherwise(F.lit(-1))
+    y = C("ty") * TILE + C("dy")
+    rows = strips.select("*", F.explode(_numbers(F.least(F.lit(TILE), C("height") - C("ty") * TILE))).alias("dy"))
+    pieces = F.transform("es", lambda e, i: F.concat(gap(e["tx"] - before(i) - 1), F.substring(e["v"], (C("dy") * row + 1).cast("int"), F.lit(row))))
+    tail = gap(F.ceil(C("width") / TILE) - 1 - F.try_element_at("es", F.lit(-1))["tx"])
+    whole = F.unhex(F.concat(F.array_join(pieces, ""), tail))
+    return rows.select("image_id", y.alias("y"), F.substring(whole, F.lit(1), (C("width") * 4).cast("int")).alias("line"))
+
+
+def rebuild_images(mapped: DataFrame, sheets: DataFrame, packed: DataFrame, dictionary: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(image_id, x, y, r, g, b, a): maps and sheets back to pictures, cut to original size.
+
+    Cells are cut to the picture before they are spread into lines, and those into pixels, in place:
+    nothing is shuffled after the tiles are found.
+    """
+    cells = rebuild_cells(mapped, sheets, packed, dictionary, sizes)
+    inside = lambda side, at: F.least(F.lit(TILE).cast("bigint"), C(side) - C(at) * TILE)
+    lines = _tile_lines(cells, [*(C(c) for c in CELL), inside("width", "tx").alias("span"), C("height")], inside("height", "ty"))
+    px = lines.select("*", F.explode(_numbers(C("span"))).alias("dx"))
+    return px.select(
         "image_id", (C("tx") * TILE + C("dx")).alias("x"), (C("ty") * TILE + C("dy")).alias("y"),
-        "r", "g", "b", "a", "width", "height",
+        *_channels(C("line"), C("dx")),
     )
-    return px.filter((C("x") < C("width")) & (C("y") < C("height"))).drop("width", "height")
 
 
 SEGMENTS = 32

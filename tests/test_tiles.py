@@ -32,6 +32,26 @@ def test_round_trip_with_hot_blank_tile(spark):
     assert back.count() == sum(w * h for _, w, h in sizes)
     key = lambda df: sorted(map(tuple, df.filter("a > 0").select("image_id", "x", "y", "r", "g", "b", "a").collect()))
     assert key(back) == key(px)
+    lines = T.rebuild_lines(T.rebuild_cells(mapped, T.tile_sheets(packed), packed, tiles, size)).collect()
+    assert sorted((r.image_id, r.y) for r in lines) == [(i, y) for i, _, h in sizes for y in range(h)]
+    drawn = {(r[0], r[1], r[2]): r[3:] for r in data}
+    for r in lines:
+        width = sizes[r.image_id][1]
+        assert bytes(r.line) == b"".join(bytes(drawn.get((r.image_id, x, r.y), (0, 0, 0, 0))) for x in range(width))
+
+
+def test_lines_of_sparse_and_cut_pictures(spark):
+    tile = bytes(range(256)) * 4
+    cells = spark.createDataFrame(
+        [(0, 1, 0, 40, 3, tile), (1, 0, 0, 40, 40, tile), (1, 2, 0, 40, 40, tile), (1, 2, 2, 40, 40, tile), (2, 1, 1, 16, 16, tile)],
+        "image_id long, tx long, ty long, width long, height long, px binary",
+    )
+    lines = {(r.image_id, r.y): bytes(r.line) for r in T.rebuild_lines(cells).collect()}
+    clear = bytes(64)
+    assert sorted(lines) == [(0, y) for y in range(3)] + [(1, y) for y in (*range(16), *range(32, 40))]
+    assert lines[0, 2] == clear + tile[128:192] + bytes(32)
+    assert lines[1, 4] == tile[256:320] + clear + tile[256:288]
+    assert lines[1, 39] == clear * 2 + tile[448:480]
 
 
 def test_lookup_spreads_hot_keys(spark, monkeypatch):
