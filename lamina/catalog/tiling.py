@@ -221,12 +221,14 @@ FROM mapped JOIN supplier ON s_suppkey = image_id JOIN (
 GROUP BY image_id, s_name, sets"""
 
 
+def _named(spark, sf):
+    names = table(spark, sf, "supplier").select(C("s_suppkey").alias("image_id"), C("s_name").alias("name"))
+    return sizes(spark, sf).join(names, "image_id")
+
+
 def _documents(spark, sf, encoding="csv"):
     mapped, sheets = _mapped(spark, sf)
-    named = sizes(spark, sf).join(
-        table(spark, sf, "supplier").select(C("s_suppkey").alias("image_id"), C("s_name").alias("name")), "image_id"
-    )
-    return M.tile_map_json(mapped, named, sheets, encoding)
+    return M.tile_map_json(mapped, _named(spark, sf), sheets, encoding)
 
 
 @register("write_tile_maps_json", _W + DICT_SQL + _SQL_JSON)
@@ -258,6 +260,73 @@ def _scan64(spark, sf):
     return M.scan_tile_maps(_documents(spark, sf, "base64"))
 
 
+_XML_CELLS = {
+    "csv": """'<data encoding="csv">' || chr(10) || string_agg(line, ',' || chr(10) ORDER BY ty) || chr(10)""",
+    "xml": """'<data>' || chr(10) || string_agg(tags, '' ORDER BY ty)""",
+}
+
+
+def _sql_xml(encoding):
+    return f"""SELECT image_id, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10)
+      || '<map version="1.0" orientation="orthogonal" renderorder="right-down" width="7" height="5" tilewidth="16" tileheight="16" nextobjectid="1">' || chr(10)
+      || chr(9) || '<properties>' || chr(10)
+      || repeat(chr(9), 2) || '<property name="originalWidth" type="int" value="{W}"/>' || chr(10)
+      || repeat(chr(9), 2) || '<property name="originalHeight" type="int" value="{H}"/>' || chr(10) || chr(9) || '</properties>' || chr(10)
+      || sets || chr(9) || '<layer name="' || s_name || '" width="7" height="5">' || chr(10) || repeat(chr(9), 2)
+      || {_XML_CELLS[encoding]} || repeat(chr(9), 2) || '</data>' || chr(10) || chr(9) || '</layer>' || chr(10) || '</map>' AS xml
+    FROM (SELECT image_id, ty, string_agg(gid::VARCHAR, ',' ORDER BY tx) AS line,
+        string_agg(repeat(chr(9), 3) || '<tile gid="' || gid || '"/>' || chr(10), '' ORDER BY tx) AS tags FROM mapped GROUP BY ALL)
+    JOIN supplier ON s_suppkey = image_id JOIN (
+      SELECT image_id, string_agg(chr(9) || '<tileset firstgid="' || first_gid || '" source="' || sheet || '.tsx"/>' || chr(10), '' ORDER BY first_gid) AS sets
+      FROM (SELECT DISTINCT image_id, sheet, first_gid FROM mapped JOIN packed USING (gid)) GROUP BY image_id) USING (image_id)
+    GROUP BY image_id, s_name, sets"""
+
+
+def _xml_documents(spark, sf, encoding):
+    mapped, sheets = _mapped(spark, sf)
+    return M.tile_map_xml(mapped, _named(spark, sf), sheets, encoding)
+
+
+@register("write_tile_maps_xml", _W + DICT_SQL + _sql_xml("csv"))
+def _xml(spark, sf):
+    return _xml_documents(spark, sf, "csv")
+
+
+@register("write_tile_maps_xml_cells", _W + DICT_SQL + _sql_xml("xml"))
+def _xml_cells(spark, sf):
+    return _xml_documents(spark, sf, "xml")
+
+
+@register("scan_tile_maps_xml", _W + DICT_SQL + "SELECT image_id, tx, ty, gid FROM mapped")
+def _scan_xml(spark, sf):
+    return M.scan_tile_maps_xml(_xml_documents(spark, sf, "base64"))
+
+
+@register(
+    "write_tile_maps_script",
+    _W
+    + DICT_SQL
+    + """SELECT image_id, '((name, map) => { if (typeof onTileMapLoaded === "function") onTileMapLoaded(name, map); else (globalThis.TileMaps ??= {})[name] = map; })("'
+      || s_name || '", ' || json || ');' AS script FROM ("""
+    + _SQL_JSON
+    + ") JOIN supplier ON s_suppkey = image_id",
+)
+def _script(spark, sf):
+    return M.tile_map_script(_documents(spark, sf), _named(spark, sf))
+
+
+@register(
+    "tile_set_documents",
+    _W
+    + DICT_SQL
+    + """SELECT sheet, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<tileset name="' || sheet || '" tilewidth="16" tileheight="16" tilecount="'
+      || tile_count || '" columns="' || columns || '">' || chr(10) || '   <image source="' || sheet || '.png" width="' || size || '" height="' || size
+      || '"/>' || chr(10) || '</tileset>' AS xml FROM sheets""",
+)
+def _set_documents(spark, sf):
+    return M.tile_set_documents(T.tile_sheets(_build(spark, sf)[2]))
+
+
 @register(
     "tile_set_catalog",
     _W

@@ -2,12 +2,14 @@
 
 import datetime as dt
 import random
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import tiles as T
 from lamina.sources import assets as A
+from lamina.sources import tile_maps as M
 from lamina.streaming import changes, rings
 
 PX = "image_id long, x long, y long, r long, g long, b long, a long"
@@ -81,6 +83,35 @@ def test_sheet_raster_size(spark):
     assert bytes(row.raster[:4]) == b"\x00\x00\x00\xff" and bytes(row.raster[-4:]) == b"\x00" * 4
 
 
+@pytest.mark.parametrize("encoding", ["csv", "base64", "xml"])
+@pytest.mark.parametrize("inline", [False, True])
+def test_xml_maps_are_read_back(spark, encoding, inline):
+    cells = [(0, x, y, 4090 + 3 * y + x) for x in range(3) for y in range(4)] + [(1, 0, 0, 1)]
+    mapped = spark.createDataFrame(cells, "image_id long, tx long, ty long, gid long")
+    names = {0: 'up\\dir\\a<b&"c"', 1: "plain"}
+    images = spark.createDataFrame([(0, names[0], 41, 64), (1, names[1], 9, 1)], "image_id long, name string, width long, height long")
+    sheets = spark.createDataFrame(
+        [(0, 1024, 64, 4096, 1), (1, 64, 4, 16, 4097)], "sheet long, size long, columns long, tile_count long, first_gid long"
+    )
+    written = M.tile_map_xml(mapped, images, sheets, encoding, inline)
+    assert sorted(map(tuple, M.scan_tile_maps_xml(written).collect())) == sorted(cells)
+    docs = {r.image_id: ElementTree.fromstring(r.xml.encode()) for r in written.collect()}
+    for image, doc in docs.items():
+        assert doc.find("layer").get("name") == names[image]
+        assert [t.get("firstgid") for t in doc.findall("tileset")] == (["1", "4097"] if image == 0 else ["1"])
+    source = (docs[0].find("tileset/image") if inline else docs[0].find("tileset")).get("source")
+    assert source == ("..\\..\\0.png" if inline else "..\\..\\0.tsx")
+    sets = {r.sheet: ElementTree.fromstring(r.xml.encode()) for r in M.tile_set_documents(sheets).collect()}
+    assert sets[1].get("tilecount") == "16" and sets[1].find("image").get("width") == "64"
+
+
+def test_scripts_hold_name_and_document(spark):
+    docs = spark.createDataFrame([(0, '{"a":1}')], "image_id long, json string")
+    images = spark.createDataFrame([(0, 'say "[hi]"')], "image_id long, name string")
+    script = M.tile_map_script(docs, images).first().script
+    assert script.endswith('})("say \\"[hi]\\"", {"a":1});')
+
+
 def test_crc_keys_and_fingerprint_of_small_images(spark):
     px = spark.createDataFrame([(0, 0, 0, 1, 2, 3, 4)], PX)
     cells = T.chop(px, key="crc32")
