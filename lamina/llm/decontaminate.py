@@ -4,11 +4,12 @@ Words are runs of letters and digits, in lower case. A seed is a window of words
 ignores some positions, so a substituted word spares the seeds that ignore it. MASKS leave a seed in
 every stretch of 13 words or more of which MATCHED are equal; items of under 13 words must be held whole,
 and have masks of their own length (``masks_for``) that ignore any words that may differ. Seeds of benchmark items go into
-a bitmap of fixed size (BITS), which each task holds against all windows of its documents; windows that
-may be seeds go on with the words around them, are joined with the items' seeds by hash, and every hit
-is verified on its diagonal: the longest stretch with at least ``matched`` equal words must reach
-the words that its item asks for (``needed``). The bitmap is a filter only: with more items it lets
-more windows through to the join, which decides.
+a bitmap of ROOM to 2 x ROOM cells a seed, PROBES of them set, which each task holds against all windows of its
+documents; windows that may be seeds go on with the words around them, are joined with the items' seeds by hash,
+and every hit is verified on its diagonal: the longest stretch with at least ``matched`` equal words must reach
+the words that its item asks for (``needed``). The bitmap is a filter only, by which fewer than one in a million
+other windows pass. It grows with the benchmark to 2 ** MOST_BITS cells (32 MB), where ROOM holds for 4 million
+seeds; with more it fills up and lets more windows through to the join, which decides.
 
 Rows that leave the scan are few, one per stretch of hits; a popular item is one row on the small side
 of each join, whose large side Spark may split.
@@ -34,7 +35,9 @@ from lamina.session import stage
 MASKS = ("111001011", "10111011", "110001000111", "111101001")
 WHOLE = 13
 LEAST = 5
-BITS = 24
+ROOM = 64
+PROBES = 6
+LEAST_BITS, MOST_BITS = 16, 28
 AROUND = 64
 MATCHED = 0.8
 PIECE_BYTES = 2 << 20
@@ -118,16 +121,30 @@ def item_words(benchmark: DataFrame, text: str, item_col: str, matched: float =
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Two bits for each seed, by its leading BITS bits and the next; 2 ** (BITS - 3) bytes whatever the benchmark."""
-    lead, then = (F.shiftrightunsigned(F.shiftleft("_seed", k), 64 - BITS) for k in (0, BITS))
-    slots = seeds.select(F.explode(F.array(lead, then)).alias("slot"))
-    cells = slots.groupBy(F.shiftright("slot", 3).alias("cell")).agg(
-        F.bit_or(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), F.pmod("slot", F.lit(8)).cast("int") + 1)).alias("bits")
-    )
+    """PROBES cells for each seed, in 64-bit words; their number, a power of two, follows the benchmark's seeds."""
+    distinct = seeds.select("_seed").distinct()
+    bits = min(MOST_BITS, max(LEAST_BITS, (distinct.count() * ROOM - 1).bit_length()))
+    last = F.lit((1 << bits) - 1).cast("long")
+    begin, step = F.shiftrightunsigned("_seed", 64 - bits), F.col("_seed").bitwiseAND(last).bitwiseOR(F.lit(1).cast("long"))
+    slots = distinct.select(F.explode(F.array(*[(begin + step * k).bitwiseAND(last) for k in range(PROBES)])).alias("slot"))
+    bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
+    cells = slots.groupBy(F.shiftright("slot", 6).alias("cell")).agg(F.bit_or(bit).alias("bits"))
     held = cells.toArrow()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[held.column("cell").to_numpy()] = held.column("bits").to_numpy()
-    return out
+    return out.view(U64)
+
+
+def may_hold(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places of the hashes whose cells are all set."""
+    last = U64(len(bitmap) * 64 - 1)
+    bits = int(last).bit_length()
+    at = np.arange(len(h))
+    for k in range(PROBES):
+        slot = ((h >> U64(64 - bits)) + ((h & last) | U64(1)) * U64(k)) & last
+        hit = (bitmap[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
+        at, h = at[hit], h[hit]
+    return at
 
 
 def _stretches(docs: DataFrame, bitmap: np.ndarray, masks: list[str], text: str, id_col: str) -> DataFrame:
@@ -141,10 +158,8 @@ def _stretches(docs: DataFrame, bitmap: np.ndarray, masks: list[str], text: str,
             at, hashes, reach = [], [], []
             for mask in masks:
                 place, h = seed_hashes(w, of, mask)
-                for k in (0, BITS):
-                    slot = ((h << U64(k)) >> U64(64 - BITS)).astype(np.int64)
-                    hit = (bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
-                    place, h = place[hit], h[hit]
+                hit = may_hold(bitmap, h)
+                place, h = place[hit], h[hit]
                 at.append(place)
                 hashes.append(h)
                 reach.append(np.full(len(place), len(mask)))

@@ -218,6 +218,19 @@ def test_masks_of_short_items_spare_the_words_that_differ(n):
         assert any(not m & sum(1 << k for k in some) for m in masks), some
 
 
+@pytest.mark.parametrize("n, most", [(0, 28), (1, 28), (3000, 28), (3000, 17)])
+def test_bitmap_holds_every_seed_and_little_else(spark, monkeypatch, n, most):
+    """Room for 2 ** 18 cells at 3000 seeds; with half of that or less it still holds all of them."""
+    monkeypatch.setattr(decontaminate, "MOST_BITS", most)
+    rng = np.random.default_rng(n)
+    seeds = rng.integers(-(2**63), 2**63, n)
+    bitmap = decontaminate._bitmap(spark.createDataFrame([(int(s),) for s in [*seeds, *seeds[:9]]], "_seed long"))
+    assert len(bitmap) * 64 == 1 << min(most, 18 if n > 1 else 16)
+    assert len(decontaminate.may_hold(bitmap, seeds.view(np.uint64))) == n
+    others = rng.integers(0, 2**64, 1 << 20, np.uint64)
+    assert len(decontaminate.may_hold(bitmap, others)) <= (8 if most == 28 else 100)
+
+
 def test_short_items_are_found_with_substitutions(spark):
     items = {0: "ab1 ab2 ab3 ab4 ab5", 1: " ".join(f"cd{k}" for k in range(11)), 2: " ".join(f"ef{k}" for k in range(15))}
     swaps = {0: [2], 1: [3, 7], 2: [3, 7, 11]}
