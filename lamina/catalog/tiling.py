@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.catalog.registry import register, table
 from lamina.operators import tiles as T
-from lamina.session import stage
+from lamina.session import stage_large as stage
 from lamina.sources import tile_maps as M
 
 C = F.col

@@ -8,7 +8,7 @@ from lamina.catalog.registry import register, table
 from lamina.fixtures import DEEP_PATHS_SQL, DEEP_SQL, SHALLOW_SQL, deep_layers, shallow_paths
 from lamina.functions.names import layer_flags
 from lamina.operators import bitsets, states, tree
-from lamina.session import stage
+from lamina.session import stage_large as stage
 
 C = F.col
 _S = "WITH " + SHALLOW_SQL

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from lamina.operators.scans import rank_sorted
 from lamina.operators.tree import NODE, TOP, joined, prepended, tree_fold
-from lamina.session import stage
+from lamina.session import large
+from lamina.session import stage_large as stage
 
 C = F.col
 WORD = 64
@@ -127,21 +128,21 @@ def union(a: DataFrame, b: DataFrame, keys: Sequence[str] = STATE) -> DataFrame:
 
 
 def intersection(a: DataFrame, b: DataFrame, keys: Sequence[str] = STATE) -> DataFrame:
-    met = a.withColumnRenamed("bits", "__a").join(b.withColumnRenamed("bits", "__b"), [*keys, "block"])
+    met = a.withColumnRenamed("bits", "__a").join(large(b.withColumnRenamed("bits", "__b")), [*keys, "block"])
     return met.select(*keys, "block", C("__a").bitwiseAND(C("__b")).alias("bits")).filter("bits <> 0")
 
 
 def hidden(sets: DataFrame, numbered: DataFrame, keys: Sequence[str] = STATE) -> DataFrame:
     """Layers outside each set of a document."""
     grid = _grid(sets.select(*keys).distinct(), document_masks(numbered))
-    rows = grid.join(sets, [*keys, "block"], "left")
+    rows = grid.join(large(sets), [*keys, "block"], "left")
     bits = _without(C("every"), F.coalesce("bits", F.lit(0).cast("bigint")))
     return rows.select(*keys, "block", bits.alias("bits")).filter("bits <> 0")
 
 
 def _grid(owners: DataFrame, masks: DataFrame) -> DataFrame:
     """Every block of its document for each set."""
-    return owners.join(masks, "doc_id")
+    return owners.join(large(masks), "doc_id")
 
 
 # -- states and overlays ------------------------------------------------------------------------
@@ -162,7 +163,7 @@ def _settled(switched: DataFrame, numbered: DataFrame, keys: Sequence[str]) -> d
 
 
 def _after(grid: DataFrame, parts: dict[str, DataFrame], value: Column, keys: Sequence[str]) -> DataFrame:
-    rows = grid.join(combined(parts, keys), [*keys, "block"], "left").fillna(0, list(parts))
+    rows = grid.join(large(combined(parts, keys)), [*keys, "block"], "left").fillna(0, list(parts))
     return rows.select(*keys, "block", _without(value, C("clear")).bitwiseOR(C("win")).alias("bits"))
 
 
@@ -195,7 +196,7 @@ def apply_overlays(
     """
     if isinstance(base, str) and base:
         raise ValueError("pass bits, an empty string or None as base")
-    owners = filters.select(*keys).distinct()
+    owners = large(filters.select(*keys).distinct())
     allowed = stage(find_layers(filters.select(*keys, "path"), numbered), "allowed")
     inside = find_layers(overlays.select(*keys, "path"), numbered).join(owners, list(keys), "left_semi")
     inside = stage(inside, "overlaid")
@@ -226,11 +227,11 @@ def filters_effective(
     ``owners`` names the filters (keys); ``outer`` holds (keys, level, path) of their ancestors and ``own``
     (keys, path) of themselves. Layers in all ancestors are enabled; a filter without a set selects all of those.
     """
-    levels = outer.groupBy(*keys).agg(F.count_distinct("level").alias("__levels"))
+    levels = large(outer.groupBy(*keys).agg(F.count_distinct("level").alias("__levels")))
     of_level = to_bits(find_layers(outer, numbered), [*keys, "level"])
-    common = of_level.groupBy(*keys, "block").agg(F.bit_and("bits").alias("__common"), F.count("*").alias("__in"))
-    has = own.select(*keys).distinct().withColumn("__has", F.lit(True))
-    mine = to_bits(find_layers(own.select(*keys, "path"), numbered), keys, "__own")
+    common = large(of_level.groupBy(*keys, "block").agg(F.bit_and("bits").alias("__common"), F.count("*").alias("__in")))
+    has = large(own.select(*keys).distinct()).withColumn("__has", F.lit(True))
+    mine = large(to_bits(find_layers(own.select(*keys, "path"), numbered), keys, "__own"))
     rows = _grid(owners.select(*keys).distinct(), document_masks(numbered)).join(levels, list(keys), "left").join(has, list(keys), "left")
     rows = rows.join(common, [*keys, "block"], "left").join(mine, [*keys, "block"], "left")
     zero = F.lit(0).cast("bigint")
@@ -269,7 +270,7 @@ def compact_bits(numbered: DataFrame, selected: DataFrame, keys: Sequence[str] =
 
 def filters_lines(numbered: DataFrame, effective: DataFrame, keys: Sequence[str] = STATE) -> DataFrame:
     """(keys, seq_id, path): minimal lines of each filter; none when everything enabled is selected."""
-    partial = effective.filter(_without(C("enabled"), C("selected")) != 0).select(*keys).distinct()
+    partial = large(effective.filter(_without(C("enabled"), C("selected")) != 0).select(*keys).distinct())
     kept = effective.join(partial, list(keys), "left_semi").select(*keys, "block", C("selected").alias("bits"))
     lines = to_places(compact_bits(numbered, kept, keys), keys)
     return lines.join(numbered.select("doc_id", "pos", "seq_id", "path"), ["doc_id", "pos"]).drop("pos")
