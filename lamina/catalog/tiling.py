@@ -19,10 +19,19 @@ IMAGES_SQL = f"""images AS (
   FROM supplier, (SELECT unnest(range({W})) AS x), (SELECT unnest(range({H})) AS y))"""
 
 
+# suppliers to a task: 7 million pixels
+SPREAD = 1000
+
+
+def _spread(suppliers):
+    """Suppliers over tasks by their number: a small file would be one task, however many pixels come from it."""
+    return suppliers.repartition(-(-max(suppliers.count(), 1) // SPREAD), "s_suppkey")
+
+
 def images(spark, sf):
     y = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(H - 1).cast("bigint"))).alias("y")
     x = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(W - 1).cast("bigint"))).alias("x")
-    rows = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey", y).select("*", x)
+    rows = _spread(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")).select("*", y).select("*", x)
     band = F.floor(C("x") / 16) * (C("s_nationkey") % 5) + F.floor(C("y") / 16)
     return rows.select(
         C("s_suppkey").alias("image_id"), "x", "y", (band % 7 * 36).alias("r"), (C("s_suppkey") % 3 * 40).alias("g"),
@@ -77,7 +86,7 @@ def raster_columns():
 
 
 def rasters(spark, sf):
-    return table(spark, sf, "supplier").select(*raster_columns())
+    return _spread(table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")).select(*raster_columns())
 
 
 @register("chop_rasters", _W + CELLS_SQL + "SELECT image_id, tx, ty, p, hash, px FROM cells")

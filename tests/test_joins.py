@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lamina.catalog import tiling
 from lamina.operators import bitsets, states
 from lamina.operators import tiles as T
 from lamina.session import stage_large
@@ -50,3 +51,9 @@ def test_tiles_are_not_broadcast_by_estimate(spark, tmp_path):
     cells = T.chop(px, at.select("image_id", F.lit(40).alias("width"), F.lit(20).alias("height")))
     assert "BroadcastExchange" not in plan(cells)
     assert cells.count() == 30 * 3 * 2
+
+
+def test_pictures_of_a_small_table_are_made_by_several_tasks(spark, tmp_path):
+    suppliers = spark.range(2500).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey"))
+    suppliers.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    assert tiling.images(spark, str(tmp_path)).rdd.getNumPartitions() == 3
