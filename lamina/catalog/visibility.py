@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamina.catalog.registry import register, table
-from lamina.fixtures import DEEP_PATHS_SQL, DEEP_SQL, SHALLOW_SQL, deep_layers, shallow_paths
+from lamina.fixtures import DEEP_PATHS_SQL, DEEP_SQL, SHALLOW_SQL, deep_layers, shallow_layers, shallow_paths
 from lamina.functions.names import layer_flags
 from lamina.operators import bitsets, states, tree
 from lamina.session import stage_large as stage
@@ -426,7 +426,7 @@ _SQL_FILTER_CLICKS = _SQL_CLICKS + """, fclicks AS (SELECT doc_id, CASE WHEN ln
 
 
 def _filter_toggled(spark, sf):
-    layers = shallow_paths(spark, sf).withColumn("checked", F.lit(True))
+    layers = shallow_layers(spark, sf).select("doc_id", "seq_id", "parent_seq_id", "ordinal", F.lit(True).alias("checked"))
     clicks = _clicks(spark, sf).withColumn("seq_id", F.when(C("ln") == 1, C("folder_seq")).otherwise(C("seq_id")))
     return states.apply_filter_toggles(layers, clicks)
 

@@ -298,8 +298,10 @@ def latest_above(numbered: DataFrame, marks: DataFrame, value: str) -> DataFrame
 
 
 def latest_below(numbered: DataFrame, marks: DataFrame, value: str) -> DataFrame:
-    """(doc_id, pos, value): the greatest value of the marks (doc_id, pos, value) among each folder's descendants."""
-    marks = stage(marks.select("doc_id", "pos", value), "marks")
+    """(doc_id, pos, value): the greatest value of the marks (doc_id, pos, value) among each folder's descendants.
+
+    Marks are read twice: pass a staged table.
+    """
     by_block = marks.groupBy("doc_id", _block(C("pos"))).agg(F.max(value).alias("__v"))
     folders = numbered.filter("last > pos").select("doc_id", "pos", "last")
     cut = folders.withColumn("block", F.explode(F.sequence(F.shiftright(C("pos") + 1, 6), F.shiftright("last", 6))))

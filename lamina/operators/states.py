@@ -275,7 +275,7 @@ def apply_filter_toggles(layers: DataFrame, clicks: DataFrame) -> DataFrame:
     ``number_layers`` has numbered already are not numbered again.
     """
     rows = layers if "last" in layers.columns else number_layers(layers)
-    hit = stage(rows.select(*NODE, "pos", "last").join(_clicked(clicks), NODE), "clicked")
+    hit = stage(rows.select(*NODE, "pos", "last").join(_clicked(clicks).drop("solo_at"), NODE).drop("seq_id"), "clicked")
     own = F.struct(C("last_at").alias("at"), C("last_on").alias("on"))
     tick = F.struct(C("on_at").alias("at"), F.lit(True).alias("on"))
     down = latest_above(rows, hit.withColumn("__down", own), "__down")
