@@ -68,3 +68,15 @@ def test_folds_match_a_plain_walk(spark):
 
 def test_fold_of_nothing(spark):
     assert tree.tree_fold(spark.createDataFrame([], SCHEMA), {"up": (F.array("seq_id"), tree.prepended)}).count() == 0
+
+
+def test_leaves_take_no_part_in_rounds(spark, monkeypatch):
+    rows = [(0, k, k - 1 if k else -1, k, "f") for k in range(20)]
+    rows += [(0, 100 + k, k % 20, k, "leaf") for k in range(200)] + [(0, 900, -1, 1, "leaf"), (0, 901, 100, 1, "leaf"), (0, 902, 5, 1, None)]
+    staged, plain = [], tree.stage
+    monkeypatch.setattr(tree, "stage", lambda df, label: staged.append(plain(df, label)) or staged[-1])
+    up = {"up": (F.array("seq_id"), tree.prepended)}
+    got = {r.seq_id: (r.depth, r.up) for r in tree.tree_fold(spark.createDataFrame(rows, SCHEMA), up, inner=F.col("name") == "f").collect()}
+    assert len(got) == 20 + 200 + 1 + 1 and got[900] == (1, [900]) and 901 not in got
+    assert got[107] == (9, [107, *range(7, -1, -1)]) and got[902] == (7, [902, 5, 4, 3, 2, 1, 0])
+    assert all(df.filter("seq_id >= 100").isEmpty() for df in staged)

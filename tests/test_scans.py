@@ -56,3 +56,12 @@ def test_rank_sorted(rows):
     w = Window.partitionBy("g").orderBy(F.col("o").desc())
     got = scans.rank_sorted(rows, ["g"], [F.col("o").desc()], "n", "test").select("g", "o", "n")
     same(got, rows.select("g", "o", (F.row_number().over(w) - 1).alias("n")))
+
+
+def test_small_groups_are_ranked_without_numbering_the_table(spark, monkeypatch):
+    rows = spark.createDataFrame([(g, v) for g in range(9) for v in range(g + 1)] + [(None, 1)], "g long, v long").repartition(4)
+    want = sorted((g, v, g - v) for g in range(9) for v in range(g + 1))
+    ranked = lambda **more: sorted(tuple(r) for r in scans.rank_sorted(rows, ["g"], [F.col("v").desc()], "at", "t", **more).collect())
+    assert ranked(most=5) == want
+    monkeypatch.setattr(scans, "number_rows", None)
+    assert ranked() == want
