@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.catalog.registry import register, table
 from lamina.operators import tiles as T
+from lamina.session import large
 from lamina.session import stage_large as stage
 from lamina.sources import tile_maps as M
 
@@ -40,7 +41,7 @@ def images(spark, sf):
 
 
 def sizes(spark, sf):
-    return table(spark, sf, "supplier").select(
+    return large(table(spark, sf, "supplier")).select(
         C("s_suppkey").alias("image_id"), F.lit(W).cast("bigint").alias("width"), F.lit(H).cast("bigint").alias("height")
     )
 
@@ -232,7 +233,7 @@ GROUP BY image_id, s_name, sets"""
 
 def _named(spark, sf):
     names = table(spark, sf, "supplier").select(C("s_suppkey").alias("image_id"), C("s_name").alias("name"))
-    return sizes(spark, sf).join(names, "image_id")
+    return large(sizes(spark, sf).join(names, "image_id"))
 
 
 def _documents(spark, sf, encoding="csv"):

@@ -57,3 +57,22 @@ def test_pictures_of_a_small_table_are_made_by_several_tasks(spark, tmp_path):
     suppliers = spark.range(2500).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey"))
     suppliers.coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     assert tiling.images(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+
+
+def test_names_and_sizes_of_pictures_are_not_broadcast_by_estimate(spark, tmp_path):
+    from lamina.catalog import tiling
+
+    spark.createDataFrame([(k, f"s{k}", 1) for k in range(9)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    cells = spark.createDataFrame([(k, 0) for k in range(9)], "image_id long, tx long")
+    named = tiling._named(spark, str(tmp_path))
+    assert "BroadcastExchange" not in plan(named) and "BroadcastExchange" not in plan(cells.join(named, "image_id"))
+    assert "BroadcastExchange" not in plan(cells.join(tiling.sizes(spark, str(tmp_path)), "image_id"))
+
+
+def test_filter_clicks_stage_only_what_they_read(spark, monkeypatch):
+    staged, plain = {}, states.stage
+    monkeypatch.setattr(states, "stage", lambda df, label: staged.setdefault(label, df) and plain(df, label))
+    layers = some_layers(spark)
+    clicks = layers.select("doc_id", "seq_id", F.col("seq_id").alias("click_seq"), F.lit(True).alias("on"), F.lit(True).alias("solo"))
+    states.apply_filter_toggles(layers, clicks)
+    assert set(staged["clicked"].columns) == {"doc_id", "pos", "last", "last_at", "last_on", "on_at"}
