@@ -68,10 +68,14 @@ def _apply(spark, sf):
     return states.apply_state(shallow_paths(spark, sf), parsed).select("doc_id", "seq_id", "checked")
 
 
+def listed_paths(rows, condition):
+    """Paths of the matching layers with their folders, a folder once for each layer."""
+    return rows.filter(condition).select("doc_id", F.explode(F.array("path", "parent_path")).alias("path"))
+
+
 def closed_paths(rows, condition):
     """Paths of the matching leaves with their folders."""
-    leaves = rows.filter(condition)
-    return leaves.select("doc_id", "path").union(leaves.select("doc_id", "parent_path")).distinct()
+    return listed_paths(rows, condition).distinct()
 
 
 def _sql_closed(condition: str) -> str:
@@ -129,9 +133,9 @@ _SQL_FILTERS = f""", l1 AS {_sql_closed("flag <> 'R' OR ln <> 2")}, l2 AS {_sql_
 
 def _effective(spark, sf):
     rows = shallow_paths(spark, sf)
-    outer = closed_paths(rows, (C("flag") != "R") | (C("ln") != 2)).withColumn("level", F.lit(1))
-    nested = closed_paths(rows, C("qty") > 10).withColumn("level", F.lit(2))
-    return states.filter_effective(rows, outer.unionByName(nested), closed_paths(rows, C("disc") >= 0.03))
+    outer = listed_paths(rows, (C("flag") != "R") | (C("ln") != 2)).withColumn("level", F.lit(1))
+    nested = listed_paths(rows, C("qty") > 10).withColumn("level", F.lit(2))
+    return states.filter_effective(rows, outer.unionByName(nested), listed_paths(rows, C("disc") >= 0.03))
 
 
 @register(
@@ -208,7 +212,7 @@ def _leaves(numbered, condition: str):
 
 def _closed_sets(numbered, condition: str):
     rows = _leaves(numbered, condition)
-    return rows.select("doc_id", "state_id", "path").union(rows.select("doc_id", "state_id", "parent_path")).distinct()
+    return rows.select("doc_id", "state_id", "path").union(rows.select("doc_id", "state_id", "parent_path").distinct())
 
 
 def _sql_sets(condition: str) -> str:

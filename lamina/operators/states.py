@@ -227,22 +227,20 @@ def filter_effective(paths: DataFrame, ancestor_filters: DataFrame, inner: DataF
     """Adds ``enabled`` and ``selected`` under nested filters.
 
     ``ancestor_filters`` holds (doc_id, level, path) sets; a layer is enabled when it lies in
-    all of them. ``inner`` is the filter's own set; documents without one select all enabled.
+    all of them. ``inner`` is the filter's own set; documents without one select all enabled. A path may come
+    several times in a set: all sets meet in one row a path and one a document.
     """
-    levels = large(ancestor_filters.groupBy("doc_id").agg(F.count_distinct("level").alias("__levels")))
-    hits = large(
-        ancestor_filters.select("doc_id", "level", "path").distinct().groupBy("doc_id", "path").agg(F.count("*").alias("__hits"))
-    )
-    own = large(inner.select("doc_id", "path").distinct()).withColumn("__own", F.lit(True))
-    has_own = large(inner.select("doc_id").distinct()).withColumn("__has", F.lit(True))
-    rows = (
-        paths.join(levels, "doc_id", "left")
-        .join(hits, ["doc_id", "path"], "left")
-        .join(own, ["doc_id", "path"], "left")
-        .join(has_own, "doc_id", "left")
+    none = F.lit(None).cast(ancestor_filters.schema["level"].dataType)
+    marks = ancestor_filters.select("doc_id", "path", "level", F.lit(False).alias("__own")).unionAll(
+        inner.select("doc_id", "path", none.alias("level"), F.lit(True).alias("__own"))
     )
+    outer = F.when(~C("__own"), F.struct("level"))
+    by_path = large(marks.groupBy("doc_id", "path").agg(F.size(F.collect_set(outer)).alias("__hits"), F.max("__own").alias("__own")))
+    by_doc = large(marks.groupBy("doc_id").agg(F.size(F.collect_set("level")).alias("__levels"), F.max("__own").alias("__has")))
+    rows = paths.join(by_path, ["doc_id", "path"], "left").join(by_doc, "doc_id", "left")
+    off = F.lit(False)
     enabled = F.coalesce(C("__hits"), F.lit(0)) == F.coalesce(C("__levels"), F.lit(0))
-    selected = C("enabled") & (C("__has").isNull() | C("__own").isNotNull())
+    selected = C("enabled") & (~F.coalesce(C("__has"), off) | F.coalesce(C("__own"), off))
     return rows.withColumn("enabled", enabled).withColumn("selected", selected).drop("__levels", "__hits", "__own", "__has")
 
 

@@ -76,3 +76,14 @@ def test_filter_clicks_stage_only_what_they_read(spark, monkeypatch):
     clicks = layers.select("doc_id", "seq_id", F.col("seq_id").alias("click_seq"), F.lit(True).alias("on"), F.lit(True).alias("solo"))
     states.apply_filter_toggles(layers, clicks)
     assert set(staged["clicked"].columns) == {"doc_id", "pos", "last", "last_at", "last_on", "on_at"}
+
+
+def test_sets_of_a_filter_meet_the_layers_in_two_joins(spark):
+    layers = stage_large(some_layers(spark), "layers")
+    outer = layers.filter("seq_id > 10").select("doc_id", F.explode(F.array("path", "parent_path")).alias("path")).withColumn("level", F.lit(1))
+    own = layers.filter("seq_id = 12").select("doc_id", F.explode(F.array("path", "path", "parent_path")).alias("path"))
+    found = states.filter_effective(layers, outer, own)
+    assert plan(found).count("SortMergeJoin") == 2
+    rows = {(r.doc_id, r.seq_id): (r.enabled, r.selected) for r in found.collect()}
+    assert len(rows) == 18
+    assert rows[0, 10] == (False, False) and rows[0, 12] == (True, True) and rows[0, 13] == (True, False) and rows[0, 1] == (True, True)
