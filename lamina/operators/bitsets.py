@@ -227,16 +227,25 @@ def filters_effective(
     ``owners`` names the filters (keys); ``outer`` holds (keys, level, path) of their ancestors and ``own``
     (keys, path) of themselves. Layers in all ancestors are enabled; a filter without a set selects all of those.
     """
-    levels = large(outer.groupBy(*keys).agg(F.count_distinct("level").alias("__levels")))
-    of_level = to_bits(find_layers(outer, numbered), [*keys, "level"])
-    common = large(of_level.groupBy(*keys, "block").agg(F.bit_and("bits").alias("__common"), F.count("*").alias("__in")))
-    has = large(own.select(*keys).distinct()).withColumn("__has", F.lit(True))
-    mine = large(to_bits(find_layers(own.select(*keys, "path"), numbered), keys, "__own"))
-    rows = _grid(owners.select(*keys).distinct(), document_masks(numbered)).join(levels, list(keys), "left").join(has, list(keys), "left")
-    rows = rows.join(common, [*keys, "block"], "left").join(mine, [*keys, "block"], "left")
+    none = F.lit(None).cast(outer.schema["level"].dataType)
+    marks = outer.select(*keys, "level", "path", F.lit(False).alias("__mine")).unionAll(
+        own.select(*keys, none.alias("level"), "path", F.lit(True).alias("__mine"))
+    )
+    mine = C("__mine")
+    facts = large(marks.groupBy(*keys).agg(F.count_distinct("level").alias("__levels"), F.min(mine).alias("__bare"), F.max(mine).alias("__has")))
+    of_level = to_bits(find_layers(marks, numbered), [*keys, "level", "__mine"])
+    sets = large(
+        of_level.groupBy(*keys, "block").agg(
+            F.bit_and(F.when(~mine, C("bits"))).alias("__common"), F.count_if(~mine).alias("__in"), F.bit_or(F.when(mine, C("bits"))).alias("__own")
+        )
+    )
+    rows = _grid(owners.select(*keys).distinct(), document_masks(numbered)).join(facts, list(keys), "left")
+    rows = rows.join(sets, [*keys, "block"], "left")
     zero = F.lit(0).cast("bigint")
-    enabled = F.when(C("__levels").isNull(), C("every")).when(C("__in") == C("__levels"), C("__common")).otherwise(zero)
-    selected = F.when(C("__has").isNull(), C("enabled")).otherwise(C("enabled").bitwiseAND(F.coalesce("__own", zero)))
+    every = F.coalesce(C("__bare"), F.lit(True))
+    enabled = F.when(every, C("every")).when((C("__in") > 0) & (C("__in") == C("__levels")), C("__common")).otherwise(zero)
+    whole = ~F.coalesce(C("__has"), F.lit(False))
+    selected = F.when(whole, C("enabled")).otherwise(C("enabled").bitwiseAND(F.coalesce("__own", zero)))
     rows = rows.withColumn("enabled", enabled).withColumn("selected", selected)
     return rows.select(*keys, "block", "enabled", "selected")
 

@@ -87,3 +87,12 @@ def test_sets_of_a_filter_meet_the_layers_in_two_joins(spark):
     rows = {(r.doc_id, r.seq_id): (r.enabled, r.selected) for r in found.collect()}
     assert len(rows) == 18
     assert rows[0, 10] == (False, False) and rows[0, 12] == (True, True) and rows[0, 13] == (True, False) and rows[0, 1] == (True, True)
+
+
+def test_sets_of_many_filters_find_their_layers_once(spark, monkeypatch):
+    numbered = bitsets.number_layers(some_layers(spark))
+    sets = numbered.filter("seq_id > 10").select("doc_id", F.lit(1).alias("state_id"), "path")
+    calls, plain = [], bitsets.find_layers
+    monkeypatch.setattr(bitsets, "find_layers", lambda *a: calls.append(1) or plain(*a))
+    bitsets.filters_effective(numbered, sets, sets.withColumn("level", F.lit(1)), sets)
+    assert len(calls) == 1
