@@ -196,7 +196,7 @@ def apply_overlays(
     """
     if isinstance(base, str) and base:
         raise ValueError("pass bits, an empty string or None as base")
-    owners = large(filters.select(*keys).distinct())
+    owners = stage(filters.select(*keys).distinct(), "owners")
     allowed = stage(find_layers(filters.select(*keys, "path"), numbered), "allowed")
     inside = find_layers(overlays.select(*keys, "path"), numbered).join(owners, list(keys), "left_semi")
     inside = stage(inside, "overlaid")

@@ -96,3 +96,12 @@ def test_sets_of_many_filters_find_their_layers_once(spark, monkeypatch):
     monkeypatch.setattr(bitsets, "find_layers", lambda *a: calls.append(1) or plain(*a))
     bitsets.filters_effective(numbered, sets, sets.withColumn("level", F.lit(1)), sets)
     assert len(calls) == 1
+
+
+def test_owners_of_overlays_are_worked_out_once(spark, monkeypatch):
+    staged, plain = [], bitsets.stage
+    numbered = bitsets.number_layers(some_layers(spark))
+    sets = numbered.filter("seq_id > 10").select("doc_id", F.lit(1).alias("state_id"), "path")
+    monkeypatch.setattr(bitsets, "stage", lambda df, label: staged.append(label) or plain(df, label))
+    bitsets.apply_overlays(numbered, sets, sets)
+    assert "owners" in staged
