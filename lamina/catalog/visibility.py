@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lamina.catalog.registry import register, table
-from lamina.fixtures import DEEP_PATHS_SQL, DEEP_SQL, SHALLOW_SQL, deep_layers, shallow_layers, shallow_paths
+from lamina.catalog.registry import register
+from lamina.fixtures import DEEP_PATHS_SQL, DEEP_SQL, SHALLOW_SQL, deep_layers, lines_of, order_lines, order_rows, shallow_layers, shallow_paths
 from lamina.functions.names import layer_flags
 from lamina.operators import bitsets, states, tree
+from lamina.session import by_document
 from lamina.session import stage_large as stage
 
 C = F.col
@@ -376,10 +377,11 @@ def _hidden_sets(spark, sf):
     return _listed_layers(numbered, bitsets.hidden(_state_sets(numbered, _ALLOWED), numbered))
 
 
-def _clicks(spark, sf):
+def _clicks(rows):
+    """Clicks of ``order_rows``."""
     flag = F.when(C("l_returnflag") == "A", 1).when(C("l_returnflag") == "N", 2).otherwise(3).cast("bigint")
-    return table(spark, sf, "lineitem").select(
-        C("l_orderkey").alias("doc_id"),
+    return rows.select(
+        "doc_id",
         (flag * 10 + C("l_linenumber")).alias("seq_id"),
         flag.alias("folder_seq"),
         (C("l_partkey") * 100000000 + C("l_suppkey") * 10000 + C("l_extendedprice").cast("bigint") % 10000).alias("click_seq"),
@@ -415,8 +417,11 @@ SELECT s.doc_id, s.seq_id, CASE WHEN s.kind = 'radio' AND w.won IS NOT NULL THEN
 FROM shallow s LEFT JOIN last l USING (doc_id, seq_id) LEFT JOIN won w ON w.doc_id = s.doc_id AND w.parent_seq_id = s.parent_seq_id""",
 )
 def _toggles(spark, sf):
-    layers = shallow_paths(spark, sf).withColumn("clipping", F.lit(False))
-    return states.apply_toggles(layers, _clicks(spark, sf).drop("folder_seq", "ln")).select("doc_id", "seq_id", "checked")
+    def toggled(rows):
+        layers = shallow_paths(spark, sf, lines_of(rows)).withColumn("clipping", F.lit(False))
+        return states.apply_toggles(layers, _clicks(rows).drop("folder_seq", "ln")).select("doc_id", "seq_id", "checked")
+
+    return by_document(order_rows(spark, sf), toggled)
 
 
 _SQL_FILTER_CLICKS = _SQL_CLICKS + """, fclicks AS (SELECT doc_id, CASE WHEN ln = 1 THEN folder_seq ELSE seq_id END AS seq_id, click_seq,
@@ -431,7 +436,7 @@ _SQL_FILTER_CLICKS = _SQL_CLICKS + """, fclicks AS (SELECT doc_id, CASE WHEN ln
 
 def _filter_toggled(spark, sf):
     layers = shallow_layers(spark, sf).select("doc_id", "seq_id", "parent_seq_id", "ordinal", F.lit(True).alias("checked"))
-    clicks = _clicks(spark, sf).withColumn("seq_id", F.when(C("ln") == 1, C("folder_seq")).otherwise(C("seq_id")))
+    clicks = _clicks(order_rows(spark, sf)).withColumn("seq_id", F.when(C("ln") == 1, C("folder_seq")).otherwise(C("seq_id")))
     return states.apply_filter_toggles(layers, clicks)
 
 

@@ -158,10 +158,19 @@ SHALLOW_SQL = (
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_of(order_rows(spark, sf_dir))
+
+
+def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of lineitem, the order's key as doc_id."""
+    return table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """Distinct (order, flag, line) of ``order_rows``."""
     return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(
-            F.col("l_orderkey").alias("doc_id"),
+        rows.groupBy(
+            "doc_id",
             F.col("l_returnflag").alias("flag"),
             F.col("l_linenumber").cast("bigint").alias("ln"),
         )
