@@ -202,8 +202,13 @@ _OUTER = _pick("flag <> 'R' OR ln <> 2", "ln < 6", "qty > 2")
 _THREE = "shallow JOIN (SELECT unnest([1, 2, 3]) AS state_id) ON lvl = 2"
 
 
-def _numbered(spark, sf):
-    return bitsets.number_layers(shallow_paths(spark, sf))
+def _numbered(spark, sf, lines=None):
+    return bitsets.number_layers(shallow_paths(spark, sf, lines).drop("name", "folder"), staged=True)
+
+
+def _each_document(spark, sf, run):
+    """``run`` over the numbered layers of documents in buckets."""
+    return by_document(order_lines(spark, sf), lambda lines: run(_numbered(spark, sf, lines)))
 
 
 def _leaves(numbered, condition: str):
@@ -216,6 +221,11 @@ def _closed_sets(numbered, condition: str):
     return rows.select("doc_id", "state_id", "path").union(rows.select("doc_id", "state_id", "parent_path").distinct())
 
 
+def _listed_sets(numbered, condition: str):
+    """The same, a folder once for each layer."""
+    return _leaves(numbered, condition).select("doc_id", "state_id", F.explode(F.array("path", "parent_path")).alias("path"))
+
+
 def _sql_sets(condition: str) -> str:
     return f"""(SELECT doc_id, state_id, path FROM {_THREE} WHERE {condition}
         UNION SELECT doc_id, state_id, parent_path FROM {_THREE} WHERE {condition})"""
@@ -320,19 +330,20 @@ _SQL_EFFECTIVE = (
 )
 
 
-def _effective_many(spark, sf):
-    numbered = _numbered(spark, sf)
+def _effective_many(numbered):
     owners = numbered.select("doc_id").distinct().withColumn("state_id", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])))
-    outer = _closed_sets(numbered, _OUTER).withColumn("level", F.lit(1)).unionByName(
-        _closed_sets(numbered, f"state_id <> 2 AND {_ALLOWED}").withColumn("level", F.lit(2))
+    outer = _listed_sets(numbered, _OUTER).withColumn("level", F.lit(1)).unionByName(
+        _listed_sets(numbered, f"state_id <> 2 AND {_ALLOWED}").withColumn("level", F.lit(2))
     )
-    return numbered, bitsets.filters_effective(numbered, owners, outer, _closed_sets(numbered, f"state_id <> 3 AND {_LISTED}"))
+    return bitsets.filters_effective(numbered, owners, outer, _listed_sets(numbered, f"state_id <> 3 AND {_LISTED}"))
 
 
 @register("filters_effective", _SQL_EFFECTIVE + "SELECT doc_id, state_id, seq_id, enabled, enabled AND chosen AS selected FROM eff")
 def _filters_effective(spark, sf):
-    numbered, bits = _effective_many(spark, sf)
-    return bitsets.flags(numbered, bits, bitsets.STATE, enabled="enabled", selected="selected")
+    def effective(numbered):
+        return bitsets.flags(numbered, _effective_many(numbered), bitsets.STATE, enabled="enabled", selected="selected")
+
+    return _each_document(spark, sf, effective)
 
 
 @register(
@@ -346,8 +357,7 @@ SELECT x.doc_id, x.state_id, x.seq_id, x.path FROM sel x ANTI JOIN sel y
   ON y.doc_id = x.doc_id AND y.state_id = x.state_id AND y.parent_seq_id = x.seq_id""",
 )
 def _filters_lines(spark, sf):
-    numbered, bits = _effective_many(spark, sf)
-    return bitsets.filters_lines(numbered, stage(bits, "effective"))
+    return _each_document(spark, sf, lambda numbered: bitsets.filters_lines(numbered, stage(_effective_many(numbered), "effective")))
 
 
 _SQL_LAYER = "SELECT doc_id, state_id, seq_id FROM ({}) JOIN shallow USING (doc_id, path)"

@@ -31,13 +31,13 @@ STATE = ("doc_id", "state_id")
 # -- numbering and masks ------------------------------------------------------------------------
 
 
-def number_layers(layers: DataFrame) -> DataFrame:
+def number_layers(layers: DataFrame, staged: bool = False) -> DataFrame:
     """Adds ``pos`` (place in walking order), ``last`` (place of the last descendant) and ``parent_pos`` (-1 at the top).
 
-    Staged: one numbering serves all sets of a document.
+    Staged: one numbering serves all sets of a document. ``staged``: ``layers`` are so already.
     """
     key = F.lpad(C("ordinal").cast("string"), 19, "0")
-    walked = tree_fold(layers, {"__sort": (key, joined("/")), "__chain": (F.array("seq_id"), prepended)}, label="numbering")
+    walked = tree_fold(layers, {"__sort": (key, joined("/")), "__chain": (F.array("seq_id"), prepended)}, label="numbering", staged=staged)
     below = walked.select("doc_id", F.explode("__chain").alias("seq_id")).groupBy(*NODE).agg((F.count("*") - 1).alias("__below"))
     placed = stage(rank_sorted(walked.drop("__chain"), ["doc_id"], ["__sort"], "pos", "places").drop("__sort", "depth"), "placed")
     parents = placed.select("doc_id", C("seq_id").alias("parent_seq_id"), C("pos").alias("parent_pos"))
@@ -104,11 +104,16 @@ def _radios(numbered: DataFrame) -> DataFrame:
     return to_bits(numbered.filter("kind = 'radio'"), ["doc_id", "parent_pos"], "rivals")
 
 
-def find_layers(paths: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Rows (doc_id, path, ...) with the layer of that path: pos, parent_pos, ordinal and kind in place of path."""
-    by_hash = numbered.select("doc_id", F.xxhash64("path").alias("__h"), C("path").alias("__path"), "pos", "parent_pos", "ordinal", "kind")
-    found = paths.withColumn("__h", F.xxhash64("path")).join(by_hash, ["doc_id", "__h"]).filter(C("path") == C("__path"))
-    return found.drop("__h", "__path", "path")
+def find_layers(paths: DataFrame, numbered: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows (doc_id, path, ...) with the layer of that path: pos, parent_pos, ordinal and kind in place of path.
+
+    ``how``: "left" keeps rows of other paths, with nulls.
+    """
+    by_hash = numbered.select(
+        C("doc_id").alias("__doc"), F.xxhash64("path").alias("__h"), C("path").alias("__path"), "pos", "parent_pos", "ordinal", "kind"
+    )
+    same = (C("doc_id") == C("__doc")) & (F.xxhash64("path") == C("__h")) & (C("path") == C("__path"))
+    return paths.join(by_hash, same, how).drop("__doc", "__h", "__path", "path")
 
 
 # -- set operations -----------------------------------------------------------------------------
@@ -232,10 +237,11 @@ def filters_effective(
         own.select(*keys, none.alias("level"), "path", F.lit(True).alias("__mine"))
     )
     mine = C("__mine")
-    facts = large(marks.groupBy(*keys).agg(F.count_distinct("level").alias("__levels"), F.min(mine).alias("__bare"), F.max(mine).alias("__has")))
-    of_level = to_bits(find_layers(marks, numbered), [*keys, "level", "__mine"])
+    # one row for each set and block, and one without a block where paths are no layer's: such a set counts too
+    of_level = stage(to_bits(find_layers(marks, numbered, "left"), [*keys, "level", "__mine"]), "levels")
+    facts = large(of_level.groupBy(*keys).agg(F.count_distinct("level").alias("__levels"), F.min(mine).alias("__bare"), F.max(mine).alias("__has")))
     sets = large(
-        of_level.groupBy(*keys, "block").agg(
+        of_level.filter("block is not null").groupBy(*keys, "block").agg(
             F.bit_and(F.when(~mine, C("bits"))).alias("__common"), F.count_if(~mine).alias("__in"), F.bit_or(F.when(mine, C("bits"))).alias("__own")
         )
     )
@@ -265,15 +271,15 @@ def compact_bits(numbered: DataFrame, selected: DataFrame, keys: Sequence[str] =
 
     Folders that are off darken their interval; no walk is needed.
     """
-    masks = document_masks(numbered).select("doc_id", "block", "folders")
+    masks = large(document_masks(numbered).select("doc_id", "block", "folders"))
     off = selected.join(masks, ["doc_id", "block"]).select(*keys, "block", _without(C("folders"), C("bits")).alias("bits"))
     spans = numbered.filter("last > pos").select("doc_id", "pos", "last")
     dark = covered(to_places(off.filter("bits <> 0"), keys).join(spans, ["doc_id", "pos"]), keys, "dark")
-    lit = selected.join(dark, [*keys, "block"], "left").fillna(0, ["dark"])
+    lit = selected.join(large(dark), [*keys, "block"], "left").fillna(0, ["dark"])
     lit = stage(lit.select(*keys, "block", _without(C("bits"), C("dark")).alias("bits")), "lit")
     up = to_places(lit.filter("bits <> 0"), keys).join(numbered.select("doc_id", "pos", "parent_pos"), ["doc_id", "pos"])
     parents = to_bits(up.filter(C("parent_pos") >= 0).select(*keys, C("parent_pos").alias("pos")).distinct(), keys, "parents")
-    rows = lit.join(parents, [*keys, "block"], "left").fillna(0, ["parents"])
+    rows = lit.join(large(parents), [*keys, "block"], "left").fillna(0, ["parents"])
     return rows.select(*keys, "block", _without(C("bits"), C("parents")).alias("bits")).filter("bits <> 0")
 
 

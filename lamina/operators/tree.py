@@ -84,6 +84,7 @@ def tree_fold(
     parent_id: str = "parent_seq_id",
     top=TOP,
     label: str = "fold",
+    staged: bool = False,
 ) -> DataFrame:
     """Adds ``depth`` and, for each name, the fold of own values from the top down to the node.
 
@@ -91,7 +92,7 @@ def tree_fold(
     row points some way up and holds the fold of the rows that it has passed; a round takes over what its target holds and where
     that points, which doubles the way. So rounds follow the logarithm of the depth; each is one equi-join,
     written to the staging folder. ``inner`` marks rows that may have children: only those take part in rounds, and
-    all others meet their parents once, at the end.
+    all others meet their parents once, at the end. ``staged``: ``nodes`` are read from files as they are, so they aren't written once more.
 
     Orphans and cycles are never reached: a round after which no fewer rows are under way leaves only those.
     """
@@ -103,7 +104,7 @@ def tree_fold(
     there = F.col("__to") == F.lit(top)
     if inner is not None:
         holds = F.coalesce(inner, F.lit(False))
-        folded = tree_fold(nodes.filter(holds), folds, None, node_id, parent_id, top, label)
+        folded = tree_fold(nodes.filter(holds), folds, None, node_id, parent_id, top, label, staged)
         leaves = state.filter(~holds)
         up = folded.select(
             F.col("doc_id").alias("__doc"), F.col(node_id).alias("__node"), F.col("depth").alias("__depth"),
@@ -116,7 +117,7 @@ def tree_fold(
             *[f(F.col("__up_" + n), F.col(n)).alias(n) for n, (_, f) in folds.items()],
         )
         return large(folded.unionByName(leaves.filter(there).drop("__to")).unionByName(below))
-    state = stage(state, label)
+    state = state if staged else stage(state, label)
     done, way = [state.filter(there)], state.filter(~there)
     left = way.count()
     while left:

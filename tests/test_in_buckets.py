@@ -44,7 +44,7 @@ def shuffled(staged):
     return [label for label, p in staged if "Exchange hashpartitioning" in p]
 
 
-NAMES = """apply_toggles""".split()
+NAMES = """apply_toggles filters_effective filters_lines""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
