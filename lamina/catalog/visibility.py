@@ -300,9 +300,11 @@ SELECT s.doc_id, m.state_id, s.seq_id, CASE WHEN s.kind = 'radio' AND w.won IS N
 
 
 def _overlays(spark, sf, base):
-    numbered = _numbered(spark, sf)
-    listed, allowed = _closed_sets(numbered, _LISTED), _closed_sets(numbered, _ALLOWED)
-    return bitsets.flags(numbered, bitsets.apply_overlays(numbered, listed, allowed, base), bitsets.STATE, checked="bits")
+    def overlaid(numbered):
+        listed, allowed = _closed_sets(numbered, _LISTED), _closed_sets(numbered, _ALLOWED)
+        return bitsets.flags(numbered, bitsets.apply_overlays(numbered, listed, allowed, base), bitsets.STATE, checked="bits")
+
+    return _each_document(spark, sf, overlaid)
 
 
 @register("apply_overlays", _sql_overlays("s.visible"))
