@@ -276,9 +276,11 @@ SELECT a.doc_id, a.state_id, a.seq_id, CASE WHEN a.kind = 'radio' AND w.won IS N
 FROM after a LEFT JOIN won w USING (doc_id, state_id, parent_seq_id)""",
 )
 def _apply_states(spark, sf):
-    numbered = _numbered(spark, sf)
-    bits = bitsets.apply_states(numbered, _parsed_states(numbered))
-    return bitsets.flags(numbered, bits, bitsets.STATE, checked="bits")
+    def applied(numbered):
+        bits = bitsets.apply_states(numbered, _parsed_states(numbered))
+        return bitsets.flags(numbered, bits, bitsets.STATE, checked="bits")
+
+    return _each_document(spark, sf, applied)
 
 
 def _sql_overlays(base: str) -> str:

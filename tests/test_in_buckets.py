@@ -44,7 +44,7 @@ def shuffled(staged):
     return [label for label, p in staged if "Exchange hashpartitioning" in p]
 
 
-NAMES = """apply_toggles filters_effective filters_lines apply_overlays apply_overlays_solo""".split()
+NAMES = """apply_toggles filters_effective filters_lines apply_overlays apply_overlays_solo apply_states""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
