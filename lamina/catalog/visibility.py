@@ -369,8 +369,10 @@ _SQL_LAYER = "SELECT doc_id, state_id, seq_id FROM ({}) JOIN shallow USING (doc_
 
 @register("merge_state_sets", _S + _SQL_LAYER.format(f"SELECT * FROM {_sql_sets(_LISTED)} UNION SELECT * FROM {_sql_sets(_ALLOWED)}"))
 def _merge_sets(spark, sf):
-    numbered = _numbered(spark, sf)
-    return _listed_layers(numbered, bitsets.union(_state_sets(numbered, _LISTED), _state_sets(numbered, _ALLOWED)))
+    def merged(numbered):
+        return _listed_layers(numbered, bitsets.union(_state_sets(numbered, _LISTED), _state_sets(numbered, _ALLOWED)))
+
+    return _each_document(spark, sf, merged)
 
 
 @register("intersect_filter_sets", _S + _SQL_LAYER.format(f"SELECT * FROM {_sql_sets(_LISTED)} INTERSECT SELECT * FROM {_sql_sets(_ALLOWED)}"))
