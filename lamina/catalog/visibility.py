@@ -377,8 +377,10 @@ def _merge_sets(spark, sf):
 
 @register("intersect_filter_sets", _S + _SQL_LAYER.format(f"SELECT * FROM {_sql_sets(_LISTED)} INTERSECT SELECT * FROM {_sql_sets(_ALLOWED)}"))
 def _intersect_sets(spark, sf):
-    numbered = _numbered(spark, sf)
-    return _listed_layers(numbered, bitsets.intersection(_state_sets(numbered, _LISTED), _state_sets(numbered, _ALLOWED)))
+    def common(numbered):
+        return _listed_layers(numbered, bitsets.intersection(_state_sets(numbered, _LISTED), _state_sets(numbered, _ALLOWED)))
+
+    return _each_document(spark, sf, common)
 
 
 @register(

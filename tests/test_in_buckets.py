@@ -44,7 +44,8 @@ def shuffled(staged):
     return [label for label, p in staged if "Exchange hashpartitioning" in p]
 
 
-NAMES = """apply_toggles filters_effective filters_lines apply_overlays apply_overlays_solo apply_states merge_state_sets""".split()
+NAMES = """apply_toggles filters_effective filters_lines apply_overlays apply_overlays_solo apply_states merge_state_sets
+    intersect_filter_sets""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
