@@ -132,8 +132,8 @@ _SQL_FILTERS = f""", l1 AS {_sql_closed("flag <> 'R' OR ln <> 2")}, l2 AS {_sql_
     LEFT JOIN l2 b ON b.doc_id = s.doc_id AND b.path = s.path LEFT JOIN own o ON o.doc_id = s.doc_id AND o.path = s.path)"""
 
 
-def _effective(spark, sf):
-    rows = shallow_paths(spark, sf)
+def _effective(spark, sf, lines=None):
+    rows = shallow_paths(spark, sf, lines)
     outer = listed_paths(rows, (C("flag") != "R") | (C("ln") != 2)).withColumn("level", F.lit(1))
     nested = listed_paths(rows, C("qty") > 10).withColumn("level", F.lit(2))
     return states.filter_effective(rows, outer.unionByName(nested), listed_paths(rows, C("disc") >= 0.03))
@@ -158,7 +158,7 @@ SELECT doc_id, seq_id, path FROM sel x WHERE NOT EXISTS
   (SELECT 1 FROM sel y WHERE y.doc_id = x.doc_id AND y.parent_seq_id = x.seq_id)""",
 )
 def _filter_lines(spark, sf):
-    return states.filter_lines(_effective(spark, sf))
+    return by_document(order_lines(spark, sf), lambda lines: states.filter_lines(_effective(spark, sf, lines)))
 
 
 @register(

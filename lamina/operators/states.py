@@ -246,6 +246,7 @@ def filter_effective(paths: DataFrame, ancestor_filters: DataFrame, inner: DataF
 
 def filter_lines(effective: DataFrame) -> DataFrame:
     """Minimal lines of the selected set; none when everything enabled is selected."""
+    effective = stage(effective.select(*NODE, "parent_seq_id", "folder", "path", "enabled", "selected"), "effective")
     partial = effective.groupBy("doc_id").agg(F.count_if(C("enabled") & ~C("selected")).alias("__left")).filter("__left > 0")
     kept = effective.filter("selected").join(partial, "doc_id", "left_semi")
     return compact_state(kept.select(*NODE, "parent_seq_id", "folder", "path", "selected"), "selected").select(*NODE, "path")
