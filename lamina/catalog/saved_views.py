@@ -429,9 +429,8 @@ def _bulk_folders(spark, sf):
     return V.bulk_folders(table(spark, sf, "documents"))
 
 
-def _renames(spark, sf):
+def _renames(lines):
     """Items of the favorites trees; those of discounted lines get a blank new name."""
-    lines = order_lines(spark, sf)
     return lines.select(
         "doc_id",
         F.concat("flag", F.lit("/"), C("ln").cast("string")).alias("node_id"),
@@ -448,7 +447,7 @@ _SQL_RENAMES = """, renames AS (SELECT doc_id, flag || '/' || ln AS node_id, fla
 
 @register("auto_number", "WITH " + LINES_SQL + _SQL_RENAMES + "SELECT * FROM numbered")
 def _auto(spark, sf):
-    return V.auto_number(_renames(spark, sf), start=7, digits=3).drop("sort_path")
+    return V.auto_number(_renames(order_lines(spark, sf)), start=7, digits=3).drop("sort_path")
 
 
 def sql_unique(rows: str, columns: str, late: str = "false") -> str:
@@ -470,8 +469,11 @@ _SQL_RENAMED = """, renamed AS (SELECT f.* REPLACE (coalesce(n.new_text, f.text)
 
 @register("bulk_rename", _F + _SQL_RENAMES + _SQL_RENAMED + sql_unique("renamed", "doc_id, node_id", "moved"))
 def _bulk_rename(spark, sf):
-    renames = V.auto_number(_renames(spark, sf), start=7, digits=3)
-    return V.bulk_rename(fav_nodes(spark, sf), renames).select("doc_id", "node_id", "text")
+    def renamed(lines):
+        renames = V.auto_number(_renames(lines), start=7, digits=3)
+        return V.bulk_rename(fav_nodes(spark, sf, lines), renames).select("doc_id", "node_id", "text")
+
+    return by_document(order_lines(spark, sf), renamed)
 
 
 _SQL_SIBLINGS = """WITH siblings AS (SELECT 0::BIGINT AS doc_id, c_nationkey::VARCHAR AS parent_id, c_custkey AS ordinal,
