@@ -526,10 +526,13 @@ def _add_folders(spark, sf):
       GROUP BY v.doc_id, v.root_id, v.view_index""",
 )
 def _name_views(spark, sf):
-    walked = stage(V.favorites_walk(fav_nodes(spark, sf)), "walked")
-    selects = stage(V.view_selects(walked), "viewselects")
-    roots = V.view_roots(walked).withColumn("root_ord", F.lit(0))
-    return V.name_views(roots, selects, V.enumerate_views(selects))
+    def named(lines):
+        walked = stage(V.favorites_walk(fav_nodes(spark, sf, lines)), "walked")
+        selects = stage(V.view_selects(walked), "viewselects")
+        roots = V.view_roots(walked).withColumn("root_ord", F.lit(0))
+        return V.name_views(roots, selects, V.enumerate_views(selects))
+
+    return by_document(order_lines(spark, sf), named)
 
 
 @register("export_views")
