@@ -45,7 +45,7 @@ def shuffled(staged):
 
 
 NAMES = """apply_toggles filters_effective filters_lines apply_overlays apply_overlays_solo apply_states merge_state_sets
-    intersect_filter_sets filter_lines bulk_rename name_views""".split()
+    intersect_filter_sets filter_lines bulk_rename name_views distinct_pictures render_key""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
