@@ -59,6 +59,13 @@ def test_documents_stay_in_buckets(spark, tables, staged, name):
     assert [label for label, p in staged if "ShuffledHashJoin" in p]
 
 
+def test_pictures_are_told_apart_and_drawn_in_buckets(spark, tables, staged):
+    out = QUERIES["export_views"](spark, tables)
+    assert out.count() == out.select("image_id", "tx", "ty").distinct().count() > 0
+    assert {"pictureviews", "raster", "lifted"} <= {label for label, _ in staged}
+    assert shuffled(staged) == []
+
+
 def test_several_tables_by_document(spark):
     one = spark.createDataFrame([(d, k) for d in (1, 2, 3, None) for k in range(4)] + [(9, k) for k in range(30)], "doc_id long, k long")
     two = spark.createDataFrame([(d, k % 3) for d in (1, 2, 9) for k in range(6)], "doc_id long, k long")
