@@ -527,7 +527,7 @@ def _add_folders(spark, sf):
 )
 def _name_views(spark, sf):
     def named(lines):
-        walked = stage(V.favorites_walk(fav_nodes(spark, sf, lines)), "walked")
+        walked = stage(V.favorites_walk(fav_nodes(spark, sf, lines)).drop("sort_path", "file_path"), "walked")
         selects = stage(V.view_selects(walked), "viewselects")
         roots = V.view_roots(walked).withColumn("root_ord", F.lit(0))
         return V.name_views(roots, selects, V.enumerate_views(selects))
